@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cellweave.llm import token_files, warc
+from cellweave.llm import fingerprint, pii, quality, sentencepiece_scan, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_simhash": simhash.op2_simhash,
+        "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
         "op6_warc": warc.op6_warc,
+        "op7_quality": quality.op7_quality,
+        "op8_fingerprints": fingerprint.op8_fingerprints,
+        "op9_pii": pii.op9_pii,
         "op10_token_files": token_files.op10_token_files,
     }
 
