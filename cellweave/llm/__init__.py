@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cellweave.llm import fingerprint, pii, quality, sentencepiece_scan, simhash, token_files, warc
+from cellweave.llm import decontaminate, fingerprint, html_wrapper, pii, quality, run_index, sentencepiece_scan, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_run_index": run_index.op1_run_index,
         "op2_simhash": simhash.op2_simhash,
         "op3_sentencepiece": sentencepiece_scan.op3_sentencepiece,
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_html": html_wrapper.op5_html,
         "op6_warc": warc.op6_warc,
         "op7_quality": quality.op7_quality,
         "op8_fingerprints": fingerprint.op8_fingerprints,
@@ -20,4 +23,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": decontaminate.oracle_sql()}
