@@ -182,8 +182,10 @@ def linked(fp: np.ndarray, ids: np.ndarray, own: np.ndarray, limit: int) -> list
     return out
 
 
-def links(rows: DataFrame, parts: list[tuple[list[int], int]], limit: int) -> DataFrame:
-    """rows: distinct (id, fp). Pairs (a, b) of ids whose fingerprints are near; every near pair is connected by them."""
+def in_buckets(rows: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """rows: distinct (id, fp, ...). Each row in its bucket of every part (own) and in those that it probes, dealt and sorted
+    by bucket: id, fp, own, part, key, block, and the further columns."""
+    more = [c for c in rows.columns if c not in ("id", "fp")]
     sent = []
     for k, (bits, threshold) in enumerate(parts):
         mask = signed(sum(1 << b for b in bits))
@@ -194,34 +196,43 @@ def links(rows: DataFrame, parts: list[tuple[list[int], int]], limit: int) -> Da
         if other:
             flips = F.array(*[F.lit(x).cast("long") for x in other])
             sent.append(F.transform(flips, lambda x, k=k, key=key: F.struct(F.lit(k).alias("part"), key.bitwiseXOR(x).alias("key"), F.lit(False).alias("own"))))
-    probed = rows.select("id", "fp", F.explode(F.concat(*sent)).alias("at")).select("id", "fp", "at.part", "at.key", "at.own")
+    probed = rows.select("id", "fp", F.explode(F.concat(*sent)).alias("at"), *more).select("id", "fp", "at.part", "at.key", "at.own", *more)
     # buckets of one part that are too large: their rows go to every block that pairs their own block with another
     large = probed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).withColumn("blocks", F.ceil(F.col("n") / (MOST // 2)).cast("int"))
     seen = probed.join(large.select("part", "key", "blocks"), ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
-    dealt = seen.withColumn("block", F.explode(pair)).select("id", "fp", "own", "part", "key", "block")
-    dealt = dealt.repartition(common.even_partitions(rows), "part", "key", "block").sortWithinPartitions("part", "key", "block")
+    dealt = seen.withColumn("block", F.explode(pair)).select("id", "fp", "own", "part", "key", "block", *more)
+    return dealt.repartition(common.even_partitions(rows), "part", "key", "block").sortWithinPartitions("part", "key", "block")
+
+
+def whole_buckets(batches):
+    """Sorted rows as columns of whole buckets, and where each bucket begins (with the end as the last place)."""
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is None:
+            now, rest = rest, None
+        else:
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        if now is None or not len(now[0]):
+            continue
+        part, key, block = now[3:6]
+        new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+        begins = np.r_[0, new, len(part)]
+        if batch is not None:  # the last bucket may go on
+            rest = [x[begins[-2] :] for x in now]
+            begins = begins[:-1]
+        if len(begins) > 1:
+            yield [x[: begins[-1]] for x in now], begins
+
+
+def links(rows: DataFrame, parts: list[tuple[list[int], int]], limit: int) -> DataFrame:
+    """rows: distinct (id, fp). Pairs (a, b) of ids whose fingerprints are near; every near pair is connected by them."""
 
     def run(batches):
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is None:
-                now, rest = rest, None
-            else:
-                now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-                if rest is not None:
-                    now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            if now is None or not len(now[0]):
-                continue
-            ids, fp, own, part, key, block = now
-            new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            begins = np.r_[0, new, len(ids)]
-            if batch is not None:  # the last bucket may go on
-                rest = [x[begins[-2] :] for x in now]
-                begins = begins[:-1]
-            if len(begins) < 2:
-                continue
+        for (ids, fp, own, *_), begins in whole_buckets(batches):
             fp, size = fp.view(U64), np.diff(begins)
             found = []
             small = np.repeat(size <= 64, size)
@@ -241,7 +252,7 @@ def links(rows: DataFrame, parts: list[tuple[list[int], int]], limit: int) -> Da
                 a, b = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return in_buckets(rows, parts).mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -266,22 +277,20 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def search_plan(rows: DataFrame, limit: int) -> list[tuple[list[int], int]]:
+    """The plan for distinct fingerprints, by their count and a bounded sample of them, the same on every run."""
+    some = rows.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
+    return plan(np.array([r["fp"] for r in some], np.int64).view(U64), rows.count(), limit)
+
+
 def classes(fps: DataFrame, limit: int) -> DataFrame:
     """fps: (doc_id, fp). Distinct fingerprints with their component: (fp, component_id)."""
     own = common.materialised(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    # a null id has no place in the order: such fingerprints are known by themselves, below all ids
-    rows = own.select(F.coalesce("least", F.col("fp").bitwiseOR(F.lit(-(2**63)))).alias("id"), "fp", "least")
-    count = rows.count()
-    # a bounded sample by hash, the same on every run
-    some = rows.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
-    sample = np.array([r["fp"] for r in some], np.int64).view(U64)
-    edges = links(rows.select("id", "fp"), plan(sample, count, limit), limit)
-    tied = components(edges)
-    if rows.where("least is null").isEmpty():
-        return rows.join(tied, "id", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    named = rows.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    real = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(real, "component").select("fp", "component_id")
+    nodes = own.select(F.col("fp").alias("id"), "fp")
+    tied = components(links(nodes, search_plan(nodes, limit), limit))
+    named = own.join(tied.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(least, "component").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, limit: int = 4) -> DataFrame:
