@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import common
@@ -182,6 +182,10 @@ def linked(fp: np.ndarray, ids: np.ndarray, own: np.ndarray, limit: int) -> list
     return out
 
 
+def probe_of(part: int, key: Column):
+    return lambda flip: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(flip).alias("key"), F.lit(False).alias("own"))
+
+
 def in_buckets(rows: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     """rows: distinct (id, fp, ...). Each row in its bucket of every part (own) and in those that it probes, dealt and sorted
     by bucket: id, fp, own, part, key, block, and the further columns."""
@@ -195,7 +199,7 @@ def in_buckets(rows: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame
         other = masks(bits, threshold)
         if other:
             flips = F.array(*[F.lit(x).cast("long") for x in other])
-            sent.append(F.transform(flips, lambda x, k=k, key=key: F.struct(F.lit(k).alias("part"), key.bitwiseXOR(x).alias("key"), F.lit(False).alias("own"))))
+            sent.append(F.transform(flips, probe_of(k, key)))
     probed = rows.select("id", "fp", F.explode(F.concat(*sent)).alias("at"), *more).select("id", "fp", "at.part", "at.key", "at.own", *more)
     # buckets of one part that are too large: their rows go to every block that pairs their own block with another
     large = probed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).withColumn("blocks", F.ceil(F.col("n") / (MOST // 2)).cast("int"))
