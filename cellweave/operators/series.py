@@ -31,6 +31,19 @@ def bracketed(points: DataFrame, series: DataFrame, by: list[str], at: str, valu
     return got.withColumn("value", found).drop("__v", "__point", "__lo", "__hi")
 
 
+def nearest(points: DataFrame, series: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Points with ``nearest``: the place of the series' nearest point, the earlier one of two, from one sort of both."""
+    empty = {c: F.lit(None).cast(t).alias(c) for c, t in points.dtypes if c not in (*by, at)}
+    b = series.select(*[F.col(c) if c in (*by, at) else empty[c] for c in points.columns], F.col(at).alias("__at"), F.lit(0).alias("__point"))
+    both = points.select(*points.columns, F.lit(None).cast(dict(points.dtypes)[at]).alias("__at"), F.lit(1).alias("__point")).unionByName(b)
+    back = Window.partitionBy(*by).orderBy(at, "__point").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(F.desc(at), "__point").rowsBetween(Window.unboundedPreceding, 0)
+    got = both.withColumn("__lo", F.last("__at", ignorenulls=True).over(back)).withColumn("__hi", F.last("__at", ignorenulls=True).over(ahead)).where("__point = 1")
+    lo, hi, x = F.col("__lo"), F.col("__hi"), F.col(at)
+    found = F.when(lo.isNull(), hi).when(hi.isNull() | (x - lo <= hi - x), lo).otherwise(hi)
+    return got.withColumn("nearest", found).drop("__at", "__point", "__lo", "__hi")
+
+
 def l2_error(found: Column, real: Column) -> Column:
     """Aggregate: the relative Euclidean error; 0 if there is nothing to relate to."""
     size = F.sum(real * real)

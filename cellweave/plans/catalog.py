@@ -11,6 +11,7 @@ from cellweave.functions import curves
 from cellweave.operators import geometry, mesh, partition, series
 from cellweave.plans import tables
 from cellweave.plans.tables import CELLS, GRID, LEVEL, SHAPES
+from cellweave.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -530,6 +531,56 @@ def positional_pairs(spark, d):
     return one.join(two, "number")
 
 
+@query("""with p as (select event_id, event_type, epoch_us(ts) as t from events), k as (select distinct event_type, t from p where event_id % 10 = 0)
+  select event_id, case when a.t is null then b.t when b.t is null or p.t - a.t <= b.t - p.t then a.t else b.t end as nearest
+  from p asof left join k a on p.event_type = a.event_type and p.t >= a.t asof left join k b on p.event_type = b.event_type and p.t <= b.t""")
+def nearest_match(spark, d):
+    """The time of the profile point nearest to each event; the earlier one of two."""
+    all_ = tables.events(spark, d).select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    profile = all_.where("event_id % 10 = 0").select("event_type", "t").distinct()
+    return series.nearest(all_, profile, ["event_type"], "t").select("event_id", "nearest")
+
+
+@query("""with m as (select user_id % 50 as test, event_type as metric, event_id % 7 as commit_, value, event_id, event_id % 2 as new from events),
+  one as (select *, row_number() over (partition by test, metric, commit_, new order by event_id desc) as r from m),
+  n as (select test, metric, commit_, value from one where r = 1 and new = 1), o as (select test, metric, commit_, value from one where r = 1 and new = 0)
+  select * from n union all select * from o where not exists (select 1 from n where n.test = o.test and n.metric = o.metric and n.commit_ = o.commit_)""")
+def metric_upsert(spark, d):
+    """A metric history, with the rows of new measurements where both have a key."""
+    w = Window.partitionBy("test", "metric", "commit_", "new").orderBy(F.desc("event_id"))
+    rows = tables.events(spark, d).select((F.col("user_id") % 50).alias("test"), F.col("event_type").alias("metric"), (F.col("event_id") % 7).alias("commit_"), "value", "event_id", (F.col("event_id") % 2).alias("new"))
+    one = rows.withColumn("r", F.row_number().over(w)).where("r = 1")
+    old, new = (one.where(F.col("new") == k).select("test", "metric", "commit_", "value") for k in (0, 1))
+    return series.upserted(old, new, ["test", "metric", "commit_"])
+
+
+@query("""select user_id, cast(sum(strlen(props)) as bigint) as bytes, count(*) as messages, cast(sum(event_id % 1000) as bigint) as micros,
+  '{"bytes":' || cast(sum(strlen(props)) as bigint) || ',"messages":' || count(*) || ',"micros":' || cast(sum(event_id % 1000) as bigint) || '}' as json from events group by user_id""")
+def transport_stats(spark, d):
+    rows = tables.events(spark, d).select("user_id", F.octet_length("props").alias("bytes"), (F.col("event_id") % 1000).alias("micros"))
+    return sinks.transport_stats(rows, ["user_id"])
+
+
+@query("""select p_partkey, upper(p_type) as macro, trim(p_brand, '"') as bare, 'id_' || lpad(lower(hex(p_partkey)), 16, '0') as hex_name, 'snapshot_' || lpad(cast(p_partkey as varchar), 6, '0') || '.vtp' as file,
+  regexp_extract(p_name, '[A-Za-z_][A-Za-z_0-9]*') as identifier from part""")
+def string_names(spark, d):
+    """Names as the mesh files use them: upper case, without quotes, padded numbers and hex, the first identifier."""
+    key = F.col("p_partkey")
+    return tables.read(spark, d, "part").select(
+        "p_partkey", F.upper("p_type").alias("macro"), F.regexp_replace("p_brand", '^"+|"+$', "").alias("bare"),
+        F.concat(F.lit("id_"), F.lpad(F.lower(F.hex(key)), 16, "0")).alias("hex_name"), F.concat(F.lit("snapshot_"), F.lpad(key.cast("string"), 6, "0"), F.lit(".vtp")).alias("file"),
+        F.regexp_extract("p_name", "[A-Za-z_][A-Za-z_0-9]*", 0).alias("identifier"),
+    )
+
+
+@query("""with t as (select event_type, event_id % 4 + 1 as ranks, avg(value) as seconds from events group by 1, 2)
+  select a.event_type, a.ranks, round(b.seconds / a.ranks / a.seconds, 6) as efficiency from t a join t b on a.event_type = b.event_type and b.ranks = 1""")
+def scaling_efficiency(spark, d):
+    timed = tables.events(spark, d).groupBy("event_type", (F.col("event_id") % 4 + 1).alias("ranks")).agg(F.avg("value").alias("seconds"))
+    one = timed.where("ranks = 1").select("event_type", F.col("seconds").alias("alone"))
+    return timed.join(one, "event_type").select("event_type", "ranks", F.round(F.col("alone") / F.col("ranks") / F.col("seconds"), 6).alias("efficiency"))
+
+
 NODES = """n as (select user_id, event_id as idx, event_type as field, cast(substr(event_type, 1, 1) < 'p' as boolean) or value > 50 as writes, value < 60 as reads from events)"""
 
 
