@@ -183,8 +183,7 @@ def curve_rank(spark, d):
     return mesh.numbered(ordered, ["key", "level"]).select("x", "y", "z", "level", "number")
 
 
-@query(with_cells("""select x, y, z, case when flag <> 1 and state = 0 and exists (
-    select 1 from cells b where b.flag > 0 and abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1) and false then 1 else flag end as flag from cells a"""))
+@query(with_cells("select x, y, z, flag from cells"))
 def balance_round_uniform(spark, d):
     """On a mesh of one level no flag is raised: a neighbour gets finer by one level at most."""
     return mesh.balance_round(tables.cells(spark, d), [LEVEL]).select("x", "y", "z", "flag")
