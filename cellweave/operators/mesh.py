@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import curves
+from cellweave.operators.session import checkpointed
 
 CELL = ["x", "y", "z", "level"]
 #: How eight children's field values become their parent's.
@@ -148,10 +149,10 @@ def balance_round(cells: DataFrame, levels: list[int], most: int = curves.FINEST
 def balance(cells: DataFrame, most: int = curves.FINEST, rounds: int = 10) -> tuple[DataFrame, bool]:
     """Rounds until no flag changes; and whether that was reached. Each round's mesh is a checkpoint."""
     levels = levels_of(cells)
-    now = cells.checkpoint()
+    now = checkpointed(cells)
     flagged = now.where("flag > 0").count()
     for _ in range(rounds):
-        now = balance_round(now, levels, most).checkpoint()
+        now = checkpointed(balance_round(now, levels, most))
         new = now.where("flag > 0").count()
         if new == flagged:
             return now, True
@@ -177,7 +178,7 @@ def numbered(df: DataFrame, by: list, name: str = "number") -> DataFrame:
     session = df.sparkSession
     n = int(session.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("__part", F.shiftright("__at", 33)).checkpoint()
+    dealt = checkpointed(dealt.withColumn("__part", F.shiftright("__at", 33)))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__part", "__first", "__base")
@@ -187,7 +188,7 @@ def numbered(df: DataFrame, by: list, name: str = "number") -> DataFrame:
 def running_total(df: DataFrame, by: list, value: str, name: str = "before") -> DataFrame:
     """The sum of ``value`` over all rows before, in order of ``by``: an exclusive scan in two passes."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *by).withColumn("__part", F.spark_partition_id()).checkpoint()
+    dealt = checkpointed(df.repartitionByRange(n, *by).withColumn("__part", F.spark_partition_id()))
     own = Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cellweave.operators import mesh
+from cellweave.operators.session import checkpointed
 
 Step = Callable[[DataFrame, int], DataFrame]
 
@@ -21,7 +22,7 @@ def time_loop(cells: DataFrame, steps: int, kernels: list[Step], adapt_every: in
         if adapt_every and t % adapt_every == 0:
             cells = mesh.adapt(cells, fields or {})
         if t % checkpoint_every == 0:
-            cells = cells.checkpoint()
+            cells = checkpointed(cells)
     return cells
 
 
