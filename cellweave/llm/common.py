@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return (base or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

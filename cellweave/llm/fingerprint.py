@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import binascii
 import hashlib
+import json
+import math
 import re
 
 import numpy as np
@@ -131,6 +133,22 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def constant(values: list, kind: str) -> Column:
+    """A list as one constant, however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def bucket_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the key: looked up in groups of bounds, then in one group."""
+    if not bounds:
+        return F.lit(0)
+    size = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    upto = F.size(F.filter(constant([g[0] for g in groups], "array<bigint>"), lambda b: b <= key))
+    inside = F.size(F.filter(F.get(constant(groups, "array<array<bigint>>"), upto - 1), lambda b: b <= key))
+    return F.when(upto == 0, F.lit(0)).otherwise((upto - 1) * size + inside)
+
+
 def dealt_with_next(docs: DataFrame) -> DataFrame:
     """Documents in ascending order within buckets of the id; after each bucket's rows comes the first of the next bucket,
     as a row that is not ``own``. Only bucket bounds and first ids, one of each a bucket, pass through the driver."""
@@ -138,14 +156,15 @@ def dealt_with_next(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"), key.alias("key"))
     n = 3 * common.even_partitions(docs)
     bounds = sorted({int(b) for b in own.stat.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)})
-    bucket: Column = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    bucket = bucket_of(F.col("key"), bounds)
     firsts = {r["bucket"]: r["first"] for r in own.groupBy(bucket.alias("bucket")).agg(F.min("key").alias("first")).collect()}
     full = sorted(firsts)
-    head = F.array(*[F.lit(firsts.get(b)).cast("long") for b in range(len(bounds) + 1)])
-    before = F.array(*[F.lit(full[full.index(b) - 1] if b in firsts else None).cast("int") for b in range(len(bounds) + 1)])
+    place = {b: i for i, b in enumerate(full)}
+    head = constant([firsts.get(b) for b in range(len(bounds) + 1)], "array<bigint>")
+    before = constant([full[place[b] - 1] if b in place else None for b in range(len(bounds) + 1)], "array<int>")
     once = F.struct(F.col("bucket"), F.lit(True).alias("own"))
-    again = F.struct(F.element_at(before, F.col("bucket") + 1).alias("bucket"), F.lit(False).alias("own"))
-    is_head = F.col("key") == F.element_at(head, F.col("bucket") + 1)
+    again = F.struct(F.get(before, F.col("bucket")).alias("bucket"), F.lit(False).alias("own"))
+    is_head = F.col("key") == F.get(head, F.col("bucket"))
     placed = own.withColumn("bucket", bucket).withColumn("at", F.explode(F.when(is_head, F.array(once, again)).otherwise(F.array(once))))
     return (
         placed.select("doc_id", "text", "key", "at.bucket", "at.own")
