@@ -12,6 +12,8 @@ longer piece), paths meet; the words between such places are solved once and rem
 Among segmentations of the same score the one with the longest last piece wins, then of those before it, and so on; that
 holds over chunk borders too. Characters without a piece become byte pieces.
 
+New words of a batch are searched together, position by position, in arrays.
+
 The given vocabulary was made by byte-pair merges; its scores are merge ranks. Here they are summed, as in the library's
 unigram mode: ids follow that mode, not the order of merges. Decoding gives back the text either way.
 
@@ -36,10 +38,86 @@ MARK = "▁"
 CHUNK = 32_768
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Words up to so many characters are searched in arrays.
+WIDE = 40
 NONE = -np.inf
 
 
+class Tree:
+    """All pieces as a tree of characters; steps are looked up in a hash table, for many words at once."""
+
+    SIZE = 2**18
+
+    def __init__(self, pieces: dict[str, tuple[float, int]]):
+        nodes, steps = {"": 0}, []
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    nodes[p[:k]] = len(nodes)
+                    steps.append((nodes[p[: k - 1]] << 21 | ord(p[k - 1]), nodes[p[:k]]))
+        while self.SIZE < 3 * len(steps):
+            self.SIZE *= 2
+        self.keys, self.to = np.full(self.SIZE, -1, np.int64), np.zeros(self.SIZE, np.int32)
+        keys = np.array([k for k, _ in steps], np.int64)
+        for key, at, (_, to) in zip(keys.tolist(), self.places(keys).tolist(), steps, strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) % self.SIZE
+            self.keys[at], self.to[at] = key, to
+        self.score, self.piece = np.full(len(nodes), NONE), np.full(len(nodes), -1, np.int32)
+        for p, (score, i) in pieces.items():
+            self.score[nodes[p]], self.piece[nodes[p]] = score, i
+        self.longest = max(map(len, pieces))
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % self.SIZE
+
+    def steps(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The nodes one character on; -1 where there is none."""
+        keys = nodes.astype(np.int64) << 21 | letters
+        at = self.places(keys)
+        got = self.keys[at]
+        open_ = np.flatnonzero((got != keys) & (got >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % self.SIZE
+            got[open_] = self.keys[at[open_]]
+            open_ = open_[(got[open_] != keys[open_]) & (got[open_] >= 0)]
+        return np.where(got == keys, self.to[at], -1)
+
+    def best(self, words: list[str]) -> list[bytes]:
+        """Id bytes of words, longest word first; each of their characters is a piece."""
+        sizes = np.array([len(w) for w in words])
+        wide = int(sizes[0])
+        letters = np.zeros((len(words), wide), np.int64)
+        letters[np.arange(wide) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        best = np.full((wide + 1, len(words)), NONE)
+        best[0] = 0
+        begin, last = np.zeros((wide + 1, len(words)), np.int32), np.zeros((wide + 1, len(words)), np.int32)
+        for at in range(wide):
+            rows = np.arange(np.searchsorted(-sizes, -at, "left"))
+            nodes = np.zeros(len(rows), np.int32)
+            for to in range(at + 1, min(wide, at + self.longest) + 1):
+                fits = sizes[rows] >= to
+                rows, nodes = rows[fits], nodes[fits]
+                nodes = self.steps(nodes, letters[rows, to - 1])
+                alive = nodes >= 0
+                rows, nodes = rows[alive], nodes[alive]
+                if not len(rows):
+                    break
+                new = best[at, rows] + self.score[nodes]
+                better = new > best[to, rows]
+                r = rows[better]
+                best[to, r], begin[to, r], last[to, r] = new[better], at, self.piece[nodes[better]]
+        out, filled = np.zeros((len(words), wide), "<i4"), np.full(len(words), wide)
+        at, rows = sizes.copy(), np.arange(len(words))
+        while len(rows):
+            filled[rows] -= 1
+            out[rows, filled[rows]] = last[at[rows], rows]
+            at[rows] = begin[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        return [row[k:].tobytes() for row, k in zip(out, filled, strict=True)]
+
+
 class Vocabulary:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -56,8 +134,15 @@ class Vocabulary:
         self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         inner = any(re.search(f"[^{MARK}]{MARK}|\n", p) and len(p) > 1 for p in self.pieces)
         #: Parts that no piece crosses; without such places a text is one part.
+        self.crossed = inner
         self.parts = re.compile("(?s).+" if inner else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-        self.known: dict[str, tuple[float, bytes]] = {}
+        single = "".join(re.escape(p) for p in self.pieces if len(p) == 1)
+        #: Parts whose every character is a piece; they can be searched in arrays.
+        self.easy = re.compile(f"[{single}]{{1,{WIDE}}}" if single else "(?!)")
+        self.plain = re.compile(f"[{single}]*" if single else "(?!)")
+        self.tree = Tree(self.pieces)
+        self.values = np.array([p.score for p in model.pieces])
+        self.known: dict[str, bytes] = {}
 
     def marked(self, text: str) -> str:
         """The text as it is segmented."""
@@ -100,26 +185,35 @@ class Vocabulary:
             out.append(self.ids(s, at, piece))
         return at, [i for part in reversed(out) for i in part]
 
-    def part(self, s: str) -> tuple[float, bytes]:
-        """Score and id bytes of a part that no piece crosses."""
-        got = self.known.get(s)
-        if got is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            best, last = self.forward(s, {0: 0.0}, len(s))
-            got = best[len(s)], np.array(self.back(s, last, len(s))[1], "<i4").tobytes()
-            if len(s) < 64:
-                self.known[s] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        """A whole text as one chunk."""
-        parts = self.parts.findall(self.marked(text))
-        known = self.known
-        try:
-            return b"".join([known[p][1] for p in parts])
-        except KeyError:
-            return b"".join([self.part(p)[1] for p in parts])
+    def learn(self, parts) -> None:
+        """Solve parts that no piece crosses, and remember their id bytes."""
+        if len(self.known) > REMEMBERED:  # short words come again most often
+            kept = {p: ids for p, ids in self.known.items() if len(p) <= 7}
+            self.known = kept if len(kept) < REMEMBERED // 2 else {}
+        new = [p for p in parts if p not in self.known]
+        easy = sorted((p for p in new if self.easy.fullmatch(p)), key=len, reverse=True)
+        for k in range(0, len(easy), 20_000):
+            some = easy[k : k + 20_000]
+            for p, ids in zip(some, self.tree.best(some), strict=True):
+                self.known[p] = ids
+        for p in new:
+            if p not in self.known:
+                _, last = self.forward(p, {0: 0.0}, len(p))
+                self.known[p] = np.array(self.back(p, last, len(p))[1], "<i4").tobytes()
+
+    def score(self, parts: list[str]) -> float:
+        """The sum of the best scores of parts."""
+        self.learn(set(parts))
+        if all(len(p) <= WIDE for p in parts) and self.plain.fullmatch("".join(parts)):
+            return float(self.values[np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<i4")].sum())
+        return sum(self.forward(p, {0: 0.0}, len(p))[0][len(p)] for p in parts)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Whole texts, each as one chunk."""
+        each = [self.parts.findall(self.marked(t)) for t in texts]
+        self.learn(set().union(*each))
+        get = self.known.__getitem__
+        return [b"".join(map(get, parts)) for parts in each]
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -127,11 +221,15 @@ class Vocabulary:
 
     # --- chunks ---
 
+    def meets(self, s: str, at: int) -> bool:
+        """Whether no piece crosses this place: a part of the text begins here."""
+        return (s[at] == MARK and s[at - 1] != MARK) or s[at] == "\n" or s[at - 1] == "\n"
+
     def regions(self, s: str, size: int) -> tuple[int, int]:
         """The first and the last place of a chunk (with what follows it, in s) where paths meet; size + 1 if there is none."""
-        cuts = [m.start() for m in self.parts.finditer(s) if 0 < m.start() <= size]
-        # a part that begins the chunk may be the rest of one from before
-        return (cuts[0], cuts[-1]) if cuts else (size + 1, size + 1)
+        places = range(1, min(size, len(s) - 1) + 1)
+        first = None if self.crossed else next((i for i in places if self.meets(s, i)), None)
+        return (size + 1, size + 1) if first is None else (first, next(i for i in reversed(places) if self.meets(s, i)))
 
     def matrix(self, s: str, size: int, first: bool) -> np.ndarray:
         """The transfer matrix of the chunk s[:size]."""
@@ -140,7 +238,7 @@ class Vocabulary:
         out = np.full((n, n), NONE)
         middle, tail = 0.0, {}
         if a <= size:
-            middle = sum(self.part(p)[0] for p in self.parts.findall(s[a:b]))
+            middle = self.score(self.parts.findall(s[a:b]))
             tail, _ = self.forward(s, {b: 0.0}, size)
         for i in range(1 if first else min(n, size + 1, a + 1)):
             head, _ = self.forward(s, {i: 0.0}, min(a, size))
@@ -151,8 +249,37 @@ class Vocabulary:
                     out[i, j] = head[a] + middle + tail[size + j]
         return out
 
-    def traced(self, s: str, size: int, alpha: np.ndarray) -> tuple[dict, dict]:
-        return self.forward(s, {i: a for i, a in enumerate(alpha) if a > NONE and i <= len(s)}, size)
+    def traced(self, s: str, size: int, alpha: np.ndarray) -> Traced:
+        return Traced(self, s, size, alpha)
+
+
+class Traced:
+    """A chunk's best paths from the scores at its start, up to every state at its end. Between the first and the last
+    place where paths meet there is one path for all states."""
+
+    def __init__(self, voc: Vocabulary, s: str, size: int, alpha: np.ndarray):
+        self.voc, self.s, self.size = voc, s, size
+        self.a, self.b = voc.regions(s, size)
+        self.meets = self.a <= size
+        entry = {i: x for i, x in enumerate(alpha) if x > NONE and i <= len(s)}
+        self.head, self.head_last = voc.forward(s, entry, min(self.a, size))
+        self.tail, self.tail_last = voc.forward(s, {self.b: 0.0}, size) if self.meets else ({}, {})
+
+    def reached(self, state: int) -> bool:
+        at = self.size + state
+        return self.a in self.head and at in self.tail if self.meets else at in self.head
+
+    def entry(self, state: int) -> int:
+        return self.voc.back(self.s, self.head_last, self.a if self.meets else self.size + state)[0]
+
+    def ids(self, state: int) -> bytes:
+        if not self.meets:
+            return np.array(self.voc.back(self.s, self.head_last, self.size + state)[1], "<i4").tobytes()
+        head = self.voc.back(self.s, self.head_last, self.a)[1]
+        tail = self.voc.back(self.s, self.tail_last, self.size + state)[1]
+        parts = self.voc.parts.findall(self.s[self.a : self.b])
+        self.voc.learn(set(parts))
+        return b"".join([np.array(head, "<i4").tobytes(), *(self.voc.known[p] for p in parts), np.array(tail, "<i4").tobytes()])
 
 
 @functools.cache
@@ -213,8 +340,8 @@ def encoded_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
         for shas, cs, sizes, ss, alphas in common.text_batches(batches, "sha", "c", "size", "s", "alpha"):
             to = []
             for s, size, alpha in zip(ss, sizes, alphas, strict=True):
-                best, last = voc.traced(s, size, np.frombuffer(alpha, float))
-                to.append(bytes(voc.back(s, last, size + j)[0] if size + j in best else 255 for j in range(n)))
+                paths = voc.traced(s, size, np.frombuffer(alpha, float))
+                to.append(bytes(paths.entry(j) if paths.reached(j) else 255 for j in range(n)))
             yield pa.RecordBatch.from_pydict({"sha": shas, "c": pa.array(cs, pa.int32()), "to": to})
 
     def states(pdf):
@@ -231,8 +358,7 @@ def encoded_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
         for shas, cs, sizes, ss, alphas, ends in common.text_batches(batches, "sha", "c", "size", "s", "alpha", "state"):
             ids = []
             for s, size, alpha, state in zip(ss, sizes, alphas, ends, strict=True):
-                _, last = voc.traced(s, size, np.frombuffer(alpha, float))
-                ids.append(np.array(voc.back(s, last, size + state)[1], "<i4").tobytes())
+                ids.append(voc.traced(s, size, np.frombuffer(alpha, float)).ids(state))
             yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(cs, pa.int32()), rows_of(ids)], names=["sha", "c", "ids"])
 
     chunks = common.materialised(texts.mapInArrow(split, "sha string, c int, size int, s string"), "chunks")
@@ -255,11 +381,11 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CH
     def run(batches):
         voc = vocabulary(path)
         for ids, texts in common.text_batches(batches, "doc_id", "text"):
-            for a in range(0, len(ids), 500):
-                some = texts[a : a + 500]
-                got = [voc.encode(t) for t in some]
+            for a in range(0, len(ids), 300):
+                some = texts[a : a + 300]
+                got = voc.encode(some)
                 exact = [voc.decode(np.frombuffer(g, "<i4").tolist()) == t for g, t in zip(got, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 500], pa.int64()), rows_of(got), pa.array(exact, pa.bool_())], names=["doc_id", "ids", "exact"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 300], pa.int64()), rows_of(got), pa.array(exact, pa.bool_())], names=["doc_id", "ids", "exact"])
 
     def checked(batches):
         voc = vocabulary(path)
