@@ -15,8 +15,9 @@ with the same anchor form a fragment; fragments are what travels.
    the matching statistics of all positions stream out: a position's longest match with its neighbour in suffix order is
    its run sample's, less the distance from it. Windows whose match is at least ``LENGTH`` long belong together with
    their neighbour's; of windows that belong together all but the earliest are marked.
-3. An anchor with more than ``MOST`` fragments (a very common line) is taken apart further: its windows are dealt by the
-   hash of their whole content, which needs no text in one place.
+3. An anchor with more than ``MOST`` fragments (a very common line) is taken apart: its windows get longer anchors, the
+   bytes that all windows with the anchor at a like place share, and go through both steps again. Where even those are too
+   common, windows are dealt by the hash of their whole content, which needs no text in one place.
 
 Defined cases: a null text is the empty text; documents of fewer than ``LENGTH`` bytes keep all; a null ``doc_id`` comes
 before all others; rows of equal ``doc_id`` are ordered by their texts, and rows equal in both are one document (each of
@@ -37,9 +38,9 @@ from cellweave.llm import common
 
 LENGTH, SEED = 100, 32
 #: Bytes of texts that are hashed at once, and of fragments that one index holds (unless one anchor has more).
-BLOCK, TEXT = 2 << 20, 1 << 20
+BLOCK, TEXT = 1 << 20, 1 << 19
 #: Fragments of an anchor that go into one index.
-MOST = 2000
+MOST = 500
 U64 = np.uint64
 
 
@@ -344,6 +345,39 @@ def indexed(pieces: DataFrame) -> DataFrame:
     return dealt.select("anchor", "ord", "start", "body").mapInArrow(run, MARK)
 
 
+def longer(pieces: DataFrame) -> DataFrame:
+    """Fragments of common anchors with longer ones. A window has its anchor 0 to LENGTH - SEED bytes after its start; those
+    with it in the first half of these places share LENGTH - 34 bytes from the anchor on, the others as many bytes or more
+    that end with the anchor."""
+    half = (LENGTH - SEED + 1) // 2
+
+    def run(batches):
+        for rows in blocks(batches, "anchor", "ord", "start", "body", most=TEXT // 4):
+            out = []
+            for anchor, order, start, body in rows:
+                data = np.frombuffer(body, np.uint8)
+                seed, h64 = hashed(data)
+                n = len(data) - LENGTH + 1
+                at = np.flatnonzero(seed.view(np.int64) == anchor)
+                place = at[np.searchsorted(at, np.arange(n))]
+                late = place - np.arange(n) > half
+                new = np.ones(n, bool)
+                new[1:] = (place[1:] != place[:-1]) | (late[1:] != late[:-1])
+                begin = np.flatnonzero(new)
+                count = np.diff(np.append(begin, n))
+                size = count + LENGTH - 1
+                p = place[begin]
+                first = np.where(late[begin], p - half - 1, p)  # shared: 66 bytes from the anchor on, or 67 up to its end
+                second = np.where(late[begin], p + SEED - 64, p + LENGTH - half - 64)
+                key = mixed(h64[first] * FACTORS[7] + h64[second] * FACTORS[8] + late[begin].astype(U64))
+                content = mixed(h64[begin] * FACTORS[7] + h64[begin + (size - 64) // 2] * FACTORS[8] + (h64[begin + size - 64] ^ FACTORS[10]) * FACTORS[9] + size.astype(U64))
+                out.append((np.ones(len(begin), bool), key.view(np.int64), content.view(np.int64), np.full(len(begin), order), (start + begin).astype(np.int32), count.astype(np.int32)))
+            own, key, content, order, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key), pa.array(content), pa.array(order), pa.array(start), pa.array(count)], names=["own", "anchor", "content", "ord", "start", "windows"])
+
+    return pieces.select("anchor", "ord", "start", "body").mapInArrow(run, FRAGMENT)
+
+
 def by_window(pieces: DataFrame) -> DataFrame:
     """The same for anchors of any size: windows meet by the hash of their whole content, each distinct one once."""
 
@@ -398,15 +432,28 @@ def sliced(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(each, "ord").select("ord", "parts", "text").mapInArrow(run, "anchor long, many boolean, ord long, start int, body binary")
 
 
+def opened(found: DataFrame) -> DataFrame:
+    """Open fragments, and whether their anchor has too many of them (many)."""
+    rows = found.where("open").drop("open")
+    crowded = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("anchor", F.lit(True).alias("many"))
+    return rows.join(crowded, "anchor", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+
+
 def repeats(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """(ord, start, windows): runs of windows that occur earlier."""
     found = common.materialised(sifted(rows), "fragments")
-    opened = found.where("open").drop("open")
-    common_anchors = opened.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("anchor", F.lit(True).alias("many"))
-    wanted = opened.join(common_anchors, "anchor", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    pieces = common.materialised(sliced(texts, wanted), "pieces")
-    plain = found.where("not open").select("ord", "start", "windows")
-    return plain.unionByName(indexed(pieces.where("not many"))).unionByName(by_window(pieces.where("many")))
+    pieces = common.materialised(sliced(texts, opened(found)), "pieces")
+    crowded = pieces.where("many")
+    further = common.materialised(sifted(longer(crowded)), "fragments")
+    # their bytes lie in the pieces that they are parts of
+    part = opened(further).withColumnRenamed("start", "at").withColumnRenamed("anchor", "key").withColumnRenamed("many", "still")
+    inside = crowded.join(part, "ord").where((F.col("at") >= F.col("start")) & (F.col("at") + F.col("windows") + LENGTH - 1 <= F.col("start") + F.octet_length("body")))
+    cut = F.substring("body", F.col("at") - F.col("start") + 1, F.col("windows") + LENGTH - 1)
+    parts = inside.select(F.col("key").alias("anchor"), F.col("still").alias("many"), "ord", F.col("at").alias("start"), cut.alias("body"))
+    parts = common.materialised(parts, "pieces")
+    whole = found.where("not open").select("ord", "start", "windows").unionByName(further.where("not open").select("ord", "start", "windows"))
+    few = indexed(pieces.where("not many")).unionByName(indexed(parts.where("not many")))
+    return whole.unionByName(few).unionByName(by_window(parts.where("many")))
 
 
 RESULT = "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
