@@ -26,7 +26,7 @@ from cellweave.llm import common
 
 SPACE, LOWER, UPPER, DIGIT, STOP, BAR, BANG, SYMBOL, HIGH, LINE, CLASSES = range(11)
 #: Texts are counted in blocks of so many bytes.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Shares of the pooled covariance, and of its diagonal, in each class's covariance.
 TO_POOLED, TO_DIAGONAL = 0.05, 0.05
 
