@@ -127,7 +127,8 @@ def candidates(nodes: DataFrame, parts, limit: int, wider: int) -> DataFrame:
                 a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return simhash.in_buckets(nodes.select("id", "fp", "v1", "v2"), parts).mapInArrow(run, "a long, b long").distinct()
+    few, many = simhash.in_buckets_once(nodes.select("id", "fp", "v1", "v2"), parts)
+    return few.mapInArrow(run, "a long, b long").unionByName(many.mapInArrow(run, "a long, b long"))
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:

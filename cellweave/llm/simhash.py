@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm import common
@@ -186,9 +186,9 @@ def probe_of(part: int, key: Column):
     return lambda flip: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(flip).alias("key"), F.lit(False).alias("own"))
 
 
-def in_buckets(rows: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """rows: distinct (id, fp, ...). Each row in its bucket of every part (own) and in those that it probes, dealt and sorted
-    by bucket: id, fp, own, part, key, block, and the further columns."""
+def probed_by(rows: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """rows: distinct (id, fp, ...). Each row in its bucket of every part (own) and in those that it probes: id, fp, part, key,
+    own, and the further columns."""
     more = [c for c in rows.columns if c not in ("id", "fp")]
     sent = []
     for k, (bits, threshold) in enumerate(parts):
@@ -200,14 +200,35 @@ def in_buckets(rows: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame
         if other:
             flips = F.array(*[F.lit(x).cast("long") for x in other])
             sent.append(F.transform(flips, probe_of(k, key)))
-    probed = rows.select("id", "fp", F.explode(F.concat(*sent)).alias("at"), *more).select("id", "fp", "at.part", "at.key", "at.own", *more)
-    # buckets of one part that are too large: their rows go to every block that pairs their own block with another
-    large = probed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).withColumn("blocks", F.ceil(F.col("n") / (MOST // 2)).cast("int"))
-    seen = probed.join(large.select("part", "key", "blocks"), ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return rows.select("id", "fp", F.explode(F.concat(*sent)).alias("at"), *more).select("id", "fp", "at.part", "at.key", "at.own", *more)
+
+
+def in_blocks(seen: DataFrame, more: list[str]) -> DataFrame:
+    """Rows with ``blocks``, the number of blocks of their bucket, dealt to every pair of blocks that theirs is in, sorted."""
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, mine) * F.col("blocks") + F.greatest(x, mine))
     dealt = seen.withColumn("block", F.explode(pair)).select("id", "fp", "own", "part", "key", "block", *more)
-    return dealt.repartition(common.even_partitions(rows), "part", "key", "block").sortWithinPartitions("part", "key", "block")
+    return dealt.repartition(common.even_partitions(seen), "part", "key", "block").sortWithinPartitions("part", "key", "block")
+
+
+def in_buckets(rows: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """All rows in their buckets, dealt and sorted: id, fp, own, part, key, block, and the further columns. Buckets that are too
+    large are split: their rows go to every block that pairs their own block with another."""
+    more = [c for c in rows.columns if c not in ("id", "fp")]
+    probed = probed_by(rows, parts)
+    large = probed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).withColumn("blocks", F.ceil(F.col("n") / (MOST // 2)).cast("int"))
+    seen = probed.join(large.select("part", "key", "blocks"), ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return in_blocks(seen, more)
+
+
+def in_buckets_once(rows: DataFrame, parts: list[tuple[list[int], int]]) -> tuple[DataFrame, DataFrame]:
+    """The same in two tables, small buckets and blocks of large ones. Rows that stay in small buckets move once: the count
+    of a bucket comes from a window over the partitioning that they are searched in."""
+    more = [c for c in rows.columns if c not in ("id", "fp")]
+    counted = probed_by(rows, parts).withColumn("n", F.count("*").over(Window.partitionBy("part", "key")))
+    few = counted.where(F.col("n") <= MOST).select("id", "fp", "own", "part", "key", F.lit(0).alias("block"), *more)
+    many = counted.where(F.col("n") > MOST).withColumn("blocks", F.ceil(F.col("n") / (MOST // 2)).cast("int"))
+    return few.sortWithinPartitions("part", "key"), in_blocks(many, more)
 
 
 def whole_buckets(batches):

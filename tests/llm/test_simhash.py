@@ -86,7 +86,9 @@ def test_null_and_repeated_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_representatives_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [20_000, 8])  # with 8, large buckets are split into blocks
+def test_representatives_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
     rows = [(i, t, "x", i) for i, t in enumerate(texts(7, 140))]
     sets = [set(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words_of(t)) else set() for _, t, *_ in rows]
 
