@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +140,6 @@ class Vocabulary:
         single = "".join(re.escape(p) for p in self.pieces if len(p) == 1)
         #: Parts whose every character is a piece; they can be searched in arrays.
         self.easy = re.compile(f"[{single}]{{1,{WIDE}}}" if single else "(?!)")
-        self.plain = re.compile(f"[{single}]*" if single else "(?!)")
         self.tree = Tree(self.pieces)
         self.values = np.array([p.score for p in model.pieces])
         self.known: dict[str, bytes] = {}
@@ -203,10 +203,11 @@ class Vocabulary:
 
     def score(self, parts: list[str]) -> float:
         """The sum of the best scores of parts."""
-        self.learn(set(parts))
-        if all(len(p) <= WIDE for p in parts) and self.plain.fullmatch("".join(parts)):
-            return float(self.values[np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<i4")].sum())
-        return sum(self.forward(p, {0: 0.0}, len(p))[0][len(p)] for p in parts)
+        counts = Counter(parts)
+        self.learn(counts)
+        odd = {p for p in counts if not self.easy.fullmatch(p)}
+        ids = b"".join([self.known[p] for p in parts if p not in odd])
+        return float(self.values[np.frombuffer(ids, "<i4")].sum()) + sum(counts[p] * self.forward(p, {0: 0.0}, len(p))[0][len(p)] for p in odd)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Whole texts, each as one chunk."""
