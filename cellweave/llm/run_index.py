@@ -112,6 +112,16 @@ def blocks(batches, *columns, most: int = BLOCK):
         yield rows
 
 
+def first_of_kind(anchor, content, order, start) -> np.ndarray:
+    """Which fragments are the first of those with equal anchor and content."""
+    by = np.lexsort((start, order, content, anchor))
+    same = np.zeros(len(by), bool)
+    same[1:] = (anchor[by][1:] == anchor[by][:-1]) & (content[by][1:] == content[by][:-1])
+    own = np.empty(len(by), bool)
+    own[by] = ~same
+    return own
+
+
 FRAGMENT = "own boolean, anchor long, content long, ord long, start int, windows int"
 
 
@@ -127,11 +137,7 @@ def fragment_rows(docs: DataFrame) -> DataFrame:
                 continue
             doc, start, windows, anchor, content, _ = fragments(data, offsets)
             o = order[doc]
-            by = np.lexsort((start, o, content, anchor))
-            same = np.zeros(len(by), bool)
-            same[1:] = (anchor[by][1:] == anchor[by][:-1]) & (content[by][1:] == content[by][:-1])
-            own = np.empty(len(by), bool)
-            own[by] = ~same
+            own = first_of_kind(anchor, content, o, start)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(o), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
                 names=["own", "anchor", "content", "ord", "start", "windows"],
@@ -352,7 +358,7 @@ def longer(pieces: DataFrame) -> DataFrame:
     half = (LENGTH - SEED + 1) // 2
 
     def run(batches):
-        for rows in blocks(batches, "anchor", "ord", "start", "body", most=TEXT // 4):
+        for rows in blocks(batches, "anchor", "ord", "start", "body"):
             out = []
             for anchor, order, start, body in rows:
                 data = np.frombuffer(body, np.uint8)
@@ -371,8 +377,14 @@ def longer(pieces: DataFrame) -> DataFrame:
                 second = np.where(late[begin], p + SEED - 64, p + LENGTH - half - 64)
                 key = mixed(h64[first] * FACTORS[7] + h64[second] * FACTORS[8] + late[begin].astype(U64))
                 content = mixed(h64[begin] * FACTORS[7] + h64[begin + (size - 64) // 2] * FACTORS[8] + (h64[begin + size - 64] ^ FACTORS[10]) * FACTORS[9] + size.astype(U64))
-                out.append((np.ones(len(begin), bool), key.view(np.int64), content.view(np.int64), np.full(len(begin), order), (start + begin).astype(np.int32), count.astype(np.int32)))
-            own, key, content, order, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
+                out.append((key.view(np.int64), content.view(np.int64), np.full(len(begin), order), (start + begin).astype(np.int32), count.astype(np.int32)))
+            key, content, order, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
+            own = first_of_kind(key, content, order, start)
+            # repeats that follow each other (periodic text) are one row
+            new = np.ones(len(own), bool)
+            new[1:] = own[1:] | own[:-1] | (order[1:] != order[:-1]) | (start[:-1] + count[:-1] != start[1:])
+            begin = np.flatnonzero(new)
+            own, key, content, order, start, count = own[begin], key[begin], content[begin], order[begin], start[begin], np.add.reduceat(count, begin).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key), pa.array(content), pa.array(order), pa.array(start), pa.array(count)], names=["own", "anchor", "content", "ord", "start", "windows"])
 
     return pieces.select("anchor", "ord", "start", "body").mapInArrow(run, FRAGMENT)

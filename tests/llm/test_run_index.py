@@ -66,6 +66,8 @@ def test_removal_equals_brute_force(spark, monkeypatch):
         rows.append((2000 + i, " ".join(text)))
     rows += [(3000, "xy " * 400), (3001, "xy " * 300), (3002, ""), (3003, None), (3004, "é" * 300), (3005, rows[0][1] * 3)]
     assert result(spark, rows) == sorted(brute(rows), key=str)
+    rows += [(4000 + i, said(3) + " ab cd" * (60 + i) + said(2)) for i in range(8)]  # periodic, in many kinds
+    assert result(spark, rows) == sorted(brute(rows), key=str)
     monkeypatch.setattr(run_index, "MOST", 2)  # common anchors are dealt by window
     assert result(spark, rows) == sorted(brute(rows), key=str)
 
