@@ -1,17 +1,17 @@
 """One document of each group of near copies: SimHash candidates, verified by their word shingles.
 
-Each text has a SimHash of three 64-bit words over its five-word shingles. Texts of which some word differs in at most
+Each text has a SimHash of three 64-bit words over its distinct five-word shingles. Texts of which some word differs in at most
 ``LIMIT`` bits meet in that word's buckets (the generalised pigeonhole of ``simhash``, planned for each word); pairs whose
 three words differ in at most ``WIDER`` bits are candidates. Of the candidates in a bucket a forest of least distances goes on: it links what all pairs
 within any distance would link, with at most one link a row. Each such link is then held against the texts' shingle sets,
-and holds if the sets' similarity (common over all) is ``SIMILARITY`` or more. Texts of equal word sequences are one node.
+and holds if the sets' similarity (common over all) is ``SIMILARITY`` or more. Texts of equal shingle sets are one node.
 Links that hold tie documents to groups; of each group the smallest ``doc_id`` stays.
 
 Two texts of just that similarity differ in 29 of the 192 bits in the mean, with a deviation of 5; about one such pair in
 fifteen is missed, and few that are more alike. Similarity is exact; nothing is removed by a fingerprint alone.
 
 Defined cases: as for ``simhash``; texts without words are copies of each other; a row with a null ``doc_id`` stays only
-if no row of its group has an id; of rows equal in ``doc_id`` and group one stays, with the least word-sequence hash; all
+if no row of its group has an id; of rows equal in ``doc_id`` and group one stays, with the least shingle-set hash; all
 columns of the kept rows stay.
 """
 
@@ -39,8 +39,12 @@ def remixed(h: np.ndarray, salt: np.uint64) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct_hashes(text: str | None) -> np.ndarray:
+    return np.unique(simhash.hashes(text or "", WIDTH))
+
+
 def node_of(h: np.ndarray) -> int:
-    """A text's node: a hash of its shingle sequence."""
+    """A text's node: a hash of its shingle set."""
     return simhash.signed(xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h)))
 
 
@@ -49,7 +53,7 @@ def sketched(docs: DataFrame) -> DataFrame:
         for ids, texts in common.text_batches(batches, "doc_id", "text"):
             out = []
             for doc_id, text in zip(ids, texts, strict=True):
-                h = simhash.hashes(text or "", WIDTH)
+                h = distinct_hashes(text)
                 out.append((doc_id, node_of(h), *(simhash.signed(simhash.fingerprint(x)) for x in (h, *(remixed(h, s) for s in OTHER)))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "id", "fp", "v1", "v2"])
@@ -137,7 +141,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     def run(batches):
         for ids, texts in common.text_batches(batches, "id", "text"):
             for a in range(0, len(ids), 200):
-                sets = [np.unique(simhash.hashes(t or "", WIDTH)).view(np.int64) for t in texts[a : a + 200]]
+                sets = [distinct_hashes(t).view(np.int64) for t in texts[a : a + 200]]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
                 flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 200], pa.int64()), flat], names=["id", "hashes"])
@@ -169,7 +173,7 @@ def nodes_of(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            nodes = [node_of(simhash.hashes(t or "", WIDTH)) for t in batch.column(place).to_pylist()]
+            nodes = [node_of(distinct_hashes(t)) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "__node"])
 
     from pyspark.sql import types as T
