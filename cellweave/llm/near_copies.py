@@ -1,14 +1,14 @@
-"""One document of each group of near copies: SimHash candidates, verified by their word shingles.
+"""One document of each group of near copies: SimHash and prefix candidates, verified by their word shingles.
 
-Each text has a SimHash of three 64-bit words over its distinct five-word shingles. Texts of which some word differs in at most
-``LIMIT`` bits meet in that word's buckets (the generalised pigeonhole of ``simhash``, planned for each word); pairs whose
-three words differ in at most ``WIDER`` bits are candidates. Of the candidates in a bucket a forest of least distances goes on: it links what all pairs
-within any distance would link, with at most one link a row. Each such link is then held against the texts' shingle sets,
-and holds if the sets' similarity (common over all) is ``SIMILARITY`` or more. Texts of equal shingle sets are one node.
-Links that hold tie documents to groups; of each group the smallest ``doc_id`` stays.
+Texts are compared by their distinct five-word shingles; texts with equal sets are one node. Two nodes are tied if the
+sets' similarity (common over all) is ``SIMILARITY`` or more; of each group that ties make the smallest ``doc_id`` stays.
 
-Two texts of just that similarity differ in 29 of the 192 bits in the mean, with a deviation of 5; about one such pair in
-fifteen is missed, and few that are more alike. Similarity is exact; nothing is removed by a fingerprint alone.
+Most ties come cheaply from SimHash: texts whose 64-bit word differs in at most ``LIMIT`` bits meet in its buckets (the
+generalised pigeonhole of ``simhash``), and a forest of least distances of each bucket goes on to the exact check. This
+pass only saves work. All other pairs come from an exact filter: in one order of all shingles, rarest first, similar sets
+share one of their first ``prefix`` shingles, and their sizes and the shingle's places bound what they can share. Pairs
+that a shingle brings together are tested in rounds, by how far apart they are by size; a pair is left out only if a
+bound excludes it, or if verified links join the two already. The order comes from a sample, and is exact whatever it is.
 
 Defined cases: as for ``simhash``; texts without words are copies of each other; a row with a null ``doc_id`` stays only
 if no row of its group has an id; of rows equal in ``doc_id`` and group one stays, with the least shingle-set hash; all
@@ -20,12 +20,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm import common, simhash
 
-WIDTH, LIMIT, WIDER, SIMILARITY = 5, 10, 40, 0.8
+WIDTH, LIMIT, WIDER, SIMILARITY = 5, 4, 40, 0.8
+#: Documents, and shingles of them, that the order of shingles is chosen by.
+SAMPLE, LISTED = 10_000, 100_000
+#: How far apart by size the pairs of each round are, in places of their bucket.
+ROUNDS = (1, 17, 129, 2049, 1 << 40)
 #: Candidate pairs that a task holds before it thins them to a forest.
 HELD = 500_000
 U64 = np.uint64
@@ -48,17 +52,52 @@ def node_of(h: np.ndarray) -> int:
     return simhash.signed(xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h)))
 
 
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a bounded sample, sorted, and their counts in it."""
+
+    def run(batches):
+        for (texts,) in common.text_batches(batches, "text"):
+            for a in range(0, len(texts), 200):
+                flat = np.concatenate([distinct_hashes(t) for t in texts[a : a + 200]])
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["h"])
+
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(run, "h long")
+    got = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(LISTED).collect()
+    h, n = np.array([r["h"] for r in got], np.int64).view(U64), np.array([r["n"] for r in got], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(h: np.ndarray, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which a similar set must share one among its own first."""
+    if not len(h):
+        return h
+    seen = np.zeros(len(h), np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+        seen = np.where(listed[at] == h, counts[at], 0)
+    return h[np.lexsort((h, seen))][: len(h) - int(np.ceil(SIMILARITY * len(h) - 1e-9)) + 1]
+
+
 def sketched(docs: DataFrame) -> DataFrame:
+    listed, counts = frequent(docs)
+
     def run(batches):
+        names = ["doc_id", "id", "fp", "v1", "v2", "size"]
         for ids, texts in common.text_batches(batches, "doc_id", "text"):
-            out = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                h = distinct_hashes(text)
-                out.append((doc_id, node_of(h), *(simhash.signed(simhash.fingerprint(x)) for x in (h, *(remixed(h, s) for s in OTHER)))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "id", "fp", "v1", "v2"])
+            for a in range(0, len(ids), 500):
+                out, firsts = [], []
+                for doc_id, text in zip(ids[a : a + 500], texts[a : a + 500], strict=True):
+                    h = distinct_hashes(text)
+                    out.append((doc_id, node_of(h), *(simhash.signed(simhash.fingerprint(x)) for x in (h, *(remixed(h, s) for s in OTHER))), len(h)))
+                    firsts.append(prefix(h, listed, counts).view(np.int64))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])])
+                flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), flat], names=[*names, "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, id long, fp long, v1 long, v2 long")
+    shape = "doc_id long, id long, fp long, v1 long, v2 long, size long, prefix array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
 
 
 def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -135,6 +174,48 @@ def candidates(nodes: DataFrame, parts, limit: int, wider: int) -> DataFrame:
     return few.mapInArrow(run, "a long, b long").unionByName(many.mapInArrow(run, "a long, b long"))
 
 
+def met(nodes: DataFrame) -> DataFrame:
+    """nodes: (id, size, prefix). The prefix shingles that several nodes have: id, size, pos, key, and the count n of nodes."""
+    each = nodes.select("id", "size", F.posexplode("prefix").alias("pos", "key"))
+    return each.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+
+
+def apart(tokens: DataFrame, tied: DataFrame, first: int, last: int) -> DataFrame:
+    """tokens: as from ``met``. Pairs (a, b) that may be similar, are not in one component of ``tied``, and whose places by
+    size in a bucket are ``first`` to ``last`` - 1 apart."""
+
+    def run(batches):
+        for (ids, size, _, _, _, _, pos, label), begins in simhash.whole_buckets(batches):
+            lengths = np.diff(begins)
+            order = np.lexsort((ids, size, np.repeat(np.arange(len(lengths)), lengths)))
+            ids, size, pos, label = (x[order] for x in (ids, size, pos, label))
+            end, index, out, held = np.repeat(begins[1:], lengths), np.arange(len(ids)), [], 0
+            for step in range(first, min(last, int(lengths.max()))):
+                index = index[index + step < end[index]]
+                index = index[size[index] >= SIMILARITY * size[index + step] - 1e-9]
+                if not len(index):
+                    break
+                x, y = index, index + step
+                most = np.minimum(size[x] - pos[x], size[y] - pos[y])  # what they share from here on, at most
+                near = (label[x] != label[y]) & (most >= SIMILARITY * (size[x] + size[y] - most) - 1e-9)
+                out.append((ids[x[near]], ids[y[near]]))
+                held += int(near.sum())
+                if held > HELD:
+                    yield sent(out)
+                    out, held = [], 0
+            if held:
+                yield sent(out)
+
+    def sent(out):
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    named = tokens.where(F.col("n") > first).join(tied, "id", "left")
+    blocks = F.when(F.col("n") > simhash.MOST, F.ceil(F.col("n") / (simhash.MOST // 2))).otherwise(1).cast("int")
+    seen = named.select("id", F.col("size").alias("fp"), F.lit(True).alias("own"), F.lit(0).alias("part"), "key", blocks.alias("blocks"), "pos", F.coalesce("component", "id").alias("label"))
+    return simhash.in_blocks(seen, ["pos", "label"]).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
 def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, hashes) of the documents in rows (doc_id, id)."""
 
@@ -185,15 +266,23 @@ def representatives(docs: DataFrame, limit: int = LIMIT, wider: int = WIDER) ->
     """The rows of ``docs`` that stay: one of each group of near copies."""
     rows = common.materialised(sketched(docs), "simhash")
     regular = rows.where("doc_id is null").isEmpty() and rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    nodes = common.materialised(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("v1").alias("v1"), F.first("v2").alias("v2")), "nodes")
-    found = []
-    for word in ("fp", "v1", "v2"):
-        first, *others = [word, *(w for w in ("fp", "v1", "v2") if w != word)]
-        turned = nodes.select("id", F.col(first).alias("fp"), F.col(others[0]).alias("v1"), F.col(others[1]).alias("v2"))
-        found.append(candidates(turned, simhash.search_plan(turned.select("fp").distinct(), limit), limit, wider))
-    pairs = common.materialised(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "candidates")
-    held = verified(docs, nodes.select("id", "doc_id"), pairs, regular)
+    firsts = [F.first(c).alias(c) for c in ("fp", "v1", "v2", "size", "prefix")]
+    nodes = common.materialised(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
+    own = nodes.select("id", "doc_id")
+    plan = simhash.search_plan(nodes.select("fp").distinct(), limit)
+    pairs = common.materialised(candidates(nodes, plan, limit, wider).distinct(), "candidates")
+    held = common.materialised(verified(docs, own, pairs, regular), "links")
     tied = simhash.components(held)
+    tokens = common.materialised(met(nodes), "tokens")
+    most = tokens.agg(F.max("n")).first()[0] or 0
+    for begin, end in zip(ROUNDS[:-1], ROUNDS[1:], strict=True):
+        if begin >= most:
+            break
+        pairs = common.materialised(apart(tokens, tied, begin, end), "candidates")
+        new = common.materialised(verified(docs, own, pairs, regular), "links")
+        if not new.isEmpty():
+            held = held.unionByName(new)
+            tied = simhash.components(held)
     named = nodes.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x"))
     stays = first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.id").alias("id"))

@@ -26,6 +26,14 @@ def said(rng, n):
     return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
 
 
+def changed(rng, words, runs):
+    """Each changed word, far from others, makes five shingles new."""
+    out = list(words)
+    for at in rng.sample(range(1, len(words) // 10), runs):
+        out[at * 10] = "".join(said(rng, 2))
+    return out
+
+
 def test_repeats_do_not_count(spark):
     rng = random.Random(1)
     texts = []
@@ -33,3 +41,22 @@ def test_repeats_do_not_count(spark):
         line, rest = said(rng, 10), said(rng, 100)
         texts += [" ".join(line + rest), " ".join(line * times + rest)]
     assert kept(spark, texts) == left(texts) == set(range(0, 40, 2))
+
+
+def test_no_true_link_is_thinned_away(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(80):  # b is not similar to a or c, which are similar
+        b = said(rng, 229)
+        a = changed(rng, b, 3) + said(rng, 16)
+        c = changed(rng, a, 4)
+        texts += [" ".join(a), " ".join(b), " ".join(c)]
+    assert kept(spark, texts) == left(texts)
+
+
+def test_rounds_test_every_pair_of_a_large_bucket(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(near_copies, "ROUNDS", (1, 2, 5, 11, 1 << 40))
+    base = said(rng, 120)
+    texts = [" ".join(changed(rng, base, rng.randint(0, 4)) + said(rng, rng.randint(0, 12))) for _ in range(90)]
+    assert kept(spark, texts) == left(texts)
