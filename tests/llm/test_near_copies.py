@@ -43,6 +43,15 @@ def test_repeats_do_not_count(spark):
     assert kept(spark, texts) == left(texts) == set(range(0, 40, 2))
 
 
+def test_no_pair_at_the_limit_is_missed(spark):
+    rng = random.Random(2)
+    texts = []
+    for _ in range(150):
+        words = said(rng, 229)  # 225 shingles, of which five words change 25: 200 of 250 are common
+        texts += [" ".join(words), " ".join(changed(rng, words, 5))]
+    assert kept(spark, texts) == left(texts) == set(range(0, 300, 2))
+
+
 def test_no_true_link_is_thinned_away(spark):
     rng = random.Random(3)
     texts = []
