@@ -9,10 +9,12 @@ mixed radices), so different entities get different surrogates and equal ones eq
 * card numbers keep their issuer's digit and whether their Luhn check holds; IBANs keep country and valid check digits;
 * social security numbers and secrets (access keys, tokens, passwords) keep length and character classes;
 * persons after a form of address get names of the same gender and script; surnames and given names are replaced one by
-  one, so that "Mrs Ann Lee" and "Mrs Lee" stay the same person.
+  one, so that "Mrs Ann Lee" and "Mrs Lee" stay the same person, and later mentions in the same text without a form of
+  address are replaced too. A given name after "Dr" has the gender that another form of address in the text gives it.
 
 Collision checks run over all distinct entities of the corpus: a surrogate that is another entity of the corpus, or that
-a second entity has (names come from lists), is drawn again with the next attempt number until there is none.
+a second entity has, is drawn again with the next attempt number until there is none. Names come from lists first; from
+the third attempt on they have a second part, one syllable longer with each attempt, so that no number of names is too many.
 
 Defined cases: a null text stays null and has no entities; an empty table gives no rows; other columns are kept as they
 are; equal rows are treated alike. Matches never overlap: the leftmost, then the first kind in ``KINDS``, wins.
@@ -48,6 +50,10 @@ SURNAMES = {
     "latin": ["Abbott", "Baker", "Carver", "Dalton", "Ellis", "Fischer", "Garner", "Hansen", "Iverson", "Jensen", "Keller", "Lambert", "Moreno", "Novak", "Olsen", "Parker", "Quinn", "Romero", "Schmitt", "Turner", "Ulrich", "Vargas", "Weber", "Young", "Zimmer"],
     "cyrillic": ["Белов", "Волков", "Громов", "Жуков", "Зайцев", "Комаров", "Лебедев", "Морозов", "Орлов", "Соколов"],
 }
+SYLLABLES = {
+    "latin": [c + v for c in "bdfgklmnprstvz" for v in "aeiou"],
+    "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"],
+}
 TITLES = {t: g for g, ts in ADDRESS.items() for t in ts}
 NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:['-][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 #: Kind: (what a text must hold to be searched, pattern; the group "x", if there is one, is what gets replaced).
@@ -65,6 +71,7 @@ DIGITS = re.compile("[0-9]{2}")
 #: One of these is in every text that has a form of address: those that hold no other one, and "M" with what must follow.
 ADDRESSED = [t for t in TITLES if t != "M" and not any(o in t for o in TITLES if o not in ("M", t))] + ["M ", "M. "]
 PERSON = re.compile(rf"\b(?P<t>{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\b\.?[ ]+(?P<x>{NAME}(?: {NAME}){{0,2}})")
+BARE = re.compile(rf"\b{NAME}\b")
 #: Exceptions up to this count travel in the tasks' closure; more are joined by document.
 CLOSURE_ROWS = 10_000
 ENTITY = "kind string, entity string"
@@ -170,8 +177,12 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         return by_class(entity, key, tweak)
     _, gender, script = kind.split("_")  # name_<gender or s>_<script>
     pool = SURNAMES[script] if gender == "s" else GIVEN[gender, script]
-    names = [pool[prf(key, tweak, entity, i) % len(pool)] for i in range(1 + (attempt > 2) + (attempt > 6))]
-    return "-".join(names)
+    name = pool[prf(key, tweak, entity, 0) % len(pool)]
+    if attempt < 3:
+        return name
+    syllables = SYLLABLES[script]  # lists end; a second part of ever more syllables does not
+    part = "".join(syllables[prf(key, tweak, entity, i) % len(syllables)] for i in range(1, attempt))
+    return f"{name}-{part.capitalize()}"
 
 
 def normal(kind: str, entity: str) -> str:
@@ -188,13 +199,24 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             a, b = m.span("x") if "x" in pattern.groupindex and m["x"] is not None else m.span()
             spans.append((a, rank, b, kind, text[a:b]))
-    for m in PERSON.finditer(text) if any(map(text.__contains__, ADDRESSED)) else ():
+    persons = list(PERSON.finditer(text)) if any(map(text.__contains__, ADDRESSED)) else []
+    given: dict[str, set[str]] = {}  # the genders that forms of address give a given name in this text
+    for m in persons:
+        for word in m["x"].split(" ")[:-1]:
+            given.setdefault(word, set()).add(TITLES[m["t"]])
+    named: dict[str, tuple[int, str]] = {}
+    for m in persons:
         at, words = m.start("x"), m["x"].split(" ")
         for i, word in enumerate(words):
             last = i == len(words) - 1
-            kind = f"name_{'s' if last else TITLES[m['t']]}_{script_of(word)}"
+            known = "s" if last else "".join(given[word] - {"u"})
+            kind = f"name_{known if len(known) == 1 else TITLES[m['t']]}_{script_of(word)}"
             spans.append((at, len(PATTERNS), at + len(word), kind, word))
+            named.setdefault(word, (at, kind))
             at += len(word) + 1
+    for m in BARE.finditer(text) if named else ():  # a later mention without a form of address
+        if m[0] in named and m.start() > named[m[0]][0]:
+            spans.append((m.start(), len(PATTERNS) + 1, m.end(), named[m[0]][1], m[0]))
     out, end = [], 0
     for a, _, b, kind, entity in sorted(spans):
         if a >= end:
@@ -256,6 +278,9 @@ def attempts(own: DataFrame, key: bytes, most: int = 40) -> DataFrame:
         if losers.isEmpty():
             break
         now = common.materialised(clash.where("not again").select("kind", "entity", "attempt", "other").unionByName(losers.mapInArrow(drawn, shape)), "surrogates")
+    else:  # names never come here, as each attempt draws from more; a short format may be used up by real entities
+        kinds = [r["kind"] for r in losers.select("kind").distinct().collect()]
+        raise RuntimeError(f"surrogates still collide after {most} attempts: {', '.join(sorted(kinds))}")
     return now.where("attempt > 0").select("kind", "entity", "attempt")
 
 
