@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -26,13 +27,35 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base if ':' in base else 'file://' + base}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_released(spark: SparkSession):
+    """Within it, the shuffle files of a query go when the query ends, and not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: its lineage is cut, any executor can read it."""
+    """``df`` written as a table in the shared folder and read again: its lineage is cut, any executor can read it, and
+    the shuffles that made it are given up."""
     out = fresh_folder(df.sparkSession, name)
-    df.write.parquet(out)
+    with shuffles_released(df.sparkSession):
+        df.write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with more underscores until no table has a column called so (whatever its case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI, and the path in it; tasks use it for files that are not tables."""
     system, path = fs.FileSystem.from_uri(uri)
@@ -43,11 +66,6 @@ def is_local(system: fs.FileSystem) -> bool:
     return isinstance(system, fs.LocalFileSystem) or "Local" in type(getattr(system, "base_fs", system)).__name__
 
 
-def commit_bytes(system: fs.FileSystem, attempt: str, final: str) -> None:
-    """Give a finished file its name. Names hold a random part, so that a task's second attempt never meets the first."""
-    system.move(attempt, final)
-
-
 def text_batches(batches, *columns):
     """Of each arrow batch: the columns as Python lists."""
     for batch in batches:

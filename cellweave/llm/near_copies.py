@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm import common, simhash
@@ -170,14 +170,14 @@ def candidates(nodes: DataFrame, parts, limit: int, wider: int) -> DataFrame:
                 a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    few, many = simhash.in_buckets_once(nodes.select("id", "fp", "v1", "v2"), parts)
-    return few.mapInArrow(run, "a long, b long").unionByName(many.mapInArrow(run, "a long, b long"))
+    return simhash.in_buckets(nodes.select("id", "fp", "v1", "v2"), parts).mapInArrow(run, "a long, b long")
 
 
 def met(nodes: DataFrame) -> DataFrame:
-    """nodes: (id, size, prefix). The prefix shingles that several nodes have: id, size, pos, key, and the count n of nodes."""
+    """nodes: (id, size, prefix). The prefix shingles that several nodes have: id, size, pos, key, and the count n of nodes. Counts
+    are combined before they move, and the join that follows may be split, so that no shingle gathers in one task."""
     each = nodes.select("id", "size", F.posexplode("prefix").alias("pos", "key"))
-    return each.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    return each.join(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("id", "size", "pos", "key", "n")
 
 
 def apart(tokens: DataFrame, tied: DataFrame, first: int, last: int) -> DataFrame:
@@ -239,8 +239,8 @@ def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, regular: bool)
     if regular:
         sets = shingle_sets(docs, rows)
     else:  # an id may have several texts: their own nodes tell which is meant
-        sets = nodes_of(docs).join(needed.withColumnRenamed("id", "__node"), "__node").dropDuplicates(["__node"])
-        sets = shingle_sets(sets.withColumn("doc_id", F.col("__node")), needed.select(F.col("id").alias("doc_id"), "id"))
+        sets = nodes_of(docs.select("text"), "doc_id").join(needed.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+        sets = shingle_sets(sets, needed.select(F.col("id").alias("doc_id"), "id"))
     sets = common.materialised(sets, "shingle-sets")
     one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
@@ -248,18 +248,14 @@ def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, regular: bool)
     return joined.where(F.col("n") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """``docs`` and its nodes as the column __node."""
-    place = docs.columns.index("text")
+def nodes_of(docs: DataFrame, node: str) -> DataFrame:
+    """``docs`` and its nodes as the column ``node``."""
 
-    def run(batches):
-        for batch in batches:
-            nodes = [node_of(distinct_hashes(t)) for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "__node"])
-
-    from pyspark.sql import types as T
+    @F.arrow_udf("long")
+    def of(text: pa.Array) -> pa.Array:
+        return pa.array([node_of(distinct_hashes(t.as_py())) for t in text], pa.int64())
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+    return docs.withColumn(node, of(F.col("text")))
 
 
 def representatives(docs: DataFrame, limit: int = LIMIT, wider: int = WIDER) -> DataFrame:
@@ -286,10 +282,11 @@ def representatives(docs: DataFrame, limit: int = LIMIT, wider: int = WIDER) ->
     named = nodes.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x"))
     stays = first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.id").alias("id"))
+    node, own = common.unused("node", docs), common.unused("own_id", docs)
     if regular:
         gone = rows.select("doc_id").join(stays.select("doc_id"), "doc_id", "left_anti")
-        return docs.join(gone.select(F.col("doc_id").alias("__gone")), docs["doc_id"] == F.col("__gone"), "left_anti")
-    mine = nodes_of(docs)
-    stays = stays.select(F.col("doc_id").alias("__doc_id"), F.col("id").alias("__id"))
-    left = mine.join(stays, (mine["__node"] == stays["__id"]) & mine["doc_id"].cast("long").eqNullSafe(stays["__doc_id"]), "left_semi")
-    return left.dropDuplicates(["__node"]).select(*docs.columns)
+        return docs.join(gone.select(F.col("doc_id").alias(own)), docs["doc_id"] == F.col(own), "left_anti")
+    mine = nodes_of(docs, node)
+    stays = stays.select(F.col("doc_id").alias(own), F.col("id").alias("id"))
+    left = mine.join(stays, (mine[node] == stays["id"]) & mine["doc_id"].cast("long").eqNullSafe(stays[own]), "left_semi")
+    return left.dropDuplicates([node]).select(*docs.columns)

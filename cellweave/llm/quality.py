@@ -11,11 +11,14 @@ and doc_id are never part of a score.
 
 Defined cases: a null text is the empty text, which has a score too; labels without an id or a quality are left out;
 repeated documents and labels count as often as they occur; without labelled rows of both classes every score is 0.5 (and
-predicted 1); an empty table gives no rows; other columns are not read.
+predicted 1); an empty table gives no rows; other columns are not read, whatever their names. A text of any length is
+counted in blocks, with the hashes of its distinct words beside them.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +29,7 @@ from cellweave.llm import common
 
 SPACE, LOWER, UPPER, DIGIT, STOP, BAR, BANG, SYMBOL, HIGH, LINE, CLASSES = range(11)
 #: Texts are counted in blocks of so many bytes.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Shares of the pooled covariance, and of its diagonal, in each class's covariance.
 TO_POOLED, TO_DIAGONAL = 0.05, 0.05
 
@@ -44,35 +47,78 @@ FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 2**64)
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Of the texts data[offsets[i]:offsets[i + 1]]: a row of transformed statistics each."""
+@functools.lru_cache(1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The factor's and its inverse's powers from 1 to ``size``."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.full(size, f, np.uint64)) for f in (FACTOR, INVERSE))
+
+
+def words_of(data: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin, their lengths and hashes; no word crosses one of ``starts``. At most ``BLOCK`` bytes."""
+    solid = (kind != SPACE) & (kind != LINE)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts], edge[-1] = True, True
+    before, after = np.r_[False, solid[:-1]], np.r_[solid[1:], False]
+    begin = np.flatnonzero(solid & (~before | edge[:-1]))
+    end = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    power, back = powers(BLOCK + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(977)) * power[: len(data)])])
+        return begin, end - begin, (total[end] - total[begin]) * back[begin]
+
+
+def block_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of the texts data[offsets[i]:offsets[i + 1]], a block in all: bytes by class, then words, words equal to the one before,
+    sums of their lengths and of the squares, and distinct words."""
     n, size = len(offsets) - 1, np.diff(offsets)
-    doc = np.repeat(np.arange(n, dtype=np.int64), size)
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)
     kind = KIND[data]
-    counts = np.bincount(doc * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES).astype(float)
-    solid = (kind != SPACE) & (kind != LINE)
-    first = np.ones(len(data), bool)
-    first[1:] = ~solid[:-1]
-    first[offsets[:-1][size > 0]] = True
-    begin = np.flatnonzero(solid & first)
-    last = np.ones(len(data), bool)
-    last[:-1] = ~solid[1:]
-    last[offsets[1:][size > 0] - 1] = True
-    end = np.flatnonzero(solid & last) + 1
-    length, of = end - begin, doc[begin]
+    counts = np.bincount(doc * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES)
+    begin, length, word = words_of(data, kind, offsets[:-1][size > 0])
+    of = doc[begin]
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(data) + 1, FACTOR, np.uint64))
-        back = np.cumprod(np.full(len(data) + 1, INVERSE, np.uint64))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(977)) * power[:-1])])
-        word = (total[end] - total[begin]) * back[begin]
         mixed = (word ^ (of.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))) * np.uint64(0xBF58476D1CE4E5B9)
-    words = np.bincount(of, minlength=n).astype(float)
-    again = np.bincount(of[1:][(word[1:] == word[:-1]) & (of[1:] == of[:-1])], minlength=n) if len(of) else np.zeros(n)
+    again = of[1:][(word[1:] == word[:-1]) & (of[1:] == of[:-1])]
     _, where = np.unique(mixed, return_index=True)
-    distinct = np.bincount(of[where], minlength=n).astype(float)
+    per_doc = [np.bincount(of, minlength=n), np.bincount(again, minlength=n), np.bincount(of, length, n), np.bincount(of, length.astype(float) ** 2, n), np.bincount(of[where], minlength=n)]
+    return np.column_stack([counts, *per_doc]).astype(float)
+
+
+def long_counts(data: np.ndarray) -> np.ndarray:
+    """The same of one text of any length, a block at a time; a word that a block's end cuts goes on in the next one. What
+    is held is a block, and the hashes of the distinct words."""
+    out, seen = np.zeros(CLASSES + 5), np.zeros(0, np.uint64)
+    last, carried, carried_length = None, 0, 0
+    for a in range(0, len(data), BLOCK):
+        piece = data[a : a + BLOCK]
+        kind = KIND[piece]
+        out[:CLASSES] += np.bincount(kind, minlength=CLASSES)
+        begin, length, word = words_of(piece, kind, np.zeros(1, np.int64))
+        if carried_length and len(begin) and begin[0] == 0:
+            word[0] = np.uint64((carried + int(word[0]) * pow(FACTOR, carried_length, 2**64)) % 2**64)
+            length[0] += carried_length
+        elif carried_length:
+            word, length = np.r_[np.uint64(carried), word], np.r_[carried_length, length]
+        carried, carried_length = 0, 0
+        if a + BLOCK < len(data) and kind[-1] not in (SPACE, LINE):
+            carried, carried_length = int(word[-1]), int(length[-1])
+            word, length = word[:-1], length[:-1]
+        if len(word):
+            out[CLASSES : CLASSES + 4] += len(word), (word[1:] == word[:-1]).sum() + (word[0] == last), length.sum(), (length.astype(float) ** 2).sum()
+            last = word[-1]
+            seen = np.union1d(seen, word)
+    out[-1] = len(seen)
+    return out[None]
+
+
+def transformed(counted: np.ndarray) -> np.ndarray:
+    """Counts as statistics that are near normal: a row of 13 for each text."""
+    counts, (words, again, total, squares, distinct) = counted[:, :CLASSES], counted[:, CLASSES:].T
+    size = counts.sum(axis=1)
     letters = counts[:, LOWER] + counts[:, UPPER] + counts[:, HIGH]
-    mean = np.bincount(of, length, n) / np.maximum(words, 1)
-    spread = np.sqrt(np.maximum(np.bincount(of, length.astype(float) ** 2, n) / np.maximum(words, 1) - mean**2, 0))
+    mean = total / np.maximum(words, 1)
+    spread = np.sqrt(np.maximum(squares / np.maximum(words, 1) - mean**2, 0))
     share = lambda part, whole, least=1.0: np.log((part + least) / (whole + 20 * least))
     return np.stack(
         [
@@ -95,18 +141,22 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def of_texts(column: pa.Array) -> np.ndarray:
-    """The statistics of an arrow column of texts, block by block."""
+    """The statistics of an arrow column of texts, counted block by block."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     buffer = column.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-    out, at = [np.zeros((0, 13))], 0
+    out, at = [np.zeros((0, CLASSES + 5))], 0
     while at < len(column):
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+        upto = int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1
         upto = min(upto, len(column))
-        out.append(statistics(data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]))
+        if upto > at:
+            out.append(block_counts(data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]))
+        else:
+            upto = at + 1
+            out.append(long_counts(data[offsets[at] : offsets[upto]]))
         at = upto
-    return np.concatenate(out)
+    return transformed(np.concatenate(out))
 
 
 class Model:
@@ -192,15 +242,13 @@ def scored(feats: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model predicts to be good, with all their columns."""
-    place = docs.columns.index("text")
+    """The rows of ``docs`` that the model predicts to be good, with all their columns. Only texts go to Python."""
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(model.scores(of_texts(batch.column(place))) >= 0.5))
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        return pa.array(model.scores(of_texts(text)) >= 0.5)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col("text")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

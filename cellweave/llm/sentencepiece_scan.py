@@ -24,6 +24,7 @@ holds the space mark itself decodes to spaces there.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 from collections import Counter
@@ -39,7 +40,8 @@ MARK = "▁"
 CHUNK = 32_768
 #: Chunks whose matrices one task multiplies.
 BLOCK = 64
-REMEMBERED = 500_000
+#: Bytes of remembered words in a task, about; they go when the task ends.
+REMEMBERED = 32_000_000
 #: Words up to so many characters are searched in arrays.
 WIDE = 40
 NONE = -np.inf
@@ -143,6 +145,14 @@ class Vocabulary:
         self.tree = Tree(self.pieces)
         self.values = np.array([p.score for p in model.pieces])
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
+    def remember(self, part: str, ids: bytes) -> None:
+        self.known[part] = ids
+        self.held += 200 + 2 * len(part) + len(ids)
 
     def marked(self, text: str) -> str:
         """The text as it is segmented."""
@@ -187,19 +197,22 @@ class Vocabulary:
 
     def learn(self, parts) -> None:
         """Solve parts that no piece crosses, and remember their id bytes."""
-        if len(self.known) > REMEMBERED:  # short words come again most often
+        if self.held > REMEMBERED:  # short words come again most often
             kept = {p: ids for p, ids in self.known.items() if len(p) <= 7}
-            self.known = kept if len(kept) < REMEMBERED // 2 else {}
+            self.forget()
+            if 300 * len(kept) < REMEMBERED // 2:
+                for p, ids in kept.items():
+                    self.remember(p, ids)
         new = [p for p in parts if p not in self.known]
         easy = sorted((p for p in new if self.easy.fullmatch(p)), key=len, reverse=True)
         for k in range(0, len(easy), 20_000):
             some = easy[k : k + 20_000]
             for p, ids in zip(some, self.tree.best(some), strict=True):
-                self.known[p] = ids
+                self.remember(p, ids)
         for p in new:
             if p not in self.known:
                 _, last = self.forward(p, {0: 0.0}, len(p))
-                self.known[p] = np.array(self.back(p, last, len(p))[1], "<i4").tobytes()
+                self.remember(p, np.array(self.back(p, last, len(p))[1], "<i4").tobytes())
 
     def score(self, parts: list[str]) -> float:
         """The sum of the best scores of parts."""
@@ -288,6 +301,16 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@contextlib.contextmanager
+def borrowed(path: str):
+    """The worker's vocabulary for a task; the words that the task has solved go with it."""
+    voc = vocabulary(path)
+    try:
+        yield voc
+    finally:
+        voc.forget()
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., :, None] + b[None, :, :]).max(axis=-2) if a.ndim == 2 else (a[:, None] + b).max(axis=0)
 
@@ -302,22 +325,22 @@ def encoded_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
     n = vocabulary(path).longest
 
     def split(batches):
-        voc = vocabulary(path)
-        for shas, bodies in common.text_batches(batches, "sha", "text"):
-            for sha, body in zip(shas, bodies, strict=True):
-                s = voc.marked(body)
-                at = range(0, len(s), chunk)
-                for k in range(0, len(at), 64):
-                    some = at[k : k + 64]
-                    yield pa.RecordBatch.from_pydict(
-                        {"sha": [sha] * len(some), "c": pa.array([x // chunk for x in some], pa.int32()), "size": pa.array([min(chunk, len(s) - x) for x in some], pa.int32()), "s": [s[x : x + chunk + n - 1] for x in some]}
-                    )
+        with borrowed(path) as voc:
+            for shas, bodies in common.text_batches(batches, "sha", "text"):
+                for sha, body in zip(shas, bodies, strict=True):
+                    s = voc.marked(body)
+                    at = range(0, len(s), chunk)
+                    for k in range(0, len(at), 64):
+                        some = at[k : k + 64]
+                        yield pa.RecordBatch.from_pydict(
+                            {"sha": [sha] * len(some), "c": pa.array([x // chunk for x in some], pa.int32()), "size": pa.array([min(chunk, len(s) - x) for x in some], pa.int32()), "s": [s[x : x + chunk + n - 1] for x in some]}
+                        )
 
     def measure(batches):
-        voc = vocabulary(path)
-        for shas, cs, sizes, ss in common.text_batches(batches, "sha", "c", "size", "s"):
-            m = [voc.matrix(s, size, c == 0).tobytes() for s, size, c in zip(ss, sizes, cs, strict=True)]
-            yield pa.RecordBatch.from_pydict({"sha": shas, "c": pa.array(cs, pa.int32()), "m": m})
+        with borrowed(path) as voc:
+            for shas, cs, sizes, ss in common.text_batches(batches, "sha", "c", "size", "s"):
+                m = [voc.matrix(s, size, c == 0).tobytes() for s, size, c in zip(ss, sizes, cs, strict=True)]
+                yield pa.RecordBatch.from_pydict({"sha": shas, "c": pa.array(cs, pa.int32()), "m": m})
 
     as_matrix = lambda raw: np.frombuffer(raw, float).reshape(n, n)
 
@@ -337,13 +360,13 @@ def encoded_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
         return pdf[["sha", by]].assign(**{out: found})
 
     def maps(batches):
-        voc = vocabulary(path)
-        for shas, cs, sizes, ss, alphas in common.text_batches(batches, "sha", "c", "size", "s", "alpha"):
-            to = []
-            for s, size, alpha in zip(ss, sizes, alphas, strict=True):
-                paths = voc.traced(s, size, np.frombuffer(alpha, float))
-                to.append(bytes(paths.entry(j) if paths.reached(j) else 255 for j in range(n)))
-            yield pa.RecordBatch.from_pydict({"sha": shas, "c": pa.array(cs, pa.int32()), "to": to})
+        with borrowed(path) as voc:
+            for shas, cs, sizes, ss, alphas in common.text_batches(batches, "sha", "c", "size", "s", "alpha"):
+                to = []
+                for s, size, alpha in zip(ss, sizes, alphas, strict=True):
+                    paths = voc.traced(s, size, np.frombuffer(alpha, float))
+                    to.append(bytes(paths.entry(j) if paths.reached(j) else 255 for j in range(n)))
+                yield pa.RecordBatch.from_pydict({"sha": shas, "c": pa.array(cs, pa.int32()), "to": to})
 
     def states(pdf):
         """From the end of the text back: the state at each chunk's end. A text has at most 2 GB, so few chunks."""
@@ -355,12 +378,12 @@ def encoded_giants(texts: DataFrame, path: str, chunk: int) -> DataFrame:
         return pdf[["sha", "c"]].assign(state=np.array(found, np.int32))
 
     def pieces(batches):
-        voc = vocabulary(path)
-        for shas, cs, sizes, ss, alphas, ends in common.text_batches(batches, "sha", "c", "size", "s", "alpha", "state"):
-            ids = []
-            for s, size, alpha, state in zip(ss, sizes, alphas, ends, strict=True):
-                ids.append(voc.traced(s, size, np.frombuffer(alpha, float)).ids(state))
-            yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(cs, pa.int32()), rows_of(ids)], names=["sha", "c", "ids"])
+        with borrowed(path) as voc:
+            for shas, cs, sizes, ss, alphas, ends in common.text_batches(batches, "sha", "c", "size", "s", "alpha", "state"):
+                ids = []
+                for s, size, alpha, state in zip(ss, sizes, alphas, ends, strict=True):
+                    ids.append(voc.traced(s, size, np.frombuffer(alpha, float)).ids(state))
+                yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(cs, pa.int32()), rows_of(ids)], names=["sha", "c", "ids"])
 
     chunks = common.materialised(texts.mapInArrow(split, "sha string, c int, size int, s string"), "chunks")
     dealt = chunks.repartition(common.even_partitions(chunks))
@@ -380,19 +403,19 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", chunk: int = CH
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
 
     def run(batches):
-        voc = vocabulary(path)
-        for ids, texts in common.text_batches(batches, "doc_id", "text"):
-            for a in range(0, len(ids), 300):
-                some = texts[a : a + 300]
-                got = voc.encode(some)
-                exact = [voc.decode(np.frombuffer(g, "<i4").tolist()) == t for g, t in zip(got, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 300], pa.int64()), rows_of(got), pa.array(exact, pa.bool_())], names=["doc_id", "ids", "exact"])
+        with borrowed(path) as voc:
+            for ids, texts in common.text_batches(batches, "doc_id", "text"):
+                for a in range(0, len(ids), 300):
+                    some = texts[a : a + 300]
+                    got = voc.encode(some)
+                    exact = [voc.decode(np.frombuffer(g, "<i4").tolist()) == t for g, t in zip(got, some, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 300], pa.int64()), rows_of(got), pa.array(exact, pa.bool_())], names=["doc_id", "ids", "exact"])
 
     def checked(batches):
-        voc = vocabulary(path)
-        for batch in batches:
-            exact = [voc.decode(g) == t for g, t in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact, pa.bool_())], names=["doc_id", "ids", "exact"])
+        with borrowed(path) as voc:
+            for batch in batches:
+                exact = [voc.decode(g) == t for g, t in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact, pa.bool_())], names=["doc_id", "ids", "exact"])
 
     shape = "doc_id long, ids array<int>, exact boolean"
     short = own.where(F.length("text") <= chunk).mapInArrow(run, shape)
@@ -407,9 +430,9 @@ def decoded(rows: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     path = common.vocabulary_path(model)
 
     def run(batches):
-        voc = vocabulary(path)
-        for ids, each in common.text_batches(batches, "doc_id", "ids"):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([voc.decode(x or []) for x in each], pa.string())], names=["doc_id", "text"])
+        with borrowed(path) as voc:
+            for ids, each in common.text_batches(batches, "doc_id", "ids"):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([voc.decode(x or []) for x in each], pa.string())], names=["doc_id", "text"])
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 

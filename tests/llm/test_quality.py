@@ -29,6 +29,34 @@ def test_blocks_do_not_matter(monkeypatch):
     assert np.allclose(whole, quality.of_texts(texts)) and np.allclose(whole[3:], quality.of_texts(texts[3:]))
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab  \n|!É") for _ in range(rng.randint(30, 400))) for _ in range(60)] + ["w" * 333, "w" * 333 + " " + "w" * 333, " " * 100, "ab " * 90 + "ab"]
+    whole = quality.of_texts(pa.array(texts))
+    for size in (7, 16, 64):
+        monkeypatch.setattr(quality, "BLOCK", size)
+        assert np.allclose(whole, quality.of_texts(pa.array(texts)))
+
+
+def test_scores_equal_a_plain_discriminant(spark):
+    docs, labels = tables(spark, 300)
+    rows = quality.features(docs).join(labels, "doc_id").toPandas()
+    x, y = np.array(rows["x"].tolist()), rows["quality"].to_numpy()
+    known = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in rows["doc_id"]])
+    own = {k: np.cov(x[known & (y == k)].T, bias=True) for k in (0, 1)}
+    share = {k: (known & (y == k)).sum() / known.sum() for k in (0, 1)}
+    pooled = sum(share[k] * own[k] for k in own)
+    logs = {}
+    for k in own:
+        cov = (1 - quality.TO_POOLED - quality.TO_DIAGONAL) * own[k] + quality.TO_POOLED * pooled + quality.TO_DIAGONAL * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(pooled))
+        d = x - x[known & (y == k)].mean(axis=0)
+        logs[k] = np.log(share[k]) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+    diff = logs[1] - logs[0]
+    feats = quality.features(docs)
+    got = quality.scored(feats, quality.fitted(feats, labels)).toPandas().set_index("doc_id")["score"][rows["doc_id"]]
+    assert np.allclose(got, 0.5 + 0.5 * diff / (1 + np.abs(diff)), atol=1e-6)
+
+
 def auc(score, label):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
