@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations alone.
 
 A text becomes its lower-case words of letters and digits. A window of ``SPAN`` words gives one key for each mask: the
-hash of the words that the mask keeps. Keys of all windows of the test items are joined with those of all windows
-(``STRIDE`` is 1) of the documents. The masks are fixed: each position is ignored by one, and any two substitutions in
+hash of the words that the mask keeps. Keys of all windows of the test items are joined with those of all windows of the
+documents. The masks are fixed: each position is ignored by one, and any two substitutions in
 ``SPAN + 1`` words leave a mask whole in one of the two windows there. So whatever the verification accepts meets, if the
 document has the words of the windows: an item of ``SPAN`` words with one substitution, a longer one with two. Each hit
 fixes an alignment; it is verified when some stretch of ``NEED`` words (the whole item, if shorter) around it agrees in at
@@ -11,23 +11,35 @@ least ``SHARE`` of its words.
 Items of ``SHORTEST`` to ``SPAN`` - 1 words are looked for as a whole, without substitutions, at every position; shorter
 ones are too common to tell, and never count.
 
-The items' keys are broadcast only when there are at most ``BROADCAST_KEYS`` of them; beyond it the join shuffles.
+Few windows are hashed: every mask keeps neighbours, and a window goes on only if all pairs of neighbours that its mask
+keeps are pairs of some item, and few are joined: its key must be one of an item. Both are told by filters of bits
+(literals of at most 2 MB each; false hits cost time, and nothing is lost).
+The items' keys are broadcast only when there are at most ``BROADCAST_KEYS`` of them, 24 bytes each; beyond it the join
+shuffles. The items' words are joined to hits alone.
 
 Defined cases: a null text is the empty text, which is clean; a null ``doc_id`` is kept; repeated rows are judged alike;
-empty tables give no hits; other columns are kept by ``clean_documents`` and not read otherwise.
+empty tables give no hits; a text of any length is one row of word hashes; overlaps with several items count once an
+item; other columns, whatever their names, are kept by ``clean_documents`` and not read otherwise.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import common
 
-SPAN, STRIDE, NEED, SHARE, SHORTEST = 9, 1, 13, 0.8, 5
+SPAN, NEED, SHARE, SHORTEST = 9, 13, 0.8, 5
 #: Fixed masks: the positions of a window that each keeps.
 MASKS = ((4, 5, 6, 7, 8), (1, 2, 6, 7, 8), (0, 1, 3, 4, 8), (0, 2, 3, 5, 6))
 BROADCAST_KEYS = 1_000_000
+#: The filter's size in bits, as powers of two: the least, and the most.
+LEAST_BITS, MOST_BITS = 12, 24
 
 
 def words(text: str = "text") -> Column:
@@ -36,52 +48,89 @@ def words(text: str = "text") -> Column:
     return F.transform(split, lambda w: F.xxhash64(w))
 
 
-def keys(at: Column, h: str = "h") -> Column:
-    """(at, key) of the window that starts there, one for each mask."""
-    return F.array(*[F.struct(at.alias("at"), F.xxhash64(F.lit(m), *[F.get(F.col(h), at + p) for p in mask]).alias("key")) for m, mask in enumerate(MASKS)])
-
-
-def whole(at: Column, size: Column, h: str = "h") -> Column:
-    """(at, key) of ``size`` words as they are."""
-    return F.struct(at.alias("at"), F.xxhash64(F.lit(-1), size, F.slice(F.col(h), at + 1, size)).alias("key"))
-
+def all_of(tests: list[Column]) -> Column:
+    return functools.reduce(operator.and_, tests)
 
-def wholes(n: Column, size: int) -> Column:
-    """Of ``size`` words at every start."""
-    return F.transform(windows(n, size, 1), lambda i: whole(i, F.lit(size)))
 
+def neighbours(mask: tuple[int, ...]) -> list[int]:
+    """Positions of a mask whose next one it keeps too."""
+    return [p for p in mask if p + 1 in mask]
 
-def windows(size: Column, span: int, stride: int) -> Column:
-    """Starts of windows; empty if the text is shorter."""
-    return F.when(size >= span, F.sequence(F.lit(0), size - span, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
+def pair(i: Column, h: str = "h") -> Column:
+    return F.xxhash64(F.get(F.col(h), i), F.get(F.col(h), i + 1))
 
-def test_keys(benchmark: DataFrame) -> DataFrame:
-    """(key, item, q, b): of each item its keys, where they start, and all its word hashes. Equal texts are one item."""
-    items = benchmark.select(words().alias("h")).where(F.size("h") >= SHORTEST).distinct().withColumn("item", F.xxhash64("h"))
-    n = F.size("h")
-    long_ = F.flatten(F.transform(windows(n, SPAN, 1), lambda i: keys(i)))
-    short = F.when((n < SPAN), F.array(whole(F.lit(0), n))).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
-    each = items.select("item", "h", F.explode(F.concat(long_, short)).alias("k"))
-    return each.select(F.col("k.key").alias("key"), "item", F.col("k.at").alias("q"), F.col("h").alias("b")).distinct()
 
+def masked(m: int, at: Column, h: str = "h") -> Column:
+    """(at, key) of the window that starts there, by one mask."""
+    return F.struct(at.alias("at"), F.xxhash64(F.lit(m), *[F.get(F.col(h), at + p) for p in MASKS[m]]).alias("key"))
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with __key: equal for equal id and text."""
-    return docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), common.text_or_empty()))
 
-
-def hits(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """(__key, hits): of each document with hits, the distinct (item, diagonal, b)."""
-    measured = tests.agg(F.count("*").alias("n"), F.collect_set(F.when(F.size("b") < SPAN, F.size("b"))).alias("sizes")).first()
-    own = keyed(docs.select("doc_id", "text")).select("__key", words().alias("h"))
-    n = F.size("h")
-    parts = [F.flatten(F.transform(windows(n, SPAN, STRIDE), lambda i: keys(i)))]
-    for size in sorted(measured["sizes"]):
-        parts.append(wholes(n, size))
-    seen = own.select("__key", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("k")).select("__key", F.col("k.at").alias("p"), F.col("k.key").alias("key"))
-    joined = seen.join(F.broadcast(tests) if measured["n"] <= BROADCAST_KEYS else tests, "key")
-    return joined.groupBy("__key").agg(F.collect_set(F.struct("item", (F.col("p") - F.col("q")).alias("diagonal"), "b")).alias("__hits"))
+def whole(at: Column, size: int | Column, h: str = "h") -> Column:
+    """(at, key) of ``size`` words as they are."""
+    return F.struct(at.alias("at"), F.xxhash64(F.lit(-1), F.slice(F.col(h), at + 1, size)).alias("key"))
+
+
+def starts(span: int, h: str = "h") -> Column:
+    """Starts of all windows; empty if the text is shorter."""
+    return F.when(F.size(h) >= span, F.sequence(F.lit(0), F.size(h) - span)).otherwise(F.array().cast("array<int>"))
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """(item, h): the items' word hashes. Equal texts are one item."""
+    return benchmark.select(words().alias("h")).where(F.size("h") >= SHORTEST).distinct().select(F.xxhash64("h").alias("item"), "h")
+
+
+def keys_of(items: DataFrame) -> DataFrame:
+    """(key, item, q): of each item its keys, and where they start."""
+    each = [F.transform(starts(SPAN), functools.partial(lambda m, at: masked(m, at), m)) for m in range(len(MASKS))]
+    short = F.when(F.size("h") < SPAN, F.array(whole(F.lit(0), F.size("h")))).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+    found = items.select("item", F.explode(F.concat(*each, short)).alias("k"))
+    return found.select(F.col("k.key").alias("key"), "item", F.col("k.at").alias("q")).distinct()
+
+
+def bit_filter(hashes: DataFrame, probes: int) -> Callable[[Column], Column]:
+    """hashes: one column. Whether a hash is among them, seldom also true for others: a table of bits, as a literal."""
+    own = hashes.toDF("x").distinct()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * own.count()).bit_length()))
+    slots = lambda x: [F.shiftrightunsigned(x, 64 - bits), x.bitwiseAND(F.lit((1 << bits) - 1))][:probes]
+    place, bit = lambda x: F.shiftright(x, 6).cast("int"), lambda x: x.bitwiseAND(F.lit(63)).cast("int")
+    each = own.select(F.explode(F.array(*slots(F.col("x")))).alias("x"))
+    found = each.groupBy(place(F.col("x")).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("x")))).alias("bits"))
+    table = [0] * (1 << bits - 6)
+    for r in found.collect():  # one row for 64 bits
+        table[r["place"]] = r["bits"]
+    literal = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+    return lambda x: all_of([F.bit_get(F.get(literal, place(s)), bit(s)) == 1 for s in slots(x)])
+
+
+def candidates(docs: DataFrame, items: DataFrame, tests: DataFrame) -> DataFrame:
+    """(k1, k2, h, windows) of the documents that have windows with a chance: (at, key) each. k1 and k2 are equal for equal
+    id and text."""
+    in_pairs = bit_filter(items.select(F.explode(F.transform(starts(2), lambda i: pair(i)))), 1)
+    in_keys = bit_filter(tests.select("key"), 2)
+    sizes = items.where(F.size("h") < SPAN).agg(F.collect_set(F.size("h")).alias("sizes")).first()["sizes"]
+    near = lambda p, offsets: [F.get(F.col("near"), p + o) for o in offsets]
+    each = []
+    for m, mask in enumerate(MASKS):
+        first, *rest = neighbours(mask)
+        at = F.transform("places", functools.partial(lambda first, i: i - first, first))
+        good = functools.partial(lambda rest, p: all_of([p >= 0, p <= F.size("h") - SPAN, *near(p, rest)]), rest)
+        each.append(F.transform(F.filter(at, good), functools.partial(lambda m, p: masked(m, p), m)))
+    for size in sorted(sizes):
+        good = functools.partial(lambda size, p: all_of([p <= F.size("h") - size, *near(p, range(1, size - 1))]), size)
+        each.append(F.transform(F.filter("places", good), functools.partial(lambda size, p: whole(p, size), size)))
+    own = docs.select(*identity(), words().alias("h")).withColumn("near", F.transform(starts(2), lambda i: in_pairs(pair(i))))
+    places = own.withColumn("places", F.filter(starts(2), lambda i: F.get(F.col("near"), i)))
+    found = places.select("k1", "k2", "h", F.filter(F.concat(*each), lambda x: in_keys(x["key"])).alias("windows"))
+    some = F.when(F.size("windows") > 0, F.array(F.struct("h", "windows")))
+    return found.select("k1", "k2", F.explode(some).alias("x")).select("k1", "k2", "x.h", "x.windows")
+
+
+def identity() -> list[Column]:
+    """Two hashes of a row's id and text."""
+    parts = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), common.text_or_empty()]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("other"), *parts).alias("k2")]
 
 
 def verified(h: str, hit: Column) -> Column:
@@ -94,48 +143,54 @@ def verified(h: str, hit: Column) -> Column:
     return F.exists(starts, lambda s: F.aggregate(F.slice(agrees, s + 1, need), F.lit(0), lambda x, y: x + y) >= least)
 
 
-def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with __n: how many different items each document has a verified overlap with."""
-    found = hits(docs, test_keys(benchmark))
-    joined = keyed(docs).join(found, "__key", "left")
-    good = F.filter(F.col("__hits"), lambda x: verified("__h", x))
-    counted = joined.withColumn("__h", F.when(F.col("__hits").isNotNull(), words())).withColumn("__n", F.coalesce(F.size(F.array_distinct(F.transform(good, lambda x: x["item"]))), F.lit(0)))
-    return counted.withColumn("__n", F.greatest("__n", F.lit(0))).drop("__key", "__h", "__hits")
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(k1, k2, n): how many different items each document has a verified overlap with; only documents with some."""
+    items = items_of(benchmark)
+    tests = common.materialised(keys_of(items), "item-keys")
+    held = common.materialised(candidates(docs.select("doc_id", "text"), items, tests), "windows")
+    seen = held.select("k1", "k2", F.explode("windows").alias("x")).select("k1", "k2", F.col("x.at").alias("p"), F.col("x.key").alias("key"))
+    hits = seen.join(F.broadcast(tests) if tests.count() <= BROADCAST_KEYS else tests, "key")
+    hits = hits.select("k1", "k2", "item", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
+    known = hits.join(items.withColumnRenamed("h", "b"), "item").groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "diagonal", "b")).alias("hits"))
+    good = F.filter("hits", lambda x: verified("h", x))
+    counted = F.size(F.array_distinct(F.transform(good, lambda x: x["item"])))
+    return held.select("k1", "k2", "h").join(known, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first(counted).alias("n")).where("n > 0")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, count: str = "__n") -> DataFrame:
+    """``docs`` with one more column: how many different items each document has a verified overlap with."""
+    k1, k2, n = (common.unused(k, docs) for k in ("k1", "k2", "n"))
+    found = overlaps(docs, benchmark).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("n").alias(n))
+    own = docs.withColumns(dict(zip((k1, k2), identity(), strict=True)))
+    return own.join(found, [k1, k2], "left").select(*docs.columns, F.coalesce(n, F.lit(0)).alias(count))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a verified overlap, with all their columns."""
-    return judged(docs, benchmark).where("__n = 0").select(*docs.columns)
+    count = common.unused("n_items", docs)
+    return judged(docs, benchmark, count).where(F.col(count) == 0).select(*docs.columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(common.documents(spark, sf_dir).select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.col("__n") > 0).alias("contaminated"), F.col("__n").cast("long").alias("n_items"))
+    found = judged(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"), "n_items")
+    return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), F.col("n_items").cast("long").alias("n_items"))
 
 
 def oracle_sql() -> str:
-    """The same in SQL over words instead of their hashes."""
-    keep = ", ".join(f"({m}, [{', '.join(map(str, mask))}])" for m, mask in enumerate(MASKS))
+    """The wanted overlaps in SQL: all alignments of equal words, with no seeds, masks or hashes. An alignment counts if at
+    least ``SPAN`` of its words lie in the document (all of them, for shorter items)."""
     return f"""
-with masks(m, keep) as (values {keep}),
-d as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as h from documents),
+with d as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as h from documents),
 t as (select distinct list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as b from benchmark),
-items as (select b, row_number() over () as item from t where len(b) >= {SHORTEST}),
-tp as (select item, b, unnest(range(0, len(b) - {SPAN - 1})) as q from items where len(b) >= {SPAN}),
-tk as (select item, q, m, list_transform(keep, lambda p: b[q + p + 1]) as k from tp, masks),
-dp as (select r, h, unnest(range(0, len(h) - {SPAN - 1}, {STRIDE})) as p from d where len(h) >= {SPAN}),
-dk as (select r, p, m, list_transform(keep, lambda x: h[p + x + 1]) as k from dp, masks),
-lengths as (select distinct len(b) as n from items where len(b) < {SPAN}),
-sp as (select r, h, n, unnest(range(0, len(h) - n + 1)) as p from d, lengths where len(h) >= n),
-hit as (
-  select distinct r, item, p - q as g from dk join tk using (m, k)
-  union
-  select distinct r, item, p as g from sp join items on h[p + 1 : p + n] = b),
-agree as (
-  select r, item, len(b) as n, list_transform(range(0, len(b)), lambda i: case when i + g >= 0 and h[i + g + 1] = b[i + 1] then 1 else 0 end) as a
-  from hit join items using (item) join d using (r)),
+items as (select b, len(b) as n, least(len(b), {NEED}) as need, row_number() over () as item from t where len(b) >= {SHORTEST}),
+dw as (select r, unnest(range(0, len(h))) as p, unnest(h) as w from d),
+tw as (select item, n, need, unnest(range(0, len(b))) as i, unnest(b) as w from items),
+aligned as (
+  select r, item, n, need, p - i as g, case when n < {SPAN} then n else ceil(need * {SHARE}) end as least_words, list(i) as agrees
+  from dw join tw using (w) group by r, item, n, need, g having count(*) >= least_words),
 good as (
-  select distinct r, item from agree
-  where len(list_filter(range(0, n - least(n, {NEED}) + 1), lambda s: list_sum(a[s + 1 : s + least(n, {NEED})]) >= case when n < {SPAN} then n else ceil(least(n, {NEED}) * {SHARE}) end)) > 0)
+  select distinct r, item from aligned join d using (r)
+  where least(len(h), g + n) - greatest(g, 0) >= least(n, {SPAN})
+    and len(list_filter(range(0, n - need + 1), lambda s: len(list_filter(agrees, lambda i: i >= s and i < s + need)) >= least_words)) > 0)
 select doc_id, count(item) > 0 as contaminated, count(item) as n_items from d left join good using (r) group by r, doc_id
 """
