@@ -27,23 +27,31 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base if ':' in base else 'file://' + base}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an arrow batch in queries that write a table: texts are long rows.
+BATCH = 1000
+
+
 @contextlib.contextmanager
-def shuffles_released(spark: SparkSession):
-    """Within it, the shuffle files of a query go when the query ends, and not when the driver happens to collect garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def frugal(spark: SparkSession):
+    """Within it, the shuffle files of a query go when the query ends, and not when the driver happens to collect garbage;
+    and arrow batches are small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    new = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", rows: str(min(BATCH, int(spark.conf.get(rows)) or BATCH))}
+    before = {name: spark.conf.get(name) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage is cut, any executor can read it, and
     the shuffles that made it are given up."""
     out = fresh_folder(df.sparkSession, name)
-    with shuffles_released(df.sparkSession):
+    with frugal(df.sparkSession):
         df.write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 

@@ -203,7 +203,7 @@ def features(docs: DataFrame) -> DataFrame:
 def fitted(feats: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled rows that are not held out. To the driver come only sums: one for each pair of statistics."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    rows = feats.join(known, "doc_id").where(~held_out()).select("quality", "x")
+    rows = common.materialised(feats.join(known, "doc_id").where(~held_out()).select("quality", "x"), "labelled")
 
     def sums(batches):
         total: dict[int, np.ndarray] = {}
