@@ -6,9 +6,10 @@ sets' similarity (common over all) is ``SIMILARITY`` or more; of each group that
 Most ties come cheaply from SimHash: texts whose 64-bit word differs in at most ``LIMIT`` bits meet in its buckets (the
 generalised pigeonhole of ``simhash``), and a forest of least distances of each bucket goes on to the exact check. This
 pass only saves work. All other pairs come from an exact filter: in one order of all shingles, rarest first, similar sets
-share one of their first ``prefix`` shingles, and their sizes and the shingle's places bound what they can share. Pairs
-that a shingle brings together are tested in rounds, by how far apart they are by size; a pair is left out only if a
-bound excludes it, or if verified links join the two already. The order comes from a sample, and is exact whatever it is.
+share one of their first ``prefix`` shingles, and their sizes, the shingle's places and counts of their shingles in 256
+classes bound what they can share. Pairs that a shingle brings together are tested in rounds, by how far apart they are by
+size; a pair is left out only if a bound excludes it, or if verified links join the two already. The order comes from a
+sample, and is exact whatever it is.
 
 Defined cases: as for ``simhash``; texts without words are copies of each other; a row with a null ``doc_id`` stays only
 if no row of its group has an id; of rows equal in ``doc_id`` and group one stays, with the least shingle-set hash; all
@@ -32,6 +33,8 @@ SAMPLE, LISTED = 10_000, 100_000
 ROUNDS = (1, 17, 129, 2049, 1 << 40)
 #: Candidate pairs that a task holds before it thins them to a forest.
 HELD = 500_000
+#: A class of a set's shingles that has so many or more.
+FULL = 255
 U64 = np.uint64
 OTHER = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 
@@ -81,22 +84,23 @@ def prefix(h: np.ndarray, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    listed, counts = frequent(docs)
+    listed, seen = frequent(docs)
 
     def run(batches):
-        names = ["doc_id", "id", "fp", "v1", "v2", "size"]
+        names = ["doc_id", "id", "fp", "v1", "v2", "size", "prefix", "counts"]
         for ids, texts in common.text_batches(batches, "doc_id", "text"):
             for a in range(0, len(ids), 500):
-                out, firsts = [], []
+                out, firsts, counts = [], [], []
                 for doc_id, text in zip(ids[a : a + 500], texts[a : a + 500], strict=True):
                     h = distinct_hashes(text)
                     out.append((doc_id, node_of(h), *(simhash.signed(simhash.fingerprint(x)) for x in (h, *(remixed(h, s) for s in OTHER))), len(h)))
-                    firsts.append(prefix(h, listed, counts).view(np.int64))
+                    firsts.append(prefix(h, listed, seen).view(np.int64))
+                    counts.append(np.minimum(np.bincount((h >> U64(56)).astype(np.int64), minlength=256), FULL).astype(np.uint8).tobytes())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])])
                 flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), flat], names=[*names, "prefix"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), flat, pa.array(counts, pa.binary())], names=names)
 
-    shape = "doc_id long, id long, fp long, v1 long, v2 long, size long, prefix array<long>"
+    shape = "doc_id long, id long, fp long, v1 long, v2 long, size long, prefix array<long>, counts binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
 
 
@@ -216,6 +220,25 @@ def apart(tokens: DataFrame, tied: DataFrame, first: int, last: int) -> DataFram
     return simhash.in_blocks(seen, ["pos", "label"]).mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that may be similar by their counts of shingles in 256 classes: what two sets share is at most the sum of the
+    lesser counts. Where a class is ``FULL``, nothing is known, and the pair stays."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
+                sizes = batch.column(4).to_numpy(zero_copy_only=False)
+                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                keep = ((1 + SIMILARITY) * most >= SIMILARITY * sizes - 1e-9) | (x == FULL).any(axis=1) | (y == FULL).any(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+
+    one = nodes.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.col("size").alias("m"))
+    two = nodes.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.col("size").alias("n"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("sizes"))
+    return common.materialised(both.mapInArrow(run, "a long, b long"), "plausible")
+
+
 def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, hashes) of the documents in rows (doc_id, id)."""
 
@@ -232,10 +255,11 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, hashes array<long>")
 
 
-def verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, regular: bool) -> DataFrame:
-    """The pairs whose shingle sets are similar. first: (id, doc_id) of one document of each node."""
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, regular: bool) -> DataFrame:
+    """The pairs whose shingle sets are similar. nodes: (id, doc_id, ...), a document of each node."""
+    pairs = plausible(pairs, nodes)
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = first.join(needed, "id").select("doc_id", "id")
+    rows = nodes.join(needed, "id").select("doc_id", "id")
     if regular:
         sets = shingle_sets(docs, rows)
     else:  # an id may have several texts: their own nodes tell which is meant
@@ -262,12 +286,11 @@ def representatives(docs: DataFrame, limit: int = LIMIT, wider: int = WIDER) ->
     """The rows of ``docs`` that stay: one of each group of near copies."""
     rows = common.materialised(sketched(docs), "simhash")
     regular = rows.where("doc_id is null").isEmpty() and rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    firsts = [F.first(c).alias(c) for c in ("fp", "v1", "v2", "size", "prefix")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "v1", "v2", "size", "prefix", "counts")]
     nodes = common.materialised(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
-    own = nodes.select("id", "doc_id")
     plan = simhash.search_plan(nodes.select("fp").distinct(), limit)
     pairs = common.materialised(candidates(nodes, plan, limit, wider).distinct(), "candidates")
-    held = common.materialised(verified(docs, own, pairs, regular), "links")
+    held = common.materialised(verified(docs, nodes, pairs, regular), "links")
     tied = simhash.components(held)
     tokens = common.materialised(met(nodes), "tokens")
     most = tokens.agg(F.max("n")).first()[0] or 0
@@ -275,7 +298,7 @@ def representatives(docs: DataFrame, limit: int = LIMIT, wider: int = WIDER) ->
         if begin >= most:
             break
         pairs = common.materialised(apart(tokens, tied, begin, end), "candidates")
-        new = common.materialised(verified(docs, own, pairs, regular), "links")
+        new = common.materialised(verified(docs, nodes, pairs, regular), "links")
         if not new.isEmpty():
             held = held.unionByName(new)
             tied = simhash.components(held)
