@@ -6,8 +6,8 @@ sets' similarity (common over all) is ``SIMILARITY`` or more; of each group that
 Most ties come cheaply from SimHash: texts whose 64-bit word differs in at most ``LIMIT`` bits meet in its buckets (the
 generalised pigeonhole of ``simhash``), and a forest of least distances of each bucket goes on to the exact check. This
 pass only saves work. All other pairs come from an exact filter: in one order of all shingles, rarest first, similar sets
-share one of their first ``prefix`` shingles, and their sizes, the shingle's places and counts of their shingles in 256
-classes bound what they can share. Pairs that a shingle brings together are tested in rounds, by how far apart they are by
+share one of their first ``prefix`` shingles, and their sizes, the shingle's places, and counts of their shingles in 256
+classes (first their parities, then the counts) bound what they can share. Pairs that a shingle brings together are tested in rounds, by how far apart they are by
 size; a pair is left out only if a bound excludes it, or if verified links join the two already. The order comes from a
 sample, and is exact whatever it is.
 
@@ -29,10 +29,13 @@ from cellweave.llm import common, simhash
 WIDTH, LIMIT, WIDER, SIMILARITY = 5, 4, 40, 0.8
 #: Documents, and shingles of them, that the order of shingles is chosen by.
 SAMPLE, LISTED = 10_000, 100_000
-#: How far apart by size the pairs of each round are, in places of their bucket.
-ROUNDS = (1, 17, 129, 2049, 1 << 40)
+#: How far apart by size the pairs of each round are, in places of their bucket. Neighbours come first: links among them
+#: join most groups, and pairs within a group are not made any more.
+ROUNDS = (1, 2, 17, 129, 2049, 1 << 40)
 #: Candidate pairs that a task holds before it thins them to a forest.
 HELD = 500_000
+PARITY = ["p0", "p1", "p2", "p3"]
+BEFORE = ["b1", "b2"]
 #: A class of a set's shingles that has so many or more.
 FULL = 255
 U64 = np.uint64
@@ -55,6 +58,13 @@ def node_of(h: np.ndarray) -> int:
     return simhash.signed(xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h)))
 
 
+def parities(h: np.ndarray) -> list[int]:
+    """Of 256 classes of shingles, whether an odd number of them is in the set, as bits of four words. Sets differ in at least
+    one shingle for each class in which these differ."""
+    odd = np.bincount((h >> U64(40) & U64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common in a bounded sample, sorted, and their counts in it."""
 
@@ -87,20 +97,20 @@ def sketched(docs: DataFrame) -> DataFrame:
     listed, seen = frequent(docs)
 
     def run(batches):
-        names = ["doc_id", "id", "fp", "v1", "v2", "size", "prefix", "counts"]
+        names = ["doc_id", "id", "fp", "v1", "v2", "size", *PARITY, "prefix", "counts"]
         for ids, texts in common.text_batches(batches, "doc_id", "text"):
             for a in range(0, len(ids), 500):
                 out, firsts, counts = [], [], []
                 for doc_id, text in zip(ids[a : a + 500], texts[a : a + 500], strict=True):
                     h = distinct_hashes(text)
-                    out.append((doc_id, node_of(h), *(simhash.signed(simhash.fingerprint(x)) for x in (h, *(remixed(h, s) for s in OTHER))), len(h)))
+                    out.append((doc_id, node_of(h), *(simhash.signed(simhash.fingerprint(x)) for x in (h, *(remixed(h, s) for s in OTHER))), len(h), *parities(h)))
                     firsts.append(prefix(h, listed, seen).view(np.int64))
                     counts.append(np.minimum(np.bincount((h >> U64(56)).astype(np.int64), minlength=256), FULL).astype(np.uint8).tobytes())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])])
                 flat = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), flat, pa.array(counts, pa.binary())], names=names)
 
-    shape = "doc_id long, id long, fp long, v1 long, v2 long, size long, prefix array<long>, counts binary"
+    shape = "doc_id long, id long, fp long, v1 long, v2 long, size long, p0 long, p1 long, p2 long, p3 long, prefix array<long>, counts binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
 
 
@@ -178,21 +188,27 @@ def candidates(nodes: DataFrame, parts, limit: int, wider: int) -> DataFrame:
 
 
 def met(nodes: DataFrame) -> DataFrame:
-    """nodes: (id, size, prefix). The prefix shingles that several nodes have: id, size, pos, key, and the count n of nodes. Counts
-    are combined before they move, and the join that follows may be split, so that no shingle gathers in one task."""
-    each = nodes.select("id", "size", F.posexplode("prefix").alias("pos", "key"))
-    return each.join(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("id", "size", "pos", "key", "n")
+    """nodes: (id, size, prefix). The prefix shingles that several nodes have: id, size, pos, key, the two shingles before it in
+    the prefix (its id where there is none), and the count n of nodes. Counts are combined before they move, and the join
+    that follows may be split, so that no shingle gathers in one task."""
+    each = nodes.select("id", "size", "prefix", F.posexplode("prefix").alias("pos", "key"))
+    before = [F.coalesce(F.get("prefix", F.col("pos") - k), F.col("id")).alias(b) for k, b in enumerate(BEFORE, 1)]
+    counted = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return each.select("id", "size", "pos", "key", *before).join(counted, "key").select("id", "size", "pos", "key", "n", *BEFORE)
 
 
-def apart(tokens: DataFrame, tied: DataFrame, first: int, last: int) -> DataFrame:
+def apart(tokens: DataFrame, nodes: DataFrame, tied: DataFrame, first: int, last: int) -> DataFrame:
     """tokens: as from ``met``. Pairs (a, b) that may be similar, are not in one component of ``tied``, and whose places by
-    size in a bucket are ``first`` to ``last`` - 1 apart."""
+    size in a bucket are ``first`` to ``last`` - 1 apart. Sizes, places and parities bound their similarity. A pair that has
+    one of the shingles before in common meets in that one's bucket, too, and is left to it: its first common shingle has
+    no such one before."""
 
     def run(batches):
-        for (ids, size, _, _, _, _, pos, label), begins in simhash.whole_buckets(batches):
+        for (ids, size, _, _, _, _, pos, label, b1, b2, *odd), begins in simhash.whole_buckets(batches):
             lengths = np.diff(begins)
             order = np.lexsort((ids, size, np.repeat(np.arange(len(lengths)), lengths)))
-            ids, size, pos, label = (x[order] for x in (ids, size, pos, label))
+            ids, size, pos, label, b1, b2, *odd = (x[order] for x in (ids, size, pos, label, b1, b2, *odd))
+            odd = [p.view(U64) for p in odd]
             end, index, out, held = np.repeat(begins[1:], lengths), np.arange(len(ids)), [], 0
             for step in range(first, min(last, int(lengths.max()))):
                 index = index[index + step < end[index]]
@@ -202,6 +218,10 @@ def apart(tokens: DataFrame, tied: DataFrame, first: int, last: int) -> DataFram
                 x, y = index, index + step
                 most = np.minimum(size[x] - pos[x], size[y] - pos[y])  # what they share from here on, at most
                 near = (label[x] != label[y]) & (most >= SIMILARITY * (size[x] + size[y] - most) - 1e-9)
+                near &= (b1[x] != b1[y]) & (b1[x] != b2[y]) & (b2[x] != b1[y]) & (b2[x] != b2[y])
+                x, y = x[near], y[near]
+                differ = sum(np.bitwise_count(p[x] ^ p[y]).astype(np.int64) for p in odd)
+                near = differ * (1 + SIMILARITY) <= (1 - SIMILARITY) * (size[x] + size[y]) + 1e-9
                 out.append((ids[x[near]], ids[y[near]]))
                 held += int(near.sum())
                 if held > HELD:
@@ -214,10 +234,10 @@ def apart(tokens: DataFrame, tied: DataFrame, first: int, last: int) -> DataFram
         a, b = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    named = tokens.where(F.col("n") > first).join(tied, "id", "left")
+    named = tokens.where(F.col("n") > first).join(tied, "id", "left").join(nodes.select("id", *PARITY), "id")
     blocks = F.when(F.col("n") > simhash.MOST, F.ceil(F.col("n") / (simhash.MOST // 2))).otherwise(1).cast("int")
-    seen = named.select("id", F.col("size").alias("fp"), F.lit(True).alias("own"), F.lit(0).alias("part"), "key", blocks.alias("blocks"), "pos", F.coalesce("component", "id").alias("label"))
-    return simhash.in_blocks(seen, ["pos", "label"]).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    seen = named.select("id", F.col("size").alias("fp"), F.lit(True).alias("own"), F.lit(0).alias("part"), "key", blocks.alias("blocks"), "pos", F.coalesce("component", "id").alias("label"), *BEFORE, *PARITY)
+    return simhash.in_blocks(seen, ["pos", "label", *BEFORE, *PARITY]).mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -258,6 +278,8 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, regular: bool) -> DataFrame:
     """The pairs whose shingle sets are similar. nodes: (id, doc_id, ...), a document of each node."""
     pairs = plausible(pairs, nodes)
+    if pairs.isEmpty():
+        return pairs
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     rows = nodes.join(needed, "id").select("doc_id", "id")
     if regular:
@@ -286,7 +308,7 @@ def representatives(docs: DataFrame, limit: int = LIMIT, wider: int = WIDER) ->
     """The rows of ``docs`` that stay: one of each group of near copies."""
     rows = common.materialised(sketched(docs), "simhash")
     regular = rows.where("doc_id is null").isEmpty() and rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    firsts = [F.first(c).alias(c) for c in ("fp", "v1", "v2", "size", "prefix", "counts")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "v1", "v2", "size", *PARITY, "prefix", "counts")]
     nodes = common.materialised(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
     plan = simhash.search_plan(nodes.select("fp").distinct(), limit)
     pairs = common.materialised(candidates(nodes, plan, limit, wider).distinct(), "candidates")
@@ -297,7 +319,7 @@ def representatives(docs: DataFrame, limit: int = LIMIT, wider: int = WIDER) ->
     for begin, end in zip(ROUNDS[:-1], ROUNDS[1:], strict=True):
         if begin >= most:
             break
-        pairs = common.materialised(apart(tokens, tied, begin, end), "candidates")
+        pairs = common.materialised(apart(tokens, nodes, tied, begin, end), "candidates")
         new = common.materialised(verified(docs, nodes, pairs, regular), "links")
         if not new.isEmpty():
             held = held.unionByName(new)
