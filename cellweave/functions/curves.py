@@ -169,3 +169,25 @@ def capacity(n: int, load: float = 0.6) -> int:
     """Slots of a hash table: a power of two from 2**20 to 2**30."""
     need = max(1, -(-n * 10 // int(load * 10)))
     return 1 << min(30, max(20, (need - 1).bit_length()))
+
+
+def root(c: Column | str, level: Column | str = "level") -> Column:
+    """The coordinate of the level-0 cell above a cell."""
+    return F.call_function("shiftright", col(c).cast("int"), col(level))
+
+
+def in_range(key: Column | str, start: Column | str, end: Column | str) -> Column:
+    """Whether a half-open range holds a key."""
+    return (col(key) >= col(start)) & (col(key) < col(end))
+
+
+def inserted(value: Column | str, bits: Column | str, at: int, width: int) -> Column:
+    """``value`` with ``width`` bits from place ``at`` on replaced by those of ``bits``."""
+    mask = ((1 << width) - 1) << at
+    return col(value).bitwiseAND(F.lit(~mask)).bitwiseOR(F.shiftleft(col(bits), at).bitwiseAND(F.lit(mask)))
+
+
+def rotated3(bits: Column | str, by: int) -> Column:
+    """Three bits, rotated to the left."""
+    by %= 3
+    return F.shiftleft(col(bits), by).bitwiseOR(F.shiftright(col(bits), 3 - by)).bitwiseAND(F.lit(7))

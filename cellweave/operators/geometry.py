@@ -43,6 +43,22 @@ def valid(kind="kind", name="name", material="material_id", scale="scale", radiu
     return F.coalesce(good & ((col(kind) != "sphere") | (col(radius) > 0)), F.lit(False))
 
 
+def rejected(shapes: DataFrame) -> DataFrame:
+    """The shapes that are not valid, with the reason; ``valid`` takes the others."""
+    reason = (
+        F.when(F.coalesce(F.length("name"), F.lit(0)) == 0, "no name")
+        .when(~F.coalesce(F.col("material_id") > 0, F.lit(False)), "no material")
+        .when(~F.coalesce(F.col("scale") > 0, F.lit(False)), "no scale")
+        .when(~F.coalesce(valid(), F.lit(False)), "no radius")
+    )
+    return shapes.withColumn("reason", reason).where("reason is not null")
+
+
+def in_order(voxels_: DataFrame) -> DataFrame:
+    """Cells in output order: z, then y, then x."""
+    return voxels_.orderBy("z", "y", "x")
+
+
 def candidates(shapes: DataFrame, size: float = 1.0, domain: tuple[float, float] | None = None, inclusive: bool = False) -> DataFrame:
     """Each shape with every grid cell (i, j, k) that its box, clipped to the domain, touches. Cells are made along one axis
     after the other, so the rows in between stay few."""
@@ -77,35 +93,30 @@ def bounds(triangles: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def ray_hit(point: dict[str, Column], eps: float = 1e-6) -> Column:
-    """Where a ray along +x from a point meets a triangle (a, b, c corners as columns), as a distance over eps; else null."""
+def crossing(y: Column, z: Column, eps: float = 1e-6) -> Column:
+    """The x at which a line along x through (y, z) meets a triangle (a, b, c corners as columns); else null."""
     e1 = {c: F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
     e2 = {c: F.col(f"c{c}") - F.col(f"a{c}") for c in "xyz"}
-    s = {c: col(point[c]) - F.col(f"a{c}") for c in "xyz"}
-    # direction (1, 0, 0): h = d x e2 = (0, -e2z, e2y)
+    sy, sz = y - F.col("ay"), z - F.col("az")
     det = e1["z"] * e2["y"] - e1["y"] * e2["z"]
-    q = {"x": s["y"] * e1["z"] - s["z"] * e1["y"], "y": s["z"] * e1["x"] - s["x"] * e1["z"], "z": s["x"] * e1["y"] - s["y"] * e1["x"]}
-    u = (s["z"] * e2["y"] - s["y"] * e2["z"]) / det
-    v = q["x"] / det
-    t = (e2["x"] * q["x"] + e2["y"] * q["y"] + e2["z"] * q["z"]) / det
-    return F.when(F.abs(det) > eps, F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (t > eps), t))
+    u = (sz * e2["y"] - sy * e2["z"]) / det
+    v = (sy * e1["z"] - sz * e1["y"]) / det
+    return F.when(F.abs(det) > eps, F.when((u >= 0) & (v >= 0) & (u + v <= 1), F.col("ax") + u * e1["x"] + v * e2["x"]))
 
 
 def mesh_voxels(triangles: DataFrame, by: list[str], size: float = 1.0) -> DataFrame:
     """(by, x, y, z) of cells whose centre is inside its closed mesh: rays along +x that leave it an odd number of times.
 
     A triangle is joined with the (y, z) columns of cells it can meet, not with all cells: each triangle explodes to the
-    columns of its own bounds, and its hits are then summed for the cells to the left of them. Hits on edges that triangles
-    share are one hit (equal distance, rounded).
+    columns of its own bounds, its crossings follow from its own plane, and only they are grouped by column of cells. Hits on
+    edges that triangles share are one hit (equal places, rounded).
     """
-    box = bounds(triangles, by)
     columns = triangles
     for c, name in (("y", "j"), ("z", "k")):
         low, high = F.least(*[f"{v}{c}" for v in "abc"]), F.greatest(*[f"{v}{c}" for v in "abc"])
         columns = columns.withColumn(name, F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
-    centre = {"y": (F.col("j") + 0.5) * size, "z": (F.col("k") + 0.5) * size, "x": F.col("min_x") - 1.0}
-    met = columns.join(box.select(*by, "min_x", "max_x"), by).withColumn("at", F.round(ray_hit(centre) + F.col("min_x") - 1.0, 6))
-    met = met.where("at is not null").select(*by, "j", "k", "at").distinct()
+    met = columns.select(*by, "j", "k", F.round(crossing((F.col("j") + 0.5) * size, (F.col("k") + 0.5) * size), 6).alias("at"))
+    met = met.where("at is not null").distinct()
     runs = met.groupBy(*by, "j", "k").agg(F.sort_array(F.collect_list("at")).alias("at"))
     first, last = F.floor(F.col("at")[0] / size), F.ceil(F.element_at("at", -1) / size)
     cells = runs.withColumn("i", F.explode(F.sequence(first, last)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import curves
-from cellweave.operators.session import checkpointed
+from cellweave.operators.session import checkpointed, unused
 
 CELL = ["x", "y", "z", "level"]
 #: How eight children's field values become their parent's.
@@ -41,37 +41,47 @@ def split(cells: DataFrame, most: int = curves.FINEST) -> DataFrame:
     return out.drop("__child")
 
 
-def merging(cells: DataFrame, least: int = 1) -> DataFrame:
-    """Cells that ask to be merged, with their parents' coordinates (px, py, pz) and child number."""
-    asked = cells.where((F.col("flag") == -1) & (F.col("state") == 0) & (F.col("level") >= least))
-    return asked.withColumns({f"p{c}": curves.parent(c) for c in "xyz"} | {"__child": curves.child_number()})
+def asks_to_merge(least: int = 1) -> Column:
+    return (F.col("flag") == -1) & (F.col("state") == 0) & (F.col("level") >= least)
+
+
+def parents_of(cells: DataFrame) -> dict[str, str]:
+    """Names for the parents' coordinates that no column of the mesh has."""
+    return {c: unused(f"p{c}", cells) for c in "xyz"}
 
 
 def merge(cells: DataFrame, fields: dict[str, str], least: int = 1) -> DataFrame:
     """The parents of complete groups of eight siblings that all ask for it. fields: column to rule; others: first sibling's."""
     kept = [c for c in cells.columns if c not in (*CELL, "state", "flag", *fields)]
-    grouped = merging(cells, least).groupBy("level", "px", "py", "pz").agg(
-        F.count("*").alias("__n"),
+    up, n = parents_of(cells), unused("n_siblings", cells)
+    asked = cells.where(asks_to_merge(least)).withColumns({up[c]: curves.parent(c) for c in "xyz"} | {"__child": curves.child_number()})
+    grouped = asked.groupBy("level", *up.values()).agg(
+        F.count("*").alias(n),
         F.min_by("state", "__child").alias("state"),
         *[rule(r)(c).alias(c) for c, r in fields.items()],
         *[F.min_by(c, "__child").alias(c) for c in kept],
     )
-    whole = grouped.where("__n = 8").withColumn("level", F.col("level") - 1).withColumn("flag", F.lit(0))
-    return whole.select(*[F.col(f"p{c}").alias(c) if c in "xyz" else F.col(c) for c in cells.columns])
+    whole = grouped.where(F.col(n) == 8).withColumn("level", F.col("level") - 1).withColumn("flag", F.lit(0))
+    return whole.select(*[F.col(up[c]).alias(c) if c in "xyz" else F.col(c) for c in cells.columns])
 
 
-def adapt(cells: DataFrame, fields: dict[str, str], most: int = curves.FINEST, least: int = 1) -> DataFrame:
-    """The mesh after one cycle: cells that neither split nor merge, children, and parents; flags are 0.
+def adapt(cells: DataFrame, fields: dict[str, str], most: int = curves.FINEST, least: int = 1, balanced: bool = False) -> DataFrame:
+    """The mesh after one cycle: cells that neither split nor merge, children, and parents; flags are 0. With ``balanced``,
+    flags are first raised until no cell would have a neighbour that is finer by two levels.
 
     Survivors need no anti-join: whether a cell's group is complete is one count over its parent, which merging needs
     anyway; the count is joined back on the parent, so each cell moves once.
     """
-    asks = (F.col("flag") == -1) & (F.col("state") == 0) & (F.col("level") >= least)
-    parents = [curves.parent(c).alias(f"p{c}") for c in "xyz"]
-    whole = cells.where(asks).groupBy("level", *parents).agg(F.count("*").alias("__n")).where("__n = 8").drop("__n")
-    tagged = cells.withColumns({f"p{c}": curves.parent(c) for c in "xyz"})
-    left = tagged.where(~splits(most)).join(whole.withColumn("__whole", F.lit(True)), ["level", "px", "py", "pz"], "left")
-    survivors = left.where(~(asks & F.coalesce("__whole", F.lit(False)))).select(*cells.columns).withColumn("flag", F.lit(0))
+    if balanced:
+        cells, settled = balance(cells, most)
+        if not settled:
+            raise RuntimeError("the mesh did not come into balance")
+    asks, up, n = asks_to_merge(least), parents_of(cells), unused("n_siblings", cells)
+    parents = [curves.parent(c).alias(up[c]) for c in "xyz"]
+    whole = cells.where(asks).groupBy("level", *parents).agg(F.count("*").alias(n)).where(F.col(n) == 8)
+    tagged = cells.withColumns({up[c]: curves.parent(c) for c in "xyz"})
+    left = tagged.where(~splits(most)).join(whole, ["level", *up.values()], "left")
+    survivors = left.where(~(asks & F.col(n).isNotNull())).select(*cells.columns).withColumn("flag", F.lit(0))
     children = split(cells, most).select(*cells.columns)
     parents_ = merge(cells, fields, least)
     types = {c: t for c, t in cells.dtypes}
@@ -79,6 +89,15 @@ def adapt(cells: DataFrame, fields: dict[str, str], most: int = curves.FINEST, l
     return same(survivors).unionByName(same(children)).unionByName(same(parents_))
 
 
+def conserved(before: DataFrame, after: DataFrame, field: str, tolerance: float = 1e-6) -> DataFrame:
+    """One row: a field's integral (value times volume, in finest cells) before and after, and whether they agree within the
+    relative tolerance."""
+    volume = F.call_function("shiftleft", F.lit(1).cast("long"), 3 * (F.lit(curves.FINEST) - F.col("level")))
+    total = lambda df, name: df.agg(F.coalesce(F.sum(F.col(field) * volume), F.lit(0)).cast("double").alias(name))
+    both = total(before, "before").crossJoin(F.broadcast(total(after, "after")))  # one row each
+    return both.withColumn("holds", F.abs(F.col("after") - F.col("before")) <= tolerance * F.greatest(F.abs("before"), F.lit(1.0)))
+
+
 def curve_order(cells: DataFrame) -> DataFrame:
     """Cells with ``key``, the anchor's Z-order key: sorting by (key, level) walks a mixed mesh in space."""
     return cells.withColumn("key", curves.morton(*[curves.anchor(c) for c in "xyz"], bits=16))
@@ -97,8 +116,8 @@ def face_neighbours(cells: DataFrame) -> DataFrame:
     return probes.join(there, ["nx", "ny", "nz", "level"])
 
 
-def mixed_neighbours(cells: DataFrame, levels: list[int]) -> DataFrame:
-    """For each cell and face, the coarsest cell that holds the probe point beyond the face: x, y, z, level, face, n_level.
+def probed(cells: DataFrame, levels: list[int]) -> DataFrame:
+    """For each cell and face, the cells that hold the probe point beyond the face: x, y, z, level, face, nx, ny, nz, n_level.
 
     The probe is the anchor, moved by one finest unit below or by the cell's size above. levels: those the mesh has.
     """
@@ -110,7 +129,12 @@ def mixed_neighbours(cells: DataFrame, levels: list[int]) -> DataFrame:
     seen = each.select(*CELL, F.col("p.face").alias("face"), F.explode(by_level).alias("q"))
     seen = seen.select(*CELL, "face", F.col("q.n").alias("n_level"), *[F.col(f"q.{c}").alias(f"n{c}") for c in "xyz"])
     there = cells.select(*[F.col(c).alias(f"n{c}") for c in "xyz"], F.col("level").alias("n_level"))
-    return seen.join(there, ["nx", "ny", "nz", "n_level"]).groupBy(*CELL, "face").agg(F.min("n_level").alias("n_level"))
+    return seen.join(there, ["nx", "ny", "nz", "n_level"])
+
+
+def mixed_neighbours(cells: DataFrame, levels: list[int]) -> DataFrame:
+    """For each cell and face, the level of the coarsest cell that holds the probe point beyond it."""
+    return probed(cells, levels).groupBy(*CELL, "face").agg(F.min("n_level").alias("n_level"))
 
 
 def levels_of(cells: DataFrame) -> list[int]:
@@ -139,20 +163,36 @@ def mixed_neighbours_with(cells: DataFrame, shadow: DataFrame, levels: list[int]
     return seen.join(there, ["nx", "ny", "nz", "n_level"])
 
 
-def balance_round(cells: DataFrame, levels: list[int], most: int = curves.FINEST) -> DataFrame:
+def unbalanced_by_probes(cells: DataFrame, levels: list[int]) -> DataFrame:
+    """The same by one probe point a face, seen from the coarser cell: the point beyond its lowest corner. Finer cells that do
+    not touch that corner are not seen."""
+    will = F.col("level") + (F.col("flag") > 0).cast("int")
+    found = probed(cells, levels)
+    own = cells.select(*CELL, will.alias("will"))
+    there = cells.select(*[F.col(c).alias(f"n{c}") for c in "xyz"], F.col("level").alias("n_level"), will.alias("n_will"))
+    return found.join(there, ["nx", "ny", "nz", "n_level"]).join(own, CELL).where("n_will >= will + 2").select(*CELL).distinct()
+
+
+#: Ways to find cells that break the 2:1 rule: all faces of all finer cells, or one probe a face.
+MODES = {"strict": unbalanced, "probe": unbalanced_by_probes}
+
+
+def balance_round(cells: DataFrame, levels: list[int], most: int = curves.FINEST, mode: str = "strict") -> DataFrame:
     """Cells with flags raised to 1 where a neighbour would be finer by two levels: one round of the 2:1 rule."""
-    bad = unbalanced(cells, levels).withColumn("__bad", F.lit(True))
-    can = F.coalesce("__bad", F.lit(False)) & (F.col("state") == 0) & (F.col("level") < most) & (F.col("flag") <= 0)
+    mark = unused("unbalanced", cells)
+    bad = MODES[mode](cells, levels).withColumn(mark, F.lit(True))
+    can = F.coalesce(mark, F.lit(False)) & (F.col("state") == 0) & (F.col("level") < most) & (F.col("flag") <= 0)
     return cells.join(bad, CELL, "left").withColumn("flag", F.when(can, F.lit(1)).otherwise(F.col("flag"))).select(*cells.columns)
 
 
-def balance(cells: DataFrame, most: int = curves.FINEST, rounds: int = 10) -> tuple[DataFrame, bool]:
-    """Rounds until no flag changes; and whether that was reached. Each round's mesh is a checkpoint."""
+def balance(cells: DataFrame, most: int = curves.FINEST, rounds: int = 10, mode: str = "strict") -> tuple[DataFrame, bool]:
+    """Rounds until no flag changes; and whether that was reached. Each round's mesh is a checkpoint. Flags spread to coarser
+    cells only, so ten rounds are enough for nine levels."""
     levels = levels_of(cells)
     now = checkpointed(cells)
     flagged = now.where("flag > 0").count()
     for _ in range(rounds):
-        now = checkpointed(balance_round(now, levels, most))
+        now = checkpointed(balance_round(now, levels, most, mode))
         new = now.where("flag > 0").count()
         if new == flagged:
             return now, True

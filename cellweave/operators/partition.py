@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
+import json
+import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.curves import col
-from cellweave.operators import mesh
+from cellweave.operators import mesh, series
+from cellweave.operators.session import unused
+
+
+#: Ranges that travel as constants; with more of them the join is Spark's.
+FEW = 10_000
+
+
+def place_in(key: Column | str, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the key: looked up in groups of bounds, then in one group."""
+    if not bounds:
+        return F.lit(0)
+    size = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)
+    upto = F.size(F.filter(constant([g[0] for g in groups], "array<bigint>"), lambda b: b <= col(key)))
+    inside = F.size(F.filter(F.get(constant(groups, "array<array<bigint>>"), upto - 1), lambda b: b <= col(key)))
+    return F.when(upto == 0, F.lit(0)).otherwise((upto - 1) * size + inside)
 
 
 def owner_of_splits(key: Column | str, splits: list[int]) -> Column:
     """The first range whose upper split lies above the key; the last one beyond all splits. Splits are few: one a rank."""
-    return reduce(lambda rest, s: F.when(col(key) < s[1], F.lit(s[0])).otherwise(rest), reversed(list(enumerate(splits))), F.lit(len(splits)))
+    return place_in(key, sorted(splits))
 
 
 def linear_splits(low: int, high: int, count: int, ranks: int) -> list[int]:
@@ -29,21 +49,82 @@ def owner_ranges(cells: DataFrame, rank: str = "rank", key: str = "key") -> Data
     return out.withColumn("previous", F.lag(rank).over(by)).withColumn("next", F.lead(rank).over(by))
 
 
+def segments(ranges: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Closed ranges (first, last, rank) as starts of segments, and each segment's lowest rank, -1 where none is."""
+    edges = sorted({e for first, last, _ in ranges for e in (first, last + 1)})
+    begins, ends = {}, {}
+    for first, last, rank in ranges:
+        begins.setdefault(first, []).append(rank)
+        ends.setdefault(last + 1, []).append(rank)
+    open_: list[int] = []
+    gone: Counter = Counter()
+    owners = []
+    for e in edges:
+        gone.update(ends.get(e, ()))
+        for rank in begins.get(e, ()):
+            heapq.heappush(open_, rank)
+        while open_ and gone[open_[0]]:
+            gone[heapq.heappop(open_)] -= 1
+        owners.append(open_[0] if open_ else -1)
+    return edges, owners
+
+
 def range_owner(keys: DataFrame, ranges: DataFrame, key: str = "key") -> DataFrame:
-    """Keys with the lowest rank whose closed range holds them, else -1. The ranges are one row a rank, so they travel."""
-    hit = F.broadcast(ranges.select(F.col("rank").alias("owner"), "first_key", "last_key"))
+    """Keys with the lowest rank whose closed range holds them, else -1. Up to ``FEW`` ranges (one a rank) are looked up as a
+    constant; more of them are joined."""
+    hit = ranges.select(F.col("rank").alias("owner"), "first_key", "last_key")
+    few = hit.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        edges, owners = segments([(r["first_key"], r["last_key"], r["owner"]) for r in few if r["first_key"] is not None])
+        owner = F.get(F.from_json(F.lit(json.dumps([-1, *owners])), "array<int>"), place_in(key, edges))
+        return keys.withColumn("owner", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(owner))
     joined = keys.join(hit, F.col(key).between(F.col("first_key"), F.col("last_key")), "left")
     return joined.groupBy(*keys.columns).agg(F.coalesce(F.min("owner"), F.lit(-1)).alias("owner"))
 
 
+def equal_ranks(cells: DataFrame, by: list[str], ranks: int, name: str = "rank") -> DataFrame:
+    """Cells with a rank of near equal count, in order of ``by``: the first n mod ranks ranks have one more."""
+    number = unused("number", cells)
+    placed = mesh.numbered(cells, by, number)
+    n = placed.agg(F.count("*").alias("total"))
+    size, more = F.floor(F.col("total") / ranks), F.col("total") % ranks
+    edge = more * (size + 1)
+    rank = F.when(F.col(number) < edge, F.floor(F.col(number) / (size + 1))).otherwise(more + F.floor((F.col(number) - edge) / size))
+    return placed.crossJoin(F.broadcast(n)).withColumn(name, rank.cast("int")).select(*cells.columns, name)  # one row
+
+
+def moved_to(cells: DataFrame, rank: str, ranks: int, key: str = "key") -> DataFrame:
+    """The table dealt to its ranks' parts, each in key order: the rows themselves move."""
+    return cells.repartitionByRange(ranks, rank).sortWithinPartitions(rank, key)
+
+
 def imbalance(counts: DataFrame, n: str = "n") -> DataFrame:
     """(largest - smallest) / mean; 0 without rows."""
     got = counts.agg(F.min(n).alias("smallest"), F.max(n).alias("largest"), F.avg(n).alias("mean"), F.count("*").alias("ranks"))
     return got.withColumn("imbalance", F.when(F.coalesce(F.col("mean"), F.lit(0)) == 0, F.lit(0.0)).otherwise((F.col("largest") - F.col("smallest")) / F.col("mean")))
 
 
-def rebalance_due(found: DataFrame, tolerance: float = 0.1, enabled: bool = True) -> DataFrame:
-    return found.withColumn("due", F.lit(enabled) & (F.col("imbalance") > tolerance))
+def rebalance_due(found: DataFrame, tolerance: float = 0.1, enabled: bool = True, since: int | None = None, interval: int = 0) -> DataFrame:
+    """since: steps from the last rebalance on; before ``interval`` of them nothing is due."""
+    allowed = enabled and (since is None or since >= interval)
+    return found.withColumn("due", F.lit(allowed) & (F.col("imbalance") > tolerance))
+
+
+def rebalances(history: DataFrame, tolerance: float = 0.1, interval: int = 1) -> DataFrame:
+    """history: (step, rank, n). Of each step: its imbalance, the steps since the last rebalance, and whether one is due; one
+    that is due starts the count again. Steps are folded in order: one row a step."""
+    each = history.groupBy("step").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.avg("n").alias("mean"))
+    each = each.select("step", F.when(F.col("mean") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.col("mean")).alias("imbalance"))
+
+    def fold(seen: Column, x: Column) -> Column:
+        last = F.element_at(seen, -1)
+        since = F.when(F.size(seen) == 0, F.lit(1)).when(last["due"], F.lit(1)).otherwise(last["since"] + 1)
+        due = (since >= interval) & (x["imbalance"] > tolerance)
+        return F.concat(seen, F.array(F.struct(x["step"].alias("step"), x["imbalance"].alias("imbalance"), since.alias("since"), due.alias("due"))))
+
+    ordered = each.agg(F.sort_array(F.collect_list(F.struct("step", "imbalance"))).alias("steps"))
+    kind = f"array<struct<step:{dict(each.dtypes)['step']},imbalance:double,since:int,due:boolean>>"
+    return ordered.select(F.explode(F.aggregate("steps", F.array().cast(kind), fold)).alias("x")).select("x.*")
 
 
 def migration(cells: DataFrame, old: str, new: str, key: str = "key") -> DataFrame:
@@ -58,12 +139,22 @@ def valid_transfer(source="source", destination="destination", first="first_key"
     return (col(source) >= 0) & (col(destination) >= 0) & (col(source) != col(destination)) & (col(end) > col(first)) & (col(n) > 0)
 
 
+def plan_totals(transfers: DataFrame, total: int | None = None) -> DataFrame:
+    """One row: cells to move, transfers, the time they take (0.001 ms a cell), and whether all are valid and add up to
+    ``total``, if that is given. A plan without transfers is valid."""
+    got = transfers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("transfers"), F.coalesce(F.every(valid_transfer()), F.lit(True)).alias("all_valid"))
+    fits = F.lit(True) if total is None else (F.col("n") == total) | (F.col("transfers") == 0)
+    return got.select("n", "transfers", (F.col("n") * 0.001).alias("milliseconds"), (F.col("all_valid") & fits).alias("valid"))
+
+
 def coalesced(transfers: DataFrame) -> DataFrame:
-    """Transfers of the same pair that touch, as one: islands by a running count of gaps within each pair."""
-    by = Window.partitionBy("source", "destination").orderBy("first_key")
-    gap = F.when(F.lag("end_key").over(by) == F.col("first_key"), 0).otherwise(1)
-    marked = transfers.withColumn("__gap", gap).withColumn("__island", F.sum("__gap").over(by))
-    return marked.groupBy("source", "destination", "__island").agg(F.min("first_key").alias("first_key"), F.max("end_key").alias("end_key"), F.sum("n").alias("n")).drop("__island")
+    """Transfers of the same pair that touch, as one, in order of source and destination: the end of the transfer before and
+    the start of an island are carried over ranges of rows, so that a pair of any size spreads."""
+    pair, at = ["source", "destination"], ["first_key", "end_key"]
+    rows = series.carried(series.dealt(transfers.select(*pair, *at, "n"), pair, at), pair, at, F.col("end_key"), "before", own=False)
+    begins = F.when(F.coalesce(F.col("before") != F.col("first_key"), F.lit(True)), F.col("first_key"))
+    marked = series.carried(rows.withColumn("begins", begins), pair, at, F.col("begins"), "island")
+    return marked.groupBy(*pair, "island").agg(F.min("first_key").alias("first_key"), F.max("end_key").alias("end_key"), F.sum("n").alias("n")).drop("island")
 
 
 def halo_rows(cells: DataFrame, rank: str, fields: list[str]) -> DataFrame:

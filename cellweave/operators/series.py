@@ -5,43 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.session import checkpointed, unused
 
-def intervals(series: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
-    """Each pair of neighbouring points of a series as one row: lo, hi, v0, v1."""
-    w = Window.partitionBy(*by).orderBy(at)
-    out = series.select(*by, F.col(at).alias("lo"), F.lead(at).over(w).alias("hi"), F.col(value).alias("v0"), F.lead(value).over(w).alias("v1"))
-    return out.where("hi is not null")
 
+PART = "range_part"
 
-def bracketed(points: DataFrame, series: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
-    """As-of interpolation without a range join: points and series of a key are merged in one sort; the point before and
-    the point after come from two windows. Outside the series its first or last value holds."""
-    a = points.select(*points.columns, F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__point"))
+
+def dealt(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows dealt by range of key and order, with the number of their part: a key of any size spreads over many parts."""
+    part = unused(PART, df)
+    if part != PART:
+        raise ValueError(f"a column named {PART} is in the way")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(n, *by, *order).withColumn(PART, F.spark_partition_id()))
+
+
+def carried(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, ahead: bool = False, own: bool = True) -> DataFrame:
+    """rows: from ``dealt``. The last value that is not null of a key's rows before, in ``order`` (own: the row's own too), or
+    with ``ahead`` the first one after. No window goes over a whole key: each part has its own, and what comes from other
+    parts is one row for each part of a key."""
+    direction = F.desc if ahead else F.asc
+    within = Window.partitionBy(PART, *by).orderBy(*map(direction, order)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    here = rows.withColumn(name, F.last(value, ignorenulls=True).over(within))
+    place = F.when(value.isNotNull(), F.struct(*order))
+    edge = rows.groupBy(PART, *by).agg((F.min_by if ahead else F.max_by)(value, place).alias("edge"))
+    between = Window.partitionBy(*by).orderBy(direction(PART)).rowsBetween(Window.unboundedPreceding, -1)
+    other = edge.withColumn("other", F.last("edge", ignorenulls=True).over(between)).where("other is not null").select(PART, *by, "other")
+    return here.join(other, [PART, *by], "left").withColumn(name, F.coalesce(name, "other")).drop("other")
+
+
+def merged(points: DataFrame, series: DataFrame, by: list[str], at: str, value: str | None) -> DataFrame:
+    """Points and series in one table, dealt: of series rows ``__v`` is (t, v); points come after equal series rows."""
     empty = {c: F.lit(None).cast(t).alias(c) for c, t in points.dtypes if c not in (*by, at)}
-    b = series.select(*[F.col(c) if c in (*by, at) else empty[c] for c in points.columns], F.col(value).cast("double").alias("__v"), F.lit(0).alias("__point"))
-    # series points come before equal points in the window backwards, and after them in the one forwards
-    back = Window.partitionBy(*by).orderBy(at, "__point").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(F.desc(at), "__point").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b)
-    at_if = F.when(F.col("__point") == 0, F.struct(F.col(at).cast("double").alias("t"), F.col("__v").alias("v")))
-    got = both.withColumn("__lo", F.last(at_if, ignorenulls=True).over(back)).withColumn("__hi", F.last(at_if, ignorenulls=True).over(ahead)).where("__point = 1")
+    pair = F.struct(F.col(at).alias("t"), (F.col(value).cast("double") if value else F.lit(None).cast("double")).alias("v"))
+    b = series.select(*[F.col(c) if c in (*by, at) else empty[c] for c in points.columns], pair.alias("__v"), F.lit(0).alias("__point"))
+    a = points.select(*points.columns, F.lit(None).cast(b.schema["__v"].dataType).alias("__v"), F.lit(1).alias("__point"))
+    return dealt(a.unionByName(b), by, [at])
+
+
+def bracketed(points: DataFrame, series: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+    """As-of interpolation without a range join: points and series are merged in one order; the point before and the point
+    after are carried over. Outside the series its first or last value holds."""
+    both = merged(points, series, by, at, value)
+    got = carried(both, by, [at, "__point"], F.col("__v"), "__lo")
+    got = carried(got.withColumn("__turn", -F.col("__point")), by, [at, "__turn"], F.col("__v"), "__hi", ahead=True).where("__point = 1")
     x, lo, hi = F.col(at).cast("double"), F.col("__lo"), F.col("__hi")
     between = lo["v"] + (x - lo["t"]) / (hi["t"] - lo["t"]) * (hi["v"] - lo["v"])
     found = F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (hi["t"] == lo["t"]), lo["v"]).otherwise(between)
-    return got.withColumn("value", found).drop("__v", "__point", "__lo", "__hi")
+    return got.withColumn("value", found).select(*points.columns, "value")
 
 
 def nearest(points: DataFrame, series: DataFrame, by: list[str], at: str) -> DataFrame:
-    """Points with ``nearest``: the place of the series' nearest point, the earlier one of two, from one sort of both."""
-    empty = {c: F.lit(None).cast(t).alias(c) for c, t in points.dtypes if c not in (*by, at)}
-    b = series.select(*[F.col(c) if c in (*by, at) else empty[c] for c in points.columns], F.col(at).alias("__at"), F.lit(0).alias("__point"))
-    both = points.select(*points.columns, F.lit(None).cast(dict(points.dtypes)[at]).alias("__at"), F.lit(1).alias("__point")).unionByName(b)
-    back = Window.partitionBy(*by).orderBy(at, "__point").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(F.desc(at), "__point").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("__lo", F.last("__at", ignorenulls=True).over(back)).withColumn("__hi", F.last("__at", ignorenulls=True).over(ahead)).where("__point = 1")
+    """Points with ``nearest``: the place of the series' nearest point, the earlier one of two, from one order of both."""
+    both = merged(points, series, by, at, None)
+    got = carried(both, by, [at, "__point"], F.col("__v.t"), "__lo")
+    got = carried(got.withColumn("__turn", -F.col("__point")), by, [at, "__turn"], F.col("__v.t"), "__hi", ahead=True).where("__point = 1")
     lo, hi, x = F.col("__lo"), F.col("__hi"), F.col(at)
     found = F.when(lo.isNull(), hi).when(hi.isNull() | (x - lo <= hi - x), lo).otherwise(hi)
-    return got.withColumn("nearest", found).drop("__at", "__point", "__lo", "__hi")
+    return got.withColumn("nearest", found).select(*points.columns, "nearest")
 
 
 def l2_error(found: Column, real: Column) -> Column:
@@ -68,11 +89,6 @@ def last_of(rows: DataFrame, by: list[str], newest: list, n: int = 5) -> DataFra
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
-def baseline(rows: DataFrame, by: list[str], newest: list, value: str, n: int = 5) -> DataFrame:
-    """The median of each key's last n values."""
-    return last_of(rows, by, newest, n).groupBy(*by).agg(F.median(value).alias("baseline"))
-
-
 def regressions(new: DataFrame, base: DataFrame, by: list[str], value: str, threshold: float = 0.05) -> DataFrame:
     """New values over their baseline by more than the threshold, with the change in percent."""
     joined = new.join(base, by).where(F.col(value) > F.col("baseline") * (1 + threshold))

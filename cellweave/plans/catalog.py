@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions import curves
+from cellweave.functions import curves, schema
 from cellweave.operators import geometry, mesh, partition, series
 from cellweave.plans import tables
 from cellweave.plans.tables import CELLS, GRID, LEVEL, SHAPES
@@ -212,10 +212,42 @@ def balance_flags(spark, d):
     return mesh.balance_round(cells, [4, 5, 6]).select("x", "y", "z", "level", "flag")
 
 
-@query()
+def round_sql(src: str, dst: str) -> str:
+    """One round of the 2:1 rule: every finer cell's faces, and the cells beyond them."""
+    beyond = ", ".join(f"case d{c} when -1 then ({c} << (8 - level)) - 1 when 1 then ({c} + 1) << (8 - level) else {c} << (8 - level) end as p{c}" for c in "xyz")
+    return f"""{dst}_p as (select level, level + cast(flag > 0 as integer) as will, {beyond} from {src}, {FACE_SQL}),
+  {dst}_s as (select will, l.level, px >> (8 - l.level) as x, py >> (8 - l.level) as y, pz >> (8 - l.level) as z from {dst}_p p, (values (4), (5), (6)) l(level) where l.level <= p.level),
+  {dst}_b as (select distinct c.x, c.y, c.z, c.level from {dst}_s p join {src} c using (level, x, y, z) where p.will >= c.level + cast(c.flag > 0 as integer) + 2),
+  {dst} as (select f.* replace (case when b.x is not null and f.state = 0 and f.flag <= 0 and f.level < 8 then 1 else f.flag end as flag) from {src} f left join {dst}_b b using (x, y, z, level))"""
+
+
+#: Flags spread to coarser levels only; the mesh has three.
+BALANCED = f"""flagged0 as (select x, y, z, level, state, case when level = 6 and mass >= 90 then 1 else 0 end as flag, mass, n from adapted),
+  {round_sql("flagged0", "r1")}, {round_sql("r1", "r2")}, {round_sql("r2", "balanced")}"""
+
+
+@query(f"with {CELLS}, {ADAPTED}, {BALANCED} select x, y, z, level, flag from balanced")
 def balance_fixpoint(spark, d):
-    """Rounds of the 2:1 rule to their end; tested against a plain model and for idempotence."""
-    return mesh.balance(flagged(spark, d))[0].select("x", "y", "z", "level", "flag")
+    """Rounds of the 2:1 rule to their end."""
+    cells, settled = mesh.balance(flagged(spark, d))
+    if not settled:
+        raise RuntimeError("the mesh did not come into balance")
+    return cells.select("x", "y", "z", "level", "flag")
+
+
+@query(f"""with {CELLS}, {ADAPTED}, {BALANCED} select x, y, z, level, state, 0 as flag, mass, n from balanced where not (flag > 0 and state = 0 and level < 8)
+  union all select 2 * x + (c & 1), 2 * y + ((c >> 1) & 1), 2 * z + ((c >> 2) & 1), level + 1, state, 0, mass, n from balanced, range(8) r(c) where flag > 0 and state = 0 and level < 8""")
+def adapt_balanced(spark, d):
+    return mesh.adapt(flagged(spark, d), FIELDS, balanced=True)
+
+
+@query(f"""with {CELLS}, {FLAGGED}, {PROBES},
+  seen as (select p.x as ox, p.y as oy, p.z as oz, p.level as olevel, will, l.level, px >> (8 - l.level) as x, py >> (8 - l.level) as y, pz >> (8 - l.level) as z from probes p, (values (4), (5), (6)) l(level)),
+  bad as (select distinct ox as x, oy as y, oz as z, olevel as level from seen p join flagged c using (level, x, y, z) where c.level + cast(c.flag > 0 as integer) >= p.will + 2)
+  select f.x, f.y, f.z, f.level, case when b.x is not null and state = 0 and flag <= 0 and f.level < 8 then 1 else flag end as flag from flagged f left join bad b using (x, y, z, level)""")
+def balance_probe(spark, d):
+    """A round of the 2:1 rule by one probe a face."""
+    return mesh.balance_round(flagged(spark, d), [4, 5, 6], mode="probe").select("x", "y", "z", "level", "flag")
 
 
 @query(with_cells(f"""select a.x, a.y, a.z, a.level, case when dx = -1 then 0 when dx = 1 then 1 when dy = -1 then 2 when dy = 1 then 3 when dz = -1 then 4 else 5 end as face, b.x as nx, b.y as ny, b.z as nz
@@ -298,7 +330,7 @@ def reduce_mass(spark, d):
 def kernel_mask(spark, d):
     """A masked kernel leaves other rows as they are."""
     mask = (F.col("state") == 0) & (F.col("mass") > 50)
-    return tables.cells(spark, d).select("x", "y", "z", F.when(mask, F.col("mass") * 2 + F.col("x")).otherwise(F.col("mass")).alias("mass"))
+    return schema.kernel(tables.cells(spark, d), {"mass": F.col("mass") * 2 + F.col("x")}, mask).select("x", "y", "z", "mass")
 
 
 @query(with_cells("select x, y, z, case when abs(mass - 50) > 30 then 1 when abs(mass - 50) < 5 then -1 else 0 end as flag, case when (x - 16) ** 2 + (y - 16) ** 2 + (z - 16) ** 2 < 144 then 2 else 0 end as near from cells"))
@@ -381,13 +413,14 @@ def split_owner(spark, d):
 
 @query(f"with {CELLS} select key, cast(ntile({RANKS}) over (order by key) - 1 as integer) as rank from (select {KEY} as key from cells)")
 def partition_ntile(spark, d):
-    """Equal counts by key order: numbered rows, the first n mod ranks ranks one larger."""
-    keyed = mesh.numbered(tables.cells(spark, d).select(curves.morton().alias("key")), ["key"])
-    n = keyed.agg(F.count("*").alias("n"))
-    size, more = F.floor(F.col("n") / RANKS), F.col("n") % RANKS
-    edge = more * (size + 1)
-    rank = F.when(F.col("number") < edge, F.floor(F.col("number") / (size + 1))).otherwise(more + F.floor((F.col("number") - edge) / size))
-    return keyed.crossJoin(F.broadcast(n)).select("key", rank.cast("int").alias("rank"))  # one row
+    """Equal counts by key order."""
+    return partition.equal_ranks(tables.cells(spark, d).select(curves.morton().alias("key")), ["key"], RANKS)
+
+
+def reranked(spark, d):
+    """Cells with their old rank, by key range, and the rank of equal counts."""
+    cells = ranked(tables.cells(spark, d)).select("key", F.col("rank").alias("old"), "x", "y", "z", "mass")
+    return partition.equal_ranks(cells, ["key"], RANKS)
 
 
 MOVED = f"moved as (select {RANK} as source, cast(ntile({RANKS}) over (order by {KEY}) - 1 as integer) as destination, {KEY} as key from cells)"
@@ -395,8 +428,7 @@ MOVED = f"moved as (select {RANK} as source, cast(ntile({RANKS}) over (order by
 
 @query(f"with {CELLS}, {MOVED} select source, destination, min(key) as first_key, max(key) + 1 as end_key, count(*) as n, count(*) > 0 as valid from moved where source <> destination group by 1, 2")
 def migration_plan(spark, d):
-    cells = ranked(tables.cells(spark, d)).select("key", F.col("rank").alias("old")).join(partition_ntile(spark, d), "key")
-    return partition.migration(cells, "old", "rank").withColumn("valid", partition.valid_transfer())
+    return partition.migration(reranked(spark, d), "old", "rank").withColumn("valid", partition.valid_transfer())
 
 
 @query("""with t as (select o_custkey % 20 as source, o_custkey % 20 + 1 as destination, o_orderkey as first_key, o_orderkey + 1 + o_custkey % 40 as end_key, cast(1 as bigint) as n from orders),
@@ -524,10 +556,9 @@ def profile_error(spark, d):
 @query("""with o as (select row_number() over (order by o_orderdate, o_orderkey) - 1 as number, o_totalprice as a from orders), e as (select row_number() over (order by ts, event_id) - 1 as number, value as b from events)
   select number, a, b from o join e using (number)""")
 def positional_pairs(spark, d):
-    orders = tables.read(spark, d, "orders").select("o_orderdate", "o_orderkey", "o_totalprice")
-    one = mesh.numbered(orders, ["o_orderdate", "o_orderkey"]).select("number", F.col("o_totalprice").alias("a"))
-    two = mesh.numbered(tables.events(spark, d).select("ts", "event_id", "value"), ["ts", "event_id"]).select("number", F.col("value").alias("b"))
-    return one.join(two, "number")
+    orders = tables.read(spark, d, "orders").select(F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    events = tables.events(spark, d).select(F.col("ts").alias("at"), F.col("event_id").alias("id"), "value")
+    return series.positional(orders, events, ["at", "id"], "value")
 
 
 @query("""with p as (select event_id, event_type, epoch_us(ts) as t from events), k as (select distinct event_type, t from p where event_id % 10 = 0)

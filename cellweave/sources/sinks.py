@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from xml.sax.saxutils import escape, quoteattr
 
@@ -15,36 +16,45 @@ from cellweave.operators import series
 
 
 def write_vtp(cells: DataFrame, folder: str, step: int, fields: list[str] = ()) -> str:
-    """Cells as VTK PolyData: a piece file a partition and one index that names them. folder: a URI. Returns the index."""
+    """Cells as VTK PolyData: a file a partition, with a piece for each batch of rows, and one index that names the files of
+    tasks that ended. folder: a URI. Returns the index."""
     names = [*fields]
 
+    def piece(batch: pa.RecordBatch) -> str:
+        n = batch.num_rows
+        x, y, z, level, *values = (batch.column(i).to_pylist() for i in range(batch.num_columns))
+        points = " ".join(f"{a} {b} {c}" for a, b, c in zip(x, y, z, strict=True))
+        at = " ".join(map(str, range(n)))
+        data = "".join(f"<DataArray type=\"Float64\" Name={quoteattr(f)} format=\"ascii\">{' '.join(str(float(v)) for v in vs)}</DataArray>" for f, vs in zip(names, values, strict=True))
+        return (
+            f'<Piece NumberOfPoints="{n}" NumberOfVerts="{n}" NumberOfLines="0" NumberOfStrips="0" NumberOfPolys="0">'
+            f'<Points><DataArray type="Float32" NumberOfComponents="3" format="ascii">{points}</DataArray></Points>'
+            f'<Verts><DataArray type="Int32" Name="connectivity" format="ascii">{at}</DataArray><DataArray type="Int32" Name="offsets" format="ascii">{" ".join(str(i + 1) for i in range(n))}</DataArray></Verts>'
+            f'<PointData><DataArray type="Int32" Name="Level" format="ascii">{" ".join(map(str, level))}</DataArray>{data}</PointData></Piece>'
+        )
+
     def run(batches):
-        rows = [r for b in batches for r in b.to_pylist()]
-        if not rows:
+        full = (b for b in batches if b.num_rows)
+        first = next(full, None)
+        if first is None:
             return
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
         name = f"snapshot_{step:06d}_{TaskContext.get().partitionId():05d}_{uuid.uuid4().hex[:8]}.vtp"
-        n = len(rows)
-        points = " ".join(f"{r['x']} {r['y']} {r['z']}" for r in rows)
-        at = " ".join(map(str, range(n)))
-        data = "".join(f"<DataArray type=\"Float64\" Name={quoteattr(f)} format=\"ascii\">{' '.join(str(float(r[f])) for r in rows)}</DataArray>" for f in names)
-        level = " ".join(str(r["level"]) for r in rows)
-        text = (
-            f'<?xml version="1.0"?><VTKFile type="PolyData" version="1.0" byte_order="LittleEndian"><PolyData><Piece NumberOfPoints="{n}" NumberOfVerts="{n}" NumberOfLines="0" NumberOfStrips="0" NumberOfPolys="0">'
-            f'<Points><DataArray type="Float32" NumberOfComponents="3" format="ascii">{points}</DataArray></Points>'
-            f'<Verts><DataArray type="Int32" Name="connectivity" format="ascii">{at}</DataArray><DataArray type="Int32" Name="offsets" format="ascii">{" ".join(str(i + 1) for i in range(n))}</DataArray></Verts>'
-            f'<PointData><DataArray type="Int32" Name="Level" format="ascii">{level}</DataArray>{data}</PointData></Piece></PolyData></VTKFile>\n'
-        )
+        n = 0
         with system.open_output_stream(f"{path}/{name}") as out:
-            out.write(text.encode())
+            out.write(b'<?xml version="1.0"?><VTKFile type="PolyData" version="1.0" byte_order="LittleEndian"><PolyData>')
+            for batch in itertools.chain([first], full):
+                out.write(piece(batch).encode())
+                n += batch.num_rows
+            out.write(b"</PolyData></VTKFile>\n")
         yield pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([n], pa.int64())})
 
-    written = cells.select("x", "y", "z", "level", *names).mapInArrow(run, "file string, n long").orderBy("file").collect()  # one row a piece
+    written = sorted(r["file"] for r in cells.select("x", "y", "z", "level", *names).mapInArrow(run, "file string, n long").collect())  # one row a file
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     arrays = '<PDataArray type="Int32" Name="Level"/>' + "".join(f'<PDataArray type="Float64" Name={quoteattr(f)}/>' for f in names)
-    pieces = "".join(f'<Piece Source="{escape(r["file"])}"/>' for r in written)
+    pieces = "".join(f'<Piece Source="{escape(f)}"/>' for f in written)
     index = f"{path}/snapshot_{step:06d}.pvtp"
     with system.open_output_stream(index) as out:
         out.write(f'<?xml version="1.0"?><VTKFile type="PPolyData" version="1.0"><PPolyData GhostLevel="0"><PPoints><PDataArray type="Float32" NumberOfComponents="3"/></PPoints><PPointData>{arrays}</PPointData>{pieces}</PPolyData></VTKFile>\n'.encode())
@@ -71,10 +81,12 @@ def append_metrics(history: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def report(found: DataFrame, most: int = 200) -> str:
-    """Regressions (test, metric, baseline, value, percent) as a Markdown table, the largest first."""
-    rows = found.orderBy(F.desc("percent")).limit(most).collect()
+    """Regressions (test, metric, baseline, value, percent) as a Markdown table, the largest first; how many more there are is
+    said below it."""
+    rows, n = found.orderBy(F.desc("percent")).limit(most).collect(), found.count()
     head = "| test | metric | baseline | now | change |\n|---|---|---|---|---|\n"
-    return head + "".join(f"| {r['test']} | {r['metric']} | {r['baseline']:.6g} | {r['value']:.6g} | +{r['percent']:.1f} % |\n" for r in rows) if rows else "No regression.\n"
+    more = f"\n{n - most} more are not listed.\n" if n > most else ""
+    return head + "".join(f"| {r['test']} | {r['metric']} | {r['baseline']:.6g} | {r['value']:.6g} | +{r['percent']:.1f} % |\n" for r in rows) + more if rows else "No regression.\n"
 
 
 def transport_stats(messages: DataFrame, by: list[str]) -> DataFrame:

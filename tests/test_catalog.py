@@ -9,8 +9,9 @@ import sys
 import duckdb
 import pytest
 
-from cellweave.plans import catalog
+from cellweave.plans import catalog, exchange
 
+assert exchange  # its queries register in the catalog
 DATA = "/root/testdata/sf0.001"
 
 
