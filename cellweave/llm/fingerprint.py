@@ -6,7 +6,8 @@ counts as often as it occurs. A sketch is a table of cells (count, xor of digest
 one cell of each third of the table. The difference of two sketches has only the digests of one side; peeling cells of
 count one recovers them. Where peeling gets stuck, both sketches are built again with twice the cells.
 
-Likeness is the number of digests in both texts over the number in either, from the recovered differences.
+Likeness is the number of digests in both texts over the number in either, from the recovered differences. The fingerprint
+that is returned is the least table that can be peeled alone, so that a reader finds the same likeness from fingerprints.
 
 Defined cases: a null text is the empty text, which has no digests; two empty texts have likeness 1; the last document's
 next one is the first, and a single document's next one is itself; a null ``doc_id`` comes first; equal ``doc_id`` values
@@ -31,7 +32,7 @@ from cellweave.llm import common
 
 PIECE = 120
 PIECES = re.compile(rf"[^\n.!?]{{1,{PIECE}}}[.!?]*|[.!?]+")
-#: Cells of the sketch that is returned; a multiple of three.
+#: Cells of the smallest sketch; a multiple of three.
 CELLS = 24
 NULL_ID = -(2**63)
 CHECK = 0x5BD1E995
@@ -101,9 +102,11 @@ class Sketches:
         left = (self.count != 0) | (self.keys != 0)
         return found, ~left.reshape(self.n, self.cells).any(axis=1)
 
-    def as_text(self) -> list[str]:
-        packed = np.concatenate([self.count.astype("<u2").view(np.uint8).reshape(self.n, -1), self.keys.view(np.uint8).reshape(self.n, -1), self.check.astype("<u4").view(np.uint8).reshape(self.n, -1)], axis=1)
-        return [binascii.b2a_base64(row.tobytes(), newline=False).decode() for row in packed]
+    def as_text(self, rows: np.ndarray) -> list[str]:
+        """The tables of some documents: their number of cells, then counts, digests and checks."""
+        shaped = [x.reshape(self.n, self.cells)[rows] for x in (self.count.astype("<i4"), self.keys, self.check)]
+        head = np.array([self.cells], "<u4").tobytes()
+        return [binascii.b2a_base64(head + b"".join(x[i].tobytes() for x in shaped), newline=False).decode() for i in range(len(shaped[0]))]
 
 
 def sketched(n: int, doc: np.ndarray, key: np.ndarray, cells: int = CELLS) -> Sketches:
@@ -112,6 +115,47 @@ def sketched(n: int, doc: np.ndarray, key: np.ndarray, cells: int = CELLS) -> Sk
     return out
 
 
+def standalone(n: int, doc: np.ndarray, key: np.ndarray) -> list[str]:
+    """Fingerprints of n digest sets: tables of the least size, doubled from ``CELLS`` on, that peeling empties alone."""
+    out, open_, cells = [""] * n, np.arange(n), CELLS
+    while len(open_):
+        place = np.full(n, -1)
+        place[open_] = np.arange(len(open_))
+        mine = place[doc] >= 0
+        own = sketched(len(open_), place[doc[mine]], key[mine], cells)
+        _, done = own.minus(Sketches(len(open_), cells)).peeled()
+        for i, text in zip(open_[done], own.as_text(done), strict=True):
+            out[i] = text
+        open_, cells = open_[~done], cells * 2
+    return out
+
+
+def recovered(fingerprint: str) -> set[int]:
+    """The digests of a fingerprint, by peeling."""
+    raw = binascii.a2b_base64(fingerprint)
+    cells = int(np.frombuffer(raw, "<u4", 1)[0])
+    own = Sketches(1, cells)
+    own.count = np.frombuffer(raw, "<i4", cells, 4).astype(np.int64)
+    own.keys, own.check = (np.frombuffer(raw, "<u8", cells, 4 + 4 * cells + 8 * cells * k).astype(U64) for k in (0, 1))
+    found: set[int] = set()
+    while True:
+        pure = np.flatnonzero((own.count == 1) & (own.check == mixed(own.keys, CHECK)))
+        keys = np.unique(own.keys[pure])
+        if not len(keys):
+            break
+        found.update(keys.tolist())
+        own.put(np.zeros(len(keys), np.int64), keys, -1)
+    if own.count.any() or own.keys.any():
+        raise ValueError("the fingerprint cannot be peeled")
+    return found
+
+
+def likeness_of(a: str, b: str) -> float:
+    """The likeness of two fingerprints, from nothing else."""
+    x, y = recovered(a), recovered(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
 def likeness(n: int, a: tuple, b: tuple, cells: int = CELLS) -> np.ndarray:
     """Of n pairs of digest sets, by peeling differences; pairs that get stuck try again with twice the cells."""
     size_a, size_b = (np.bincount(x[0], minlength=n) for x in (a, b))
@@ -193,8 +237,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 "doc_id": pa.array(ids[:n], pa.int64()),
                 "n_chars": pa.array([len(t) for t in texts[:n]], pa.int64()),
                 "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-                "fingerprint": sketched(n, *own).as_text(),
-                "edited_fingerprint": sketched(n, *new).as_text(),
+                "fingerprint": standalone(n, *own),
+                "edited_fingerprint": standalone(n, *new),
                 "near_edited": likeness(n, own, new),
                 "near_next": likeness(n, own, following),
             }

@@ -44,6 +44,16 @@ def test_results_equal_brute_force(spark):
         assert prints[new] == r["edited_fingerprint"]
 
 
+def test_likeness_follows_from_the_fingerprints(spark):
+    rng = random.Random(2)
+    stock = [f"sentence {i} of many. " for i in range(40)]
+    docs = spark.createDataFrame([(i, "".join(rng.choice(stock) for _ in range(rng.randint(0, 120)))) for i in range(40)], "doc_id long, text string")
+    rows = fingerprint.fingerprints(docs).orderBy("doc_id").collect()
+    for r, following in zip(rows, rows[1:] + rows[:1]):
+        assert abs(fingerprint.likeness_of(r["fingerprint"], r["edited_fingerprint"]) - r["near_edited"]) < 1e-9
+        assert abs(fingerprint.likeness_of(r["fingerprint"], following["fingerprint"]) - r["near_next"]) < 1e-9
+
+
 def test_odd_tables(spark):
     assert fingerprint.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = fingerprint.fingerprints(spark.createDataFrame([(3, "abcdefgh")], "doc_id long, text string")).collect()
