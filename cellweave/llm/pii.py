@@ -285,7 +285,10 @@ def attempts(own: DataFrame, key: bytes, most: int = 40) -> DataFrame:
 
 
 def pseudonymised(docs: DataFrame, key: str | bytes, text: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in its text column; with ``count``, one more column has the number of entities."""
+    """``docs`` with surrogates in its text column; with ``count``, one more column has the number of entities; a column that
+    is there already is an error."""
+    if count and count.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column named {count}")
     key = hashlib.blake2b(key.encode() if isinstance(key, str) else key, digest_size=32).digest()
     own = common.materialised(entities(docs.select(F.col(text).alias("text"))), "entities")
     later = attempts(own, key)
@@ -327,7 +330,7 @@ def pseudonymised(docs: DataFrame, key: str | bytes, text: str = "text", count:
 
 def joined_attempts(docs: DataFrame, text: str, later: DataFrame) -> DataFrame:
     """``docs`` and one more, last column: the attempts of its entities that collided."""
-    mark = "__text_hash"
+    mark, pairs = common.unused("text_hash", docs), common.unused("attempts", docs)
 
     def run(batches):
         for texts, marks in common.text_batches(batches, "text", mark):
@@ -338,12 +341,17 @@ def joined_attempts(docs: DataFrame, text: str, later: DataFrame) -> DataFrame:
 
     hashed = docs.withColumn(mark, F.sha1(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")))
     own = hashed.select(F.col(text).alias("text"), mark).mapInArrow(run, f"{mark} string, {ENTITY}").distinct()
-    each = own.join(later, ["kind", "entity"]).groupBy(mark).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("__attempts"))
-    return hashed.join(each, mark, "left").select(*docs.columns, "__attempts")
+    each = own.join(later, ["kind", "entity"]).groupBy(mark).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(pairs))
+    return hashed.join(each, mark, "left").select(*docs.columns, pairs)
+
+
+def key_of(spark: SparkSession) -> str:
+    """The deployment's secret: ``spark.cellweave.surrogates.key``; where it is unset, as in tests, a word that is no secret."""
+    return spark.conf.get("spark.cellweave.surrogates.key", "no secret")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    return pseudonymised(docs, key="a secret of the deployment", count="n_entities")
+    return pseudonymised(docs, key=key_of(spark), count="n_entities")
 
 
