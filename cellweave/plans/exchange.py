@@ -88,7 +88,7 @@ def conservation(spark, d):
     """A field's integral over an adaptation; averages keep it."""
     cells = tables.cells(spark, d).withColumn("q", F.col("mass").cast("double"))
     got = mesh.conserved(cells, mesh.adapt(cells, FIELDS | {"q": "arithmetic"}), "q")
-    return got.select(F.round("before", 3).alias("before"), F.round("after", 3).alias("after"), "holds")
+    return got.select(F.col("before").cast("long").alias("before"), F.round("after", 3).alias("after"), "holds")
 
 
 @query(with_cells(f"""select round(sum(curl * curl), 3) as enstrophy, count(*) as n from (select round(sum((dx - dy) * b.mass) / 2.0, 6) as curl from cells a, {FACE_SQL}
