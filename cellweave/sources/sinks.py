@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import struct
 import uuid
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -61,6 +63,28 @@ def write_vtp(cells: DataFrame, folder: str, step: int, fields: list[str] = ())
     return index
 
 
+def write_stl(triangles: DataFrame, folder: str) -> list[str]:
+    """Triangles (normal nx, ny, nz and corners ax to cz) as binary STL files below ``folder`` (a URI), one for each batch of
+    rows, so that no file grows with its task. Returns the files of tasks that ended."""
+    from cellweave.sources.meshes import CORNERS, RECORD
+
+    def run(batches):
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.zeros(batch.num_rows, RECORD)
+            rows["v"] = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            name = f"{TaskContext.get().partitionId():05d}_{uuid.uuid4().hex}.stl"
+            with system.open_output_stream(f"{path}/{name}") as out:
+                out.write(b"\0" * 80 + struct.pack("<I", len(rows)) + rows.tobytes())
+            yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    rows = triangles.select(*[F.col(c).cast("double").alias(c) for c in ("nx", "ny", "nz", *CORNERS)])
+    return sorted(f"{folder}/{r['file']}" for r in rows.mapInArrow(run, "file string").collect())  # one row a file
+
+
 def write_reference(table: DataFrame, path: str) -> None:
     """A table beside its count and checksum."""
     from cellweave.sources.meshes import checksum
@@ -75,6 +99,15 @@ def write_trace(events: DataFrame, path: str) -> None:
     events.select(F.to_json(row).alias("value")).write.text(path)
 
 
+def write_trace_arrays(events: DataFrame, path: str, most: int = 100_000) -> None:
+    """Trace events as files that are each one JSON array of at most ``most`` events, as trace viewers read them."""
+    place = F.monotonically_increasing_id()  # the partition's number, and a row's number in it in the low 33 bits
+    piece = F.concat_ws("-", F.shiftright("place", 33), F.floor(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) / most))
+    row = F.struct("name", "cat", "ph", "ts", F.when(F.col("ph") == "X", F.col("dur")).alias("dur"), "pid", "tid")
+    pieces = events.withColumn("place", place).groupBy(piece.alias("piece")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    pieces.write.partitionBy("piece").text(path)
+
+
 def append_metrics(history: DataFrame, new: DataFrame) -> DataFrame:
     """A metric history with new measurements; a (test, commit, metric) that is there already is replaced."""
     return series.upserted(history, new, ["test", "commit", "metric"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,6 +26,19 @@ def time_loop(cells: DataFrame, steps: int, kernels: list[Step], adapt_every: in
     return cells
 
 
+def repeated_while(cells: DataFrame, kernels: list[Step], condition: Column, most: int, checkpoint_every: int = 5) -> tuple[DataFrame, int]:
+    """Apply the kernels as long as the condition, an aggregate of all cells, holds; the cells, and how many steps it took. It is
+    an error if it still holds after ``most`` steps."""
+    for t in range(most + 1):
+        if not cells.agg(condition.alias("holds")).first()["holds"]:
+            return cells, t
+        for kernel in kernels:
+            cells = kernel(cells, t + 1)
+        if (t + 1) % checkpoint_every == 0:
+            cells = checkpointed(cells)
+    raise RuntimeError(f"the condition still holds after {most} steps")
+
+
 def flagged_by(cells: DataFrame, flags: DataFrame) -> DataFrame:
     """Cells with the last flag that each got; flags: x, y, z, level, flag, ts."""
     w = Window.partitionBy(*mesh.CELL).orderBy(F.desc("ts"), F.desc("flag"))
