@@ -41,6 +41,8 @@ LENGTH, SEED = 100, 32
 BLOCK, TEXT = 1 << 20, 1 << 19
 #: Fragments of an anchor that go into one index.
 MOST = 500
+#: Kinds of fragments that a task remembers, of the last blocks and of those that came again: 32 bytes each.
+FAMILIAR = 200_000
 U64 = np.uint64
 
 
@@ -122,13 +124,44 @@ def first_of_kind(anchor, content, order, start) -> np.ndarray:
     return own
 
 
+class Familiar:
+    """Kinds of fragments that a task has met: those of its last blocks, and those that came again in a later block, up to
+    ``FAMILIAR`` of each. It only saves rows: a very common line is sent once a task, not once a block."""
+
+    def __init__(self):
+        self.recent = self.common = np.zeros((4, 0), np.int64)
+
+    def known(self, anchor: np.ndarray, content: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which fragments, of different kinds, are equal to an earlier one (by order and start) that was met before."""
+        own = np.stack([anchor.view(np.int64), content.view(np.int64), order, start.astype(np.int64)])
+        again = np.zeros(len(start), bool)
+        met = np.zeros(len(start), bool)
+        for kinds in (self.common, self.recent):
+            if kinds.shape[1]:
+                at = np.minimum(np.searchsorted(kinds[1], own[1]), kinds.shape[1] - 1)
+                same = (kinds[1][at] == own[1]) & (kinds[0][at] == own[0])
+                met |= same
+                again |= same & ((kinds[2][at] < own[2]) | ((kinds[2][at] == own[2]) & (kinds[3][at] < own[3])))
+        self.common = self.merged(self.common, own[:, met])
+        self.recent = self.merged(self.recent, own[:, ~met])
+        return again
+
+    @staticmethod
+    def merged(kinds: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Both, the earliest of each content; the new ones alone where they are too many together."""
+        both = np.concatenate([kinds, new], axis=1) if kinds.shape[1] + new.shape[1] <= FAMILIAR else new[:, :FAMILIAR]
+        both = both[:, np.lexsort((both[3], both[2], both[1]))]
+        return both[:, np.append(True, both[1][1:] != both[1][:-1])] if both.shape[1] else both
+
+
 FRAGMENT = "own boolean, anchor long, content long, ord long, start int, windows int"
 
 
 def fragment_rows(docs: DataFrame) -> DataFrame:
-    """docs: (ord, text). Every fragment; ``own`` is false where an earlier one of the same block of documents is equal."""
+    """docs: (ord, text). Every fragment; ``own`` is false where an earlier one that the same task has met is equal."""
 
     def run(batches):
+        familiar = Familiar()
         for rows in blocks(batches, "ord", "text"):
             order = np.array([r[0] for r in rows], np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])])
@@ -138,6 +171,8 @@ def fragment_rows(docs: DataFrame) -> DataFrame:
             doc, start, windows, anchor, content, _ = fragments(data, offsets)
             o = order[doc]
             own = first_of_kind(anchor, content, o, start)
+            first = np.flatnonzero(own)
+            own[first[familiar.known(anchor[first], content[first], o[first], start[first])]] = False
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(o), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
                 names=["own", "anchor", "content", "ord", "start", "windows"],
@@ -149,7 +184,7 @@ def fragment_rows(docs: DataFrame) -> DataFrame:
 def sifted(rows: DataFrame) -> DataFrame:
     """Fragments that are repeats as a whole (open is false), and the first of each kind where its anchor has more kinds
     or comes again in it."""
-    # copies within a block need no partner any more: they go anywhere, so that no anchor has more rows than there are blocks
+    # copies within a task need no partner any more: they go anywhere, so that a common anchor has few rows of a task
     to = F.when(F.col("own"), F.col("anchor")).otherwise(F.xxhash64("ord", "start"))
     dealt = rows.repartition(common.even_partitions(rows), to).sortWithinPartitions("anchor", "content", "ord", "start")
 
@@ -429,7 +464,9 @@ def bucketed(docs: DataFrame) -> DataFrame:
     name = f"texts_{uuid.uuid4().hex}"
     n = common.even_partitions(docs)
     docs.select("ord", "text").write.bucketBy(n, "ord").option("path", common.fresh_folder(docs.sparkSession, name)).option("compression", "zstd").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    table = docs.sparkSession.table(name)
+    docs.sparkSession.sql(f"drop table {name}")  # the name only: the files stay, and the plan has them
+    return table
 
 
 def sliced(texts: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -95,3 +95,20 @@ def test_batches_of_any_size(spark):
         assert result(spark, rows) == sorted(brute(rows), key=str)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("most", [5, 40, 1000])
+def test_familiar_kinds_have_an_earlier_row(monkeypatch, most):
+    """What a task calls known was met before at a smaller place; a kind in every block is sent once if it is remembered."""
+    monkeypatch.setattr(run_index, "FAMILIAR", most)
+    rng, familiar, least, sent = np.random.default_rng(most), run_index.Familiar(), {}, 0
+    for block in range(30):
+        kinds = np.append(rng.choice(500, 20, replace=False), 500)
+        order = np.where(kinds == 500, block, rng.integers(0, 100, 21))
+        start = rng.integers(0, 50, 21).astype(np.int32)
+        again = familiar.known(kinds.astype(np.uint64) // np.uint64(7), kinds.astype(np.uint64) * np.uint64(2**55 + 1), order, start)
+        for k, o, s, g in zip(kinds.tolist(), order.tolist(), start.tolist(), again.tolist()):
+            assert not g or least[k] < (o, s)
+            least[k] = min(least.get(k, (o, s)), (o, s))
+        sent += not again[-1]
+    assert sent == 1 or most < 20
