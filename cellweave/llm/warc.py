@@ -90,21 +90,23 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, level: int =
         system.create_dir(folder, recursive=True)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         stream, at = None, 0
-        for rows in common.text_batches(batches, "page_id", "url", "html", "refers_to", "revisit"):
-            index = []
-            for page_id, url, html, refers_to, revisit in zip(*rows, strict=True):
-                stream = stream or system.open_output_stream(f"{folder}/{name}", compression=None)
-                payload = html.encode()
-                digest = base32_sha1(payload)
-                packer = zlib.compressobj(level, wbits=31)
-                raw = packer.compress(record(page_id, url, payload, digest, refers_to, revisit)) + packer.flush()
-                stream.write(raw)
-                index.append((page_id, url, name, at, len(raw), len(payload), digest, "revisit" if revisit else "response", refers_to if revisit else None))
-                at += len(raw)
-            if index:
-                yield common.out_batch(schema, list(zip(*index, strict=True)))
-        if stream:
-            stream.close()
+        try:
+            for rows in common.text_batches(batches, "page_id", "url", "html", "refers_to", "revisit"):
+                index = []
+                for page_id, url, html, refers_to, revisit in zip(*rows, strict=True):
+                    stream = stream or system.open_output_stream(f"{folder}/{name}", compression=None)
+                    payload = html.encode()
+                    digest = base32_sha1(payload)
+                    packer = zlib.compressobj(level, wbits=31)
+                    raw = packer.compress(record(page_id, url, payload, digest, refers_to, revisit)) + packer.flush()
+                    stream.write(raw)
+                    index.append((page_id, url, name, at, len(raw), len(payload), digest, "revisit" if revisit else "response", refers_to if revisit else None))
+                    at += len(raw)
+                if index:
+                    yield common.out_batch(schema, list(zip(*index, strict=True)))
+        finally:
+            if stream:
+                stream.close()
 
     return common.materialised(deduplicated(pages, min_bytes).mapInArrow(write, INDEX), "warc-index")
 
@@ -119,9 +121,11 @@ def ranges(spans: list[tuple[int, int]], gap: int = GAP, most: int = MOST):
             first = i
 
 
-def read_records(selected: DataFrame, out: str) -> DataFrame:
-    """The records of the selected index rows, read from the archives and checked against their digests."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("html", pa.string())])
+def read_records(selected: DataFrame, out: str, payloads: bool = True) -> DataFrame:
+    """The records of the selected index rows, read from the archives and checked against their digests; without ``payloads``
+    the html is checked, but not returned."""
+    columns = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    schema = pa.schema([*columns, ("html", pa.string())] if payloads else columns)
 
     def page_of(field: str | None):
         number = (field or "").removeprefix("<urn:page:").removesuffix(">")
@@ -151,17 +155,18 @@ def read_records(selected: DataFrame, out: str) -> DataFrame:
                         if not revisit and base32_sha1(payload) != digest:
                             raise ValueError(f"{name} at {offset}: the payload does not have its digest")
                         size = int(fields["X-Payload-Length"]) if revisit else len(payload)
-                        rows.append((page_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"] or None, size, digest, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To")), None if revisit else payload.decode()))
+                        rows.append((page_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"] or None, size, digest, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To")), *([None if revisit else payload.decode()] if payloads else [])))
                     yield common.out_batch(schema, list(zip(*rows, strict=True)))
                 at = upto
         if source:
             source.close()
 
     dealt = selected.select("file", "offset", "length").repartition(common.even_partitions(selected), "file").sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    shape = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return dealt.mapInArrow(read, f"{shape}, html string" if payloads else shape)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.fresh_folder(spark, "warc")
     index = write_archives(common.table(spark, sf_dir, "pages"), out)
-    return read_records(index, out).drop("html", "url")
+    return read_records(index, out, payloads=False).drop("url")
