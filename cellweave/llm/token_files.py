@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import array
 import functools
+import json
 import re
 import uuid
 import zlib
@@ -49,8 +50,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def by_words(file: dict) -> bool:
+    """Whether a tokenizer's file has no normaliser, the plain byte-level split, and merges that forget nothing."""
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return bool(plain and merges and not file.get("normalizer") and not file.get("truncation") and not file.get("padding"))
+
+
 class Encoder:
-    """Whole texts to id bytes with the tokenizers library; each distinct word goes through its merges once."""
+    """Whole texts to id bytes with the tokenizers library. Where the file asks for nothing but the byte-level split and merges,
+    each distinct word goes through its merges once; texts of other files, or with characters or special tokens that the
+    split does not know, are encoded by the library as a whole."""
 
     def __init__(self, path: str, width: str):
         from tokenizers import Tokenizer
@@ -59,6 +70,7 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = [str(t.content) for t in added.values()]
+        self.by_words = by_words(json.loads(self.tokenizer.to_str()))
 
     def word(self, word: str) -> bytes:
         mapped = word.encode().decode("latin-1").translate(self.letters)
@@ -68,7 +80,7 @@ class Encoder:
         return array.array(self.width, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if UNKNOWN.search(text) or any(s in text for s in self.special):
+        if not self.by_words or UNKNOWN.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         words = SPLIT.findall(text)
         try:

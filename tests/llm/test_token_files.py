@@ -30,3 +30,11 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     out = common.fresh_folder(spark, "t")
     assert token_files.read_token_files(token_files.write_token_files(docs, out), out).count() == 0
+
+
+def test_files_with_other_settings_are_encoded_by_the_library():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = token_files.Encoder(common.vocabulary_path(name), "I")
+        assert enc.by_words == (name == "byte_bpe_50k.json")
+        for text in ("Hello World  again's 12", "", "Ünï\n x"):
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
