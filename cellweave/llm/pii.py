@@ -6,8 +6,11 @@ mixed radices), so different entities get different surrogates and equal ones eq
 * e-mail addresses keep their shape, top-level domain and reserved example domains;
 * phone numbers keep country code, punctuation, a fictional 555 exchange and leading digits' validity;
 * IPv4 addresses stay in their range (private, loopback, link-local, multicast or public);
+* IPv6 addresses keep their first group, hardware addresses their first byte, and both their notation;
 * card numbers keep their issuer's digit and whether their Luhn check holds; IBANs keep country and valid check digits;
-* social security numbers and secrets (access keys, tokens, passwords) keep length and character classes;
+* social security numbers keep their format and whether they are valid;
+* secrets (access keys, tokens with a known prefix, passwords, private keys in text armour) keep prefix, length and
+  character classes;
 * persons after a form of address get names of the same gender and script; surnames and given names are replaced one by
   one, so that "Mrs Ann Lee" and "Mrs Lee" stay the same person, and later mentions in the same text without a form of
   address are replaced too. A given name after "Dr" has the gender that another form of address in the text gives it.
@@ -54,20 +57,30 @@ SYLLABLES = {
     "latin": [c + v for c in "bdfgklmnprstvz" for v in "aeiou"],
     "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"],
 }
+#: What tokens of well-known services begin with; the last one begins signed tokens.
+PREFIXES = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk_live_", "sk_test_", "sk-", "AIza", "npm_", "hf_", "eyJ"]
 TITLES = {t: g for g, ts in ADDRESS.items() for t in ts}
 NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:['-][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 #: Kind: (what a text must hold to be searched, pattern; the group "x", if there is one, is what gets replaced).
 KINDS: dict[str, tuple[str, str]] = {
+    "privatekey": ("PRIVATE KEY", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?P<x>[A-Za-z0-9+/=\s]{16,})-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
+    "token": ("", rf"(?<![A-Za-z0-9_-])(?:{'|'.join(map(re.escape, PREFIXES))})(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{{16,}}(?:\.[A-Za-z0-9_-]{{8,}}){{0,2}}"),
     "email": ("@", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"),
     "secret": ("", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\b[ \t]*[=:][ \t]*[\"']?(?P<x>[A-Za-z0-9_+/.-]{6,})"),
     "iban": ("", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "ip": (".", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
+    "ipv6": (":", r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,4})(?![0-9A-Za-z:])"),
+    "mac": ("", r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}(?P<sep>[:-])(?:[0-9A-Fa-f]{2}(?P=sep)){4}[0-9A-Fa-f]{2}(?![0-9A-Za-z:-])"),
     "ssn": ("-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "phone": ("", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9-])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"),
     "card": ("", r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"),
 }
 PATTERNS = {k: (needs, re.compile(p)) for k, (needs, p) in KINDS.items()}
 DIGITS = re.compile("[0-9]{2}")
+#: Digits that an IPv6 address has after its first group; shorter ones have too few surrogates.
+LEAST = 5
+#: What hardware and IPv6 addresses have somewhere.
+HEX = re.compile("[0-9A-Fa-f][:-][0-9A-Fa-f]{1,4}[:-][0-9A-Fa-f]{0,4}[:-]|[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}::")
 #: One of these is in every text that has a form of address: those that hold no other one, and "M" with what must follow.
 ADDRESSED = [t for t in TITLES if t != "M" and not any(o in t for o in TITLES if o not in ("M", t))] + ["M ", "M. "]
 PERSON = re.compile(rf"\b(?P<t>{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\b\.?[ ]+(?P<x>{NAME}(?: {NAME}){{0,2}})")
@@ -130,6 +143,11 @@ def ip_range(n: int) -> int:
     return 1 if a == 10 else 2 if a == 127 else 3 if a == 172 and 16 <= b < 32 else 4 if (a, b) == (192, 168) else 5 if (a, b) == (169, 254) else 6 if a == 0 else 7 if a >= 224 else 0
 
 
+def valid_ssn(number: str) -> bool:
+    area, group, serial = number.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
 def script_of(text: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "latin"
 
@@ -173,8 +191,20 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         prefix = entity[:4] if entity[:4] in ("AKIA", "ASIA") else ""
         rest = entity[len(prefix) :]
         return prefix + by_class(rest, key, tweak, hexadecimal=bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", rest)))
-    if kind == "ssn":
+    if kind == "privatekey":
         return by_class(entity, key, tweak)
+    if kind == "token":
+        prefix = next(p for p in PREFIXES if entity.startswith(p))
+        return prefix + by_class(entity[len(prefix) :], key, tweak)
+    if kind in ("ipv6", "mac"):
+        first = re.split("[:-]", entity)[0]
+        return first + by_class(entity[len(first) :], key, tweak, hexadecimal=True)
+    if kind == "ssn":
+        n = entity
+        while True:  # the permutation is applied until it comes back to numbers of the same kind
+            n = by_class(n, key, tweak)
+            if valid_ssn(n) == valid_ssn(entity):
+                return n
     _, gender, script = kind.split("_")  # name_<gender or s>_<script>
     pool = SURNAMES[script] if gender == "s" else GIVEN[gender, script]
     name = pool[prf(key, tweak, entity, 0) % len(pool)]
@@ -194,9 +224,11 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
     spans = []
     digits = DIGITS.search(text) is not None
     for rank, (kind, (needs, pattern)) in enumerate(PATTERNS.items()):
-        if needs not in text or (kind in ("iban", "ip", "ssn", "phone", "card") and not digits) or (kind == "secret" and not ("=" in text or ":" in text or "AKIA" in text or "ASIA" in text)):
+        if needs not in text or (kind in ("iban", "ip", "ssn", "phone", "card") and not digits) or (kind in ("mac", "ipv6") and not HEX.search(text)) or (kind == "token" and not any(map(text.__contains__, PREFIXES))) or (kind == "secret" and not ("=" in text or ":" in text or "AKIA" in text or "ASIA" in text)):
             continue
         for m in pattern.finditer(text):
+            if kind == "ipv6" and len(re.sub("^[^:]*|:", "", m[0])) < LEAST:
+                continue
             a, b = m.span("x") if "x" in pattern.groupindex and m["x"] is not None else m.span()
             spans.append((a, rank, b, kind, text[a:b]))
     persons = list(PERSON.finditer(text)) if any(map(text.__contains__, ADDRESSED)) else []
