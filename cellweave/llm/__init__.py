@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cellweave.llm import decontaminate, fingerprint, html_wrapper, pii, quality, rule_ledger, run_index, sentencepiece_scan, simhash, token_files, warc
+from cellweave.llm import decontaminate, fingerprint, html_wrapper, pii, quality, rule_ledger, run_index, sentencepiece_scan, simhash, token_files, vector_codes, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable]:
         "op8_fingerprints": fingerprint.op8_fingerprints,
         "op9_pii": pii.op9_pii,
         "op10_token_files": token_files.op10_token_files,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_rule_ledger": rule_ledger.op12_rule_ledger,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.oracle_sql(), "op12_rule_ledger": rule_ledger.oracle_sql()}
+    return {"op4_decontamination": decontaminate.oracle_sql(), "op11_vector_codes": vector_codes.oracle_sql(), "op12_rule_ledger": rule_ledger.oracle_sql()}
