@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cellweave.llm import decontaminate, fingerprint, html_wrapper, pii, quality, rule_ledger, run_index, sentencepiece_scan, simhash, token_files, vector_codes, warc
+from cellweave.llm import decontaminate, fingerprint, html_wrapper, pii, quality, rule_ledger, run_index, sentencepiece_scan, simhash, token_alignment, token_files, vector_codes, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op10_token_files": token_files.op10_token_files,
         "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_rule_ledger": rule_ledger.op12_rule_ledger,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
     }
 
 
