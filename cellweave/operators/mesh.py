@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import curves
+from cellweave.operators.locate import CELL, FOUND, located
 from cellweave.operators.session import checkpointed, unused
 
-CELL = ["x", "y", "z", "level"]
 #: How eight children's field values become their parent's.
 RULES = {
     "arithmetic": lambda c: F.avg(c),
@@ -66,16 +66,26 @@ def merge(cells: DataFrame, fields: dict[str, str], least: int = 1) -> DataFrame
 
 
 def adapt(cells: DataFrame, fields: dict[str, str], most: int = curves.FINEST, least: int = 1, balanced: bool = False) -> DataFrame:
-    """The mesh after one cycle: cells that neither split nor merge, children, and parents; flags are 0. With ``balanced``,
-    flags are first raised until no cell would have a neighbour that is finer by two levels.
+    """The mesh after one cycle: cells that neither split nor merge, children, and parents; flags are 0.
+
+    With ``balanced``, flags are first changed until the mesh after the cycle has no face neighbours two levels apart (see
+    ``decided``). A mesh that was out of balance before is split further, cycle after cycle, as far as its cells can split.
 
     Survivors need no anti-join: whether a cell's group is complete is one count over its parent, which merging needs
     anyway; the count is joined back on the parent, so each cell moves once.
     """
     if balanced:
-        cells, settled = balance(cells, most)
-        if not settled:
-            raise RuntimeError("the mesh did not come into balance")
+        for _ in range(most + 1):
+            cells, left = decided(cells, most, least)
+            out = cycle(cells, fields, most, least)
+            if not left or not cells.where(splits(most)).limit(1).count():
+                return out
+            cells = checkpointed(out)
+        return cells
+    return cycle(cells, fields, most, least)
+
+
+def cycle(cells: DataFrame, fields: dict[str, str], most: int, least: int) -> DataFrame:
     asks, up, n = asks_to_merge(least), parents_of(cells), unused("n_siblings", cells)
     parents = [curves.parent(c).alias(up[c]) for c in "xyz"]
     whole = cells.where(asks).groupBy("level", *parents).agg(F.count("*").alias(n)).where(F.col(n) == 8)
@@ -116,71 +126,54 @@ def face_neighbours(cells: DataFrame) -> DataFrame:
     return probes.join(there, ["nx", "ny", "nz", "level"])
 
 
-def probed(cells: DataFrame, levels: list[int]) -> DataFrame:
-    """For each cell and face, the cells that hold the probe point beyond the face: x, y, z, level, face, nx, ny, nz, n_level.
-
-    The probe is the anchor, moved by one finest unit below or by the cell's size above. levels: those the mesh has.
-    """
+def probes(cells: DataFrame, *more: str) -> DataFrame:
+    """Each cell (and its further columns) with a point beyond each face: the anchor, moved by one finest unit below or by the
+    cell's size above. x, y, z, level, face, px, py, pz."""
     size = F.call_function("shiftleft", F.lit(1), F.lit(curves.FINEST) - F.col("level"))
     at = {c: curves.anchor(c) for c in "xyz"}
-    probes = F.array(*[F.struct(F.lit(i).alias("face"), *[(at[c] + (F.lit(-1) if side < 0 else size) if a == axis else at[c]).alias(c) for a, c in enumerate("xyz")]) for i, (axis, side) in enumerate(FACES)])
-    each = cells.select(*CELL, F.explode(probes).alias("p"))
-    by_level = F.array(*[F.struct(F.lit(n).alias("n"), *[F.shiftright(F.col(f"p.{c}"), curves.FINEST - n).alias(c) for c in "xyz"]) for n in levels])
-    seen = each.select(*CELL, F.col("p.face").alias("face"), F.explode(by_level).alias("q"))
-    seen = seen.select(*CELL, "face", F.col("q.n").alias("n_level"), *[F.col(f"q.{c}").alias(f"n{c}") for c in "xyz"])
-    there = cells.select(*[F.col(c).alias(f"n{c}") for c in "xyz"], F.col("level").alias("n_level"))
-    return seen.join(there, ["nx", "ny", "nz", "n_level"])
+    each = F.array(*[F.struct(F.lit(i).alias("face"), *[(at[c] + (F.lit(-1) if side < 0 else size) if a == axis else at[c]).alias(f"p{c}") for a, c in enumerate("xyz")]) for i, (axis, side) in enumerate(FACES)])
+    return cells.select(*CELL, *more, F.explode(each).alias("p")).select(*CELL, *more, "p.*")
 
 
-def mixed_neighbours(cells: DataFrame, levels: list[int]) -> DataFrame:
-    """For each cell and face, the level of the coarsest cell that holds the probe point beyond it."""
-    return probed(cells, levels).groupBy(*CELL, "face").agg(F.min("n_level").alias("n_level"))
+def probed(cells: DataFrame, *more: str) -> DataFrame:
+    """For each cell and face, the cell that holds the point beyond it: x, y, z, level, face, nx, ny, nz, n_level, and each
+    further column of both (the neighbour's with ``n_`` before). Six rows a cell move, whatever the number of levels."""
+    own = cells.select(*CELL, *more)
+    return located(own, probes(own, *more), more).where("n_level is not null").drop("px", "py", "pz")
 
 
-def levels_of(cells: DataFrame) -> list[int]:
-    """The levels that a mesh has; at most one row each reaches the driver."""
-    return sorted(r["level"] for r in cells.select("level").distinct().collect())
+def mixed_neighbours(cells: DataFrame) -> DataFrame:
+    """For each cell and face, the level of the cell that holds the point beyond it."""
+    return probed(checkpointed(cells.select(*CELL))).select(*CELL, "face", "n_level")
 
 
-def unbalanced(cells: DataFrame, levels: list[int]) -> DataFrame:
-    """Fluid cells with a face neighbour that is (or will be, by its flag) finer by two levels or more."""
-    will = F.col("level") + (F.col("flag") > 0).cast("int")
-    shadow = cells.select(*CELL, will.alias("will"))
-    # seen from the finer cell: the cell beyond each of its faces is the one that may have to be split
-    beyond = mixed_neighbours_with(cells, shadow, levels)
-    return beyond.where("will_finer >= will + 2").select(*[F.col(f"n{c}").alias(c) for c in "xyz"], F.col("n_level").alias("level")).distinct()
+def with_will(cells: DataFrame) -> DataFrame:
+    """The level that each cell will have when its flag is followed."""
+    return cells.select(*CELL, (F.col("level") + (F.col("flag") > 0).cast("int")).alias("will"))
 
 
-def mixed_neighbours_with(cells: DataFrame, shadow: DataFrame, levels: list[int]) -> DataFrame:
-    size = F.call_function("shiftleft", F.lit(1), F.lit(curves.FINEST) - F.col("level"))
-    at = {c: curves.anchor(c) for c in "xyz"}
-    probes = F.array(*[F.struct(*[(at[c] + (F.lit(-1) if side < 0 else size) if a == axis else at[c]).alias(c) for a, c in enumerate("xyz")]) for axis, side in FACES])
-    each = shadow.select("level", F.col("will").alias("will_finer"), F.explode(probes).alias("p"))
-    coarser = F.array(*[F.struct(F.lit(n).alias("n"), *[F.shiftright(F.col(f"p.{c}"), curves.FINEST - n).alias(c) for c in "xyz"]) for n in levels])
-    seen = each.select("level", "will_finer", F.explode(coarser).alias("q")).where("q.n <= level")
-    seen = seen.select("will_finer", F.col("q.n").alias("n_level"), *[F.col(f"q.{c}").alias(f"n{c}") for c in "xyz"]).groupBy("n_level", "nx", "ny", "nz").agg(F.max("will_finer").alias("will_finer"))
-    there = shadow.select(*[F.col(c).alias(f"n{c}") for c in "xyz"], F.col("level").alias("n_level"), "will")
-    return seen.join(there, ["nx", "ny", "nz", "n_level"])
+def unbalanced(cells: DataFrame) -> DataFrame:
+    """Cells with a face neighbour that is (or will be, by its flag) finer by two levels or more. Seen from the finer cell: the
+    cell beyond each of its faces is the one that may have to be split."""
+    found = probed(with_will(cells), "will").where("n_level < level and will >= n_will + 2")
+    return found.select(*[F.col(n).alias(c) for c, n in zip(CELL, FOUND, strict=True)]).distinct()
 
 
-def unbalanced_by_probes(cells: DataFrame, levels: list[int]) -> DataFrame:
+def unbalanced_by_probes(cells: DataFrame) -> DataFrame:
     """The same by one probe point a face, seen from the coarser cell: the point beyond its lowest corner. Finer cells that do
     not touch that corner are not seen."""
-    will = F.col("level") + (F.col("flag") > 0).cast("int")
-    found = probed(cells, levels)
-    own = cells.select(*CELL, will.alias("will"))
-    there = cells.select(*[F.col(c).alias(f"n{c}") for c in "xyz"], F.col("level").alias("n_level"), will.alias("n_will"))
-    return found.join(there, ["nx", "ny", "nz", "n_level"]).join(own, CELL).where("n_will >= will + 2").select(*CELL).distinct()
+    return probed(with_will(cells), "will").where("n_will >= will + 2").select(*CELL).distinct()
 
 
 #: Ways to find cells that break the 2:1 rule: all faces of all finer cells, or one probe a face.
 MODES = {"strict": unbalanced, "probe": unbalanced_by_probes}
 
 
-def balance_round(cells: DataFrame, levels: list[int], most: int = curves.FINEST, mode: str = "strict") -> DataFrame:
-    """Cells with flags raised to 1 where a neighbour would be finer by two levels: one round of the 2:1 rule."""
+def balance_round(cells: DataFrame, most: int = curves.FINEST, mode: str = "strict") -> DataFrame:
+    """Cells with flags raised to 1 where a neighbour would be finer by two levels: one round of the 2:1 rule. ``cells`` is
+    read several times: give a stored table."""
     mark = unused("unbalanced", cells)
-    bad = MODES[mode](cells, levels).withColumn(mark, F.lit(True))
+    bad = MODES[mode](cells).withColumn(mark, F.lit(True))
     can = F.coalesce(mark, F.lit(False)) & (F.col("state") == 0) & (F.col("level") < most) & (F.col("flag") <= 0)
     return cells.join(bad, CELL, "left").withColumn("flag", F.when(can, F.lit(1)).otherwise(F.col("flag"))).select(*cells.columns)
 
@@ -188,11 +181,10 @@ def balance_round(cells: DataFrame, levels: list[int], most: int = curves.FINEST
 def balance(cells: DataFrame, most: int = curves.FINEST, rounds: int = 10, mode: str = "strict") -> tuple[DataFrame, bool]:
     """Rounds until no flag changes; and whether that was reached. Each round's mesh is a checkpoint. Flags spread to coarser
     cells only, so ten rounds are enough for nine levels."""
-    levels = levels_of(cells)
     now = checkpointed(cells)
     flagged = now.where("flag > 0").count()
     for _ in range(rounds):
-        now = checkpointed(balance_round(now, levels, most, mode))
+        now = checkpointed(balance_round(now, most, mode))
         new = now.where("flag > 0").count()
         if new == flagged:
             return now, True
@@ -200,6 +192,80 @@ def balance(cells: DataFrame, most: int = curves.FINEST, rounds: int = 10, mode:
     return now, False
 
 
+# --- what a balanced cycle does ---
+
+BESIDE = FOUND
+PARENT = ["gx", "gy", "gz"]
+
+
+def as_own(pairs: DataFrame, *more: str) -> DataFrame:
+    """The neighbours of pairs, as cells."""
+    return pairs.select(*[F.col(n).alias(c) for c, n in zip(CELL, BESIDE, strict=True)], *more)
+
+
+def held_back(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cells that must not split: those that cannot, and those beside a coarser one that must not, or is coarser by two."""
+    held = state.where("not can").select(*CELL)
+    steep = pairs.where("level > n_level + 1").select(*CELL)
+    new = checkpointed(held.unionByName(steep).distinct())
+    every = new
+    coarser = pairs.where("level > n_level").select(*CELL, *BESIDE)
+    while True:
+        beside = coarser.join(new.toDF(*BESIDE), BESIDE).select(*CELL).distinct()
+        new = checkpointed(beside.join(every, CELL, "left_anti"))
+        if not new.limit(1).count():
+            return every
+        every = checkpointed(every.unionByName(new))
+
+
+def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1) -> tuple[DataFrame, int]:
+    """Cells with the flags that keep the mesh balanced when they are followed: 1 for every cell that splits, -1 for the eight of
+    every group that merges, else 0; and how many neighbours would still be two levels apart (none, if the mesh was balanced
+    before).
+
+    Two kinds of decisions are changed, each for good, so that rounds end: a cell is raised to split, and a group of siblings,
+    as a unit, gives up merging. The coarser of two neighbours gives way: its group is vetoed if it was to merge, else it is
+    split. Beforehand, splits beside cells that can never follow (solid ones) are given up. Each round after the first looks
+    at the neighbours of what the round before changed, and at no others.
+    """
+    base = checkpointed(cells)
+    asks = asks_to_merge(least)
+    group = [curves.parent(c).alias(g) for c, g in zip("xyz", PARENT, strict=True)]
+    whole = base.where(asks).groupBy("level", *group).agg(F.count("*").alias("siblings")).where("siblings = 8")
+    state = base.select(*CELL, *group, asks.alias("asks"), splits(most).alias("splits"), ((F.col("state") == 0) & (F.col("level") < most)).alias("can"))
+    state = state.join(whole, ["level", *PARENT], "left").withColumn("merging", F.col("asks") & F.col("siblings").isNotNull())
+    state = checkpointed(state.select(*CELL, *PARENT, "can", "splits", "merging"))
+    pairs = checkpointed(probed(state).where("n_level <= level").select(*CELL, *BESIDE).distinct())
+    held = held_back(state, pairs).withColumn("held", F.lit(True))
+    will = F.when(F.col("splits") & F.col("held").isNull(), F.col("level") + 1).when(F.col("merging"), F.col("level") - 1).otherwise(F.col("level"))
+    state = checkpointed(state.join(held, CELL, "left").select(*CELL, *PARENT, (F.col("can") & F.col("held").isNull()).alias("can"), "merging", will.alias("will"), F.lit(True).alias("changed")))
+
+    for first in (True, *[False] * (4 * (most + 2))):
+        ask = pairs
+        if not first:
+            moved = state.where("changed").select(*CELL)
+            ask = pairs.join(moved, CELL, "left_semi").unionByName(pairs.join(moved.toDF(*BESIDE), BESIDE, "left_semi").select(*CELL, *BESIDE)).distinct()
+        levels = state.select(*CELL, "will")
+        both = ask.join(levels, CELL).join(levels.toDF(*BESIDE, "n_will"), BESIDE)
+        low = both.where("n_will >= will + 2").select(*CELL).unionByName(as_own(both.where("will >= n_will + 2"))).distinct()
+        low = checkpointed(low.join(state, CELL))
+        veto = low.where("merging").select("level", *PARENT).distinct().withColumn("veto", F.lit(True))
+        raised = low.where("not merging and can and will = level").select(*CELL).withColumn("raised", F.lit(True))
+        veto_, raised_ = F.coalesce("veto", F.lit(False)) & F.col("merging"), F.coalesce("raised", F.lit(False))
+        now = state.join(raised, CELL, "left").join(veto, ["level", *PARENT], "left")
+        now = now.select(*CELL, *PARENT, "can", (F.col("merging") & ~veto_).alias("merging"), F.when(veto_, F.col("level")).when(raised_, F.col("level") + 1).otherwise(F.col("will")).alias("will"), (veto_ | raised_).alias("changed"))
+        state = checkpointed(now)
+        if not state.where("changed").limit(1).count():
+            break
+    else:
+        raise RuntimeError("the mesh did not come into balance")
+    levels = state.select(*CELL, "will")
+    left = pairs.join(levels, CELL).join(levels.toDF(*BESIDE, "n_will"), BESIDE).where("abs(will - n_will) > 1").count()
+    flag = F.when(F.col("will_") > F.col("level"), 1).when(F.col("merging_"), -1).otherwise(0).cast(dict(base.dtypes)["flag"])
+    told = state.select(*CELL, F.col("will").alias("will_"), F.col("merging").alias("merging_"))
+    return base.join(told, CELL).withColumn("flag", flag).select(*base.columns), left
+
+
 def trilinear(cells: DataFrame, value: str) -> DataFrame:
     """Of each parent octet that has a cell: the sum of an eighth of each corner's value; missing corners count nothing."""
     fine = cells.select(*[curves.parent(c).alias(f"p{c}") for c in "xyz"], "level").distinct()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.curves import col
 from cellweave.operators import mesh, series
+from cellweave.operators.partition_bounds import place_in
 from cellweave.operators.session import unused
 
 
@@ -19,18 +19,6 @@ from cellweave.operators.session import unused
 FEW = 10_000
 
 
-def place_in(key: Column | str, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most the key: looked up in groups of bounds, then in one group."""
-    if not bounds:
-        return F.lit(0)
-    size = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[i : i + size] for i in range(0, len(bounds), size)]
-    constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)
-    upto = F.size(F.filter(constant([g[0] for g in groups], "array<bigint>"), lambda b: b <= col(key)))
-    inside = F.size(F.filter(F.get(constant(groups, "array<array<bigint>>"), upto - 1), lambda b: b <= col(key)))
-    return F.when(upto == 0, F.lit(0)).otherwise((upto - 1) * size + inside)
-
-
 def owner_of_splits(key: Column | str, splits: list[int]) -> Column:
     """The first range whose upper split lies above the key; the last one beyond all splits. Splits are few: one a rank."""
     return place_in(key, sorted(splits))

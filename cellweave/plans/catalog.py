@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import curves, schema
-from cellweave.operators import geometry, mesh, partition, series
+from cellweave.operators import geometry, locate, mesh, partition, series
+from cellweave.operators.session import checkpointed
 from cellweave.plans import tables
 from cellweave.plans.tables import CELLS, GRID, LEVEL, SHAPES
 from cellweave.sources import sinks
@@ -186,7 +187,7 @@ def curve_rank(spark, d):
 @query(with_cells("select x, y, z, flag from cells"))
 def balance_round_uniform(spark, d):
     """On a mesh of one level no flag is raised: a neighbour gets finer by one level at most."""
-    return mesh.balance_round(tables.cells(spark, d), [LEVEL]).select("x", "y", "z", "flag")
+    return mesh.balance_round(checkpointed(tables.cells(spark, d))).select("x", "y", "z", "flag")
 
 
 #: The adapted mesh, its level-6 cells flagged again where their mass is large.
@@ -208,21 +209,20 @@ def flagged(spark, d):
   bad as (select distinct c.x, c.y, c.z, c.level from seen p join flagged c using (level, x, y, z) where p.will >= c.level + cast(c.flag > 0 as integer) + 2)
   select f.x, f.y, f.z, f.level, case when b.x is not null and state = 0 and flag <= 0 and f.level < 8 then 1 else flag end as flag from flagged f left join bad b using (x, y, z, level)""")
 def balance_flags(spark, d):
-    cells = flagged(spark, d)
-    return mesh.balance_round(cells, [4, 5, 6]).select("x", "y", "z", "level", "flag")
+    return mesh.balance_round(checkpointed(flagged(spark, d))).select("x", "y", "z", "level", "flag")
 
 
 def round_sql(src: str, dst: str) -> str:
     """One round of the 2:1 rule: every finer cell's faces, and the cells beyond them."""
     beyond = ", ".join(f"case d{c} when -1 then ({c} << (8 - level)) - 1 when 1 then ({c} + 1) << (8 - level) else {c} << (8 - level) end as p{c}" for c in "xyz")
-    return f"""{dst}_p as (select level, level + cast(flag > 0 as integer) as will, {beyond} from {src}, {FACE_SQL}),
-  {dst}_s as (select will, l.level, px >> (8 - l.level) as x, py >> (8 - l.level) as y, pz >> (8 - l.level) as z from {dst}_p p, (values (4), (5), (6)) l(level) where l.level <= p.level),
-  {dst}_b as (select distinct c.x, c.y, c.z, c.level from {dst}_s p join {src} c using (level, x, y, z) where p.will >= c.level + cast(c.flag > 0 as integer) + 2),
-  {dst} as (select f.* replace (case when b.x is not null and f.state = 0 and f.flag <= 0 and f.level < 8 then 1 else f.flag end as flag) from {src} f left join {dst}_b b using (x, y, z, level))"""
+    return f"""{dst}_p as materialized (select level, level + cast(flag > 0 as integer) as will, {beyond} from {src}, {FACE_SQL}),
+  {dst}_s as materialized (select distinct will, l.level, px >> (8 - l.level) as x, py >> (8 - l.level) as y, pz >> (8 - l.level) as z from {dst}_p p, (values (4), (5), (6)) l(level) where l.level <= p.level),
+  {dst}_b as materialized (select distinct c.x, c.y, c.z, c.level from {dst}_s p join {src} c using (level, x, y, z) where p.will >= c.level + cast(c.flag > 0 as integer) + 2),
+  {dst} as materialized (select f.* replace (case when b.x is not null and f.state = 0 and f.flag <= 0 and f.level < 8 then 1 else f.flag end as flag) from {src} f left join {dst}_b b using (x, y, z, level))"""
 
 
 #: Flags spread to coarser levels only; the mesh has three.
-BALANCED = f"""flagged0 as (select x, y, z, level, state, case when level = 6 and mass >= 90 then 1 else 0 end as flag, mass, n from adapted),
+BALANCED = f"""flagged0 as materialized (select x, y, z, level, state, case when level = 6 and mass >= 90 then 1 else 0 end as flag, mass, n from adapted),
   {round_sql("flagged0", "r1")}, {round_sql("r1", "r2")}, {round_sql("r2", "balanced")}"""
 
 
@@ -238,7 +238,53 @@ def balance_fixpoint(spark, d):
 @query(f"""with {CELLS}, {ADAPTED}, {BALANCED} select x, y, z, level, state, 0 as flag, mass, n from balanced where not (flag > 0 and state = 0 and level < 8)
   union all select 2 * x + (c & 1), 2 * y + ((c >> 1) & 1), 2 * z + ((c >> 2) & 1), level + 1, state, 0, mass, n from balanced, range(8) r(c) where flag > 0 and state = 0 and level < 8""")
 def adapt_balanced(spark, d):
-    return mesh.adapt(flagged(spark, d), FIELDS, balanced=True)
+    """A cycle after flags were raised to the end of the 2:1 rule; the mesh has no merge flags."""
+    return mesh.adapt(mesh.balance(flagged(spark, d))[0], FIELDS)
+
+
+def cycle_sql(src: str, dst: str, rounds: int = 8) -> str:
+    """A cycle that ends in balance: pairs of neighbours, cells that must not split, and rounds of raised cells and vetoed groups."""
+    beyond = ", ".join(f"case d{c} when -1 then ({c} << (8 - level)) - 1 when 1 then ({c} + 1) << (8 - level) else {c} << (8 - level) end as p{c}" for c in "xyz")
+    held = ", ".join(f"{dst}_h{k} as materialized (select id from {dst}_h{k - 1} union select a from {dst}_q join {dst}_h{k - 1} on b = id where la > lb)" for k in range(1, 5))
+    step = lambda k: f"""{dst}_l{k} as materialized (select distinct case when v.will > u.will then a else b end as id from {dst}_q join {dst}_s{k} u on a = u.id join {dst}_s{k} v on b = v.id where abs(u.will - v.will) >= 2),
+  {dst}_v{k} as materialized (select distinct grp from {dst}_l{k} join {dst}_s{k} using (id) where merging),
+  {dst}_s{k + 1} as materialized (select s.id, s.level, s.grp, can, merging and v.grp is null as merging,
+    case when merging and v.grp is not null then s.level when not merging and l.id is not null and can and will = s.level then s.level + 1 else will end as will
+    from {dst}_s{k} s left join {dst}_v{k} v on s.grp = v.grp left join {dst}_l{k} l on s.id = l.id)"""
+    return f"""{dst}_i as materialized (select row_number() over (order by level, x, y, z) as id, * from {src}),
+  {dst}_g as materialized (select level, x >> 1 as gx, y >> 1 as gy, z >> 1 as gz, min(id) as grp from {dst}_i where flag = -1 and state = 0 and level >= 1 group by 1, 2, 3, 4 having count(*) = 8),
+  {dst}_p as materialized (select id, level, {beyond} from {dst}_i, {FACE_SQL}),
+  {dst}_q as materialized (select distinct p.id as a, c.id as b, p.level as la, c.level as lb from (select id, level, m, px >> (8 - m) as qx, py >> (8 - m) as qy, pz >> (8 - m) as qz from {dst}_p, (values (3), (4), (5), (6), (7), (8)) l(m) where m <= level) p
+    join {dst}_i c on c.level = m and c.x = qx and c.y = qy and c.z = qz),
+  {dst}_h0 as materialized (select id from {dst}_i where state <> 0 or level >= 8 union select a from {dst}_q where la > lb + 1), {held},
+  {dst}_s0 as materialized (select i.id, i.level, grp, state = 0 and i.level < 8 and h.id is null as can, grp is not null as merging,
+    case when flag > 0 and state = 0 and i.level < 8 and h.id is null then i.level + 1 when grp is not null then i.level - 1 else i.level end as will
+    from {dst}_i i left join {dst}_g g on g.level = i.level and gx = x >> 1 and gy = y >> 1 and gz = z >> 1 left join {dst}_h4 h on h.id = i.id),
+  {", ".join(step(k) for k in range(rounds))},
+  {dst}_d as materialized (select i.*, will, merging from {dst}_i i join {dst}_s{rounds} s on i.id = s.id),
+  {dst} as materialized (select x, y, z, level, state, 0 as flag, mass, n from {dst}_d where will = level
+    union all select 2 * x + (c & 1), 2 * y + ((c >> 1) & 1), 2 * z + ((c >> 2) & 1), level + 1, state, 0, mass, n from {dst}_d, range(8) r(c) where will > level
+    union all select x >> 1, y >> 1, z >> 1, level - 1, 0, 0, cast(sum(mass) as bigint), cast(sum(n) as bigint) from {dst}_d where merging group by x >> 1, y >> 1, z >> 1, level)"""
+
+
+@query(f"""with {CELLS.replace("cells as", "cells as materialized")}, {cycle_sql("cells", "once", 3)},
+  again as materialized (select x, y, z, level, state, case when level = 6 and mass >= 90 then 1 when ((x >> 1) + (y >> 1) + (z >> 1)) % 2 = 0 then -1 else 0 end as flag, mass, n from once),
+  {cycle_sql("again", "twice")} select * from twice""")
+def adapt_balanced_merges(spark, d):
+    """Two balanced cycles; in the second one cells split and groups merge on a mesh of three levels."""
+    once = mesh.adapt(tables.cells(spark, d), FIELDS, balanced=True)
+    turn = (F.shiftright("x", 1) + F.shiftright("y", 1) + F.shiftright("z", 1)) % 2
+    again = once.withColumn("flag", F.when((F.col("level") == 6) & (F.col("mass") >= 90), 1).when(turn == 0, -1).otherwise(0))
+    return mesh.adapt(again, FIELDS, balanced=True)
+
+
+@query(f"""with {CELLS}, {ADAPTED}, p as (select event_id, cast(user_id % 256 as integer) as px, cast(event_id % 251 as integer) as py, cast(floor(value) as integer) % 256 as pz from events)
+  select p.*, c.x as nx, c.y as ny, c.z as nz, c.level as n_level from p left join
+    (select p.event_id, a.x, a.y, a.z, a.level from p, (values (4), (5), (6)) l(m) join adapted a on a.level = m and a.x = px >> (8 - m) and a.y = py >> (8 - m) and a.z = pz >> (8 - m)) c using (event_id)""")
+def cells_of_points(spark, d):
+    """The cell of the adapted mesh that holds each event's place."""
+    at = tables.events(spark, d).select("event_id", (F.col("user_id") % 256).cast("int").alias("px"), (F.col("event_id") % 251).cast("int").alias("py"), (F.floor("value").cast("int") % 256).alias("pz"))
+    return locate.cells_of(checkpointed(mesh.adapt(tables.cells(spark, d), FIELDS).select(*mesh.CELL)), at)
 
 
 @query(f"""with {CELLS}, {FLAGGED}, {PROBES},
@@ -247,7 +293,7 @@ def adapt_balanced(spark, d):
   select f.x, f.y, f.z, f.level, case when b.x is not null and state = 0 and flag <= 0 and f.level < 8 then 1 else flag end as flag from flagged f left join bad b using (x, y, z, level)""")
 def balance_probe(spark, d):
     """A round of the 2:1 rule by one probe a face."""
-    return mesh.balance_round(flagged(spark, d), [4, 5, 6], mode="probe").select("x", "y", "z", "level", "flag")
+    return mesh.balance_round(checkpointed(flagged(spark, d)), mode="probe").select("x", "y", "z", "level", "flag")
 
 
 @query(with_cells(f"""select a.x, a.y, a.z, a.level, case when dx = -1 then 0 when dx = 1 then 1 when dy = -1 then 2 when dy = 1 then 3 when dz = -1 then 4 else 5 end as face, b.x as nx, b.y as ny, b.z as nz
@@ -261,7 +307,7 @@ def stencil_neighbors(spark, d):
     l.level as n_level, px >> (8 - l.level) as nx, py >> (8 - l.level) as ny, pz >> (8 - l.level) as nz from probes p, (values (4), (5), (6)) l(level))
   select s.x, s.y, s.z, s.level, face, min(n_level) as n_level from seen s join flagged c on c.level = n_level and c.x = nx and c.y = ny and c.z = nz group by all""")
 def mixed_neighbors(spark, d):
-    return mesh.mixed_neighbours(flagged(spark, d), [4, 5, 6])
+    return mesh.mixed_neighbours(flagged(spark, d))
 
 
 @query(with_cells("""select f.level, px, py, pz, round(sum(coalesce(c.mass, 0)) / 8, 6) as value

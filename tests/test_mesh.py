@@ -48,13 +48,13 @@ def test_unknown_rule():
         mesh.rule("harmonic")
 
 
-def random_mesh(seed):
-    """A mesh without gaps or overlaps: cells split at random from one root octet, level 1 to 5."""
+def random_mesh(seed, deepest=5):
+    """A mesh without gaps or overlaps: cells split at random from one root octet, level 1 to 5 or ``deepest``."""
     rng = random.Random(seed)
     cells, todo = [], [(x, y, z, 1) for x, y, z in itertools.product((0, 1), repeat=3)]
     while todo:
         x, y, z, level = todo.pop()
-        if level < 5 and rng.random() < (0.75 if level < 3 else 0.3):
+        if level < deepest and rng.random() < (0.75 if level < 3 else 0.3):
             todo += [(2 * x + i, 2 * y + j, 2 * z + k, level + 1) for i, j, k in itertools.product((0, 1), repeat=3)]
         else:
             cells.append((x, y, z, level, int(rng.random() < 0.1), int(rng.random() < 0.1), 1))
