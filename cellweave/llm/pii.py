@@ -16,7 +16,8 @@ mixed radices), so different entities get different surrogates and equal ones eq
   address are replaced too. A given name after "Dr" has the gender that another form of address in the text gives it.
 
 Collision checks run over all distinct entities of the corpus: a surrogate that is another entity of the corpus, or that
-a second entity has, is drawn again with the next attempt number until there is none. Names come from lists first; from
+a second entity has, is drawn again with the next attempt number until there is none; where real entities nearly fill a
+format, they take each other's places (``attempts``). Names come from lists first; from
 the third attempt on they have a second part, one syllable longer with each attempt, so that no number of names is too many.
 
 Defined cases: a null text stays null and has no entities; an empty table gives no rows; other columns are kept as they
@@ -27,9 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,9 +140,17 @@ def refilled(shape: str, symbols: str) -> str:
     return "".join(next(each) if c.isalnum() else c for c in shape)
 
 
+#: Ranges of addresses with a meaning of their own (first address, bits that are free in it).
+RANGES = [(10 << 24, 24), (127 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16), (169 << 24 | 254 << 16, 16), (0, 24), (224 << 24, 29)]
+
+
+def ip_number(address: str) -> int:
+    return int.from_bytes(bytes(map(int, address.split("."))), "big")
+
+
 def ip_range(n: int) -> int:
-    a, b = n >> 24, n >> 16 & 255
-    return 1 if a == 10 else 2 if a == 127 else 3 if a == 172 and 16 <= b < 32 else 4 if (a, b) == (192, 168) else 5 if (a, b) == (169, 254) else 6 if a == 0 else 7 if a >= 224 else 0
+    """The number of a range that holds an address, from 1 on; 0 for public addresses."""
+    return next((k for k, (low, bits) in enumerate(RANGES, 1) if n >> bits == low >> bits), 0)
 
 
 def valid_ssn(number: str) -> bool:
@@ -171,10 +181,12 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
             return m[0] + moved
         return m[0] + by_class(rest, key, tweak, first_digits=True)
     if kind == "ip":
-        n = was = int.from_bytes(bytes(map(int, entity.split("."))), "big")
-        while True:
-            n = int("".join(map(str, permuted(list(map(int, f"{n:032b}")), [2] * 32, key, tweak))), 2)
-            if ip_range(n) == ip_range(was):
+        n = ip_number(entity)
+        at = ip_range(n)
+        low, bits = RANGES[at - 1] if at else (0, 32)
+        while True:  # a range's own bits; public addresses, six sevenths of all, until one comes that is public
+            n = low + int("".join(map(str, permuted(list(map(int, f"{n - low:0{bits}b}")), [2] * bits, key, f"{tweak}|{at}"))), 2)
+            if ip_range(n) == at:
                 return ".".join(map(str, n.to_bytes(4, "big")))
     if kind == "card":
         digits = re.sub("[^0-9]", "", entity)
@@ -215,6 +227,25 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     return f"{name}-{part.capitalize()}"
 
 
+def format_of(kind: str, entity: str) -> str:
+    """What an entity has in common with all its surrogates: what stays as it is, and the classes of the other characters."""
+    digits = re.sub("[^0-9]", "", entity)
+    fixed = {
+        "ip": lambda: str(ip_range(ip_number(entity))),
+        "ssn": lambda: str(valid_ssn(entity)),
+        "card": lambda: f"{digits[0]} {int(digits[-1]) == luhn(digits[:-1])}",
+        "iban": lambda: entity[:2],
+        "token": lambda: next(p for p in PREFIXES if entity.startswith(p)),
+        "secret": lambda: entity[:4] if entity[:4] in ("AKIA", "ASIA") else "",
+        "ipv6": lambda: re.split("[:-]", entity)[0],
+        "mac": lambda: re.split("[:-]", entity)[0],
+        "phone": lambda: re.match(r"(?:\+[0-9]{1,3}(?=[^0-9]))?", entity)[0] + str(bool(re.search("(?<![0-9])555(?![0-9])", entity))),
+        "email": lambda: entity.rpartition(".")[2],
+    }.get(kind, str)()
+    classes = "" if kind == "ip" else re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", entity)))
+    return f"{kind} {fixed} {classes}"
+
+
 def normal(kind: str, entity: str) -> str:
     return entity.lower() if kind == "email" else entity
 
@@ -261,15 +292,17 @@ def matched_case(entity: str, other: str, kind: str) -> str:
     return other.upper() if kind == "email" and entity.isupper() else other
 
 
-def replaced(text: str, key: bytes, later: dict[tuple[str, str], int], known: dict) -> tuple[str, int]:
-    """The text with surrogates, and how many. later: attempts of entities that collided; known: surrogates so far."""
+def replaced(text: str, key: bytes, later: dict[tuple[str, str], int | str], known: dict) -> tuple[str, int]:
+    """The text with surrogates, and how many. later: attempts of entities that collided, or what they get; known: surrogates so
+    far."""
     parts, at, spans = [], 0, found(text)
     for a, b, kind, entity in spans:
         own = (kind, normal(kind, entity))
         if own not in known:
             if len(known) > 50_000:
                 known.clear()
-            known[own] = surrogate(*own, key, later.get(own, 0))
+            given = later.get(own, 0)
+            known[own] = given if isinstance(given, str) else surrogate(*own, key, given)
         parts += [text[at:a], matched_case(entity, known[own], kind)]
         at = b
     return "".join([*parts, text[at:]]) if spans else text, len(spans)
@@ -288,8 +321,14 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, ENTITY).distinct()
 
 
-def attempts(own: DataFrame, key: bytes, most: int = 40) -> DataFrame:
-    """Entities whose first surrogate collides, with the attempt that does not: (kind, entity, attempt)."""
+def attempts(own: DataFrame, key: bytes, rounds: int = 6, most: int = 40) -> DataFrame:
+    """Entities whose first surrogate collides: (kind, entity, attempt, other), with the attempt that does not collide.
+
+    A format that real entities nearly fill has no free surrogates. What still collides after ``rounds`` (names excepted, which
+    never run out) gets ``other``: the next entity of its format in a keyed order of these, the last one the first. All other
+    surrogates are no real entities, so these stay distinct, and none is its own. One that is alone in its format is joined
+    by another entity of it; if there is none, it stays (a password of six dashes has no other form).
+    """
 
     def drawn(batches):
         for kinds, values, tries in common.text_batches(batches, "kind", "entity", "attempt"):
@@ -299,7 +338,8 @@ def attempts(own: DataFrame, key: bytes, most: int = 40) -> DataFrame:
     shape = f"{ENTITY}, attempt int, other string"
     now = common.materialised(own.withColumn("attempt", F.lit(0)).mapInArrow(drawn, shape), "surrogates")
     real = now.select("kind", F.col("entity").alias("other"))
-    for _ in range(most):
+    stuck = now.limit(0).select("kind", "entity")
+    for turn in range(most):
         shared = now.groupBy("kind", "other").agg(F.min("entity").alias("keeps"), F.count("*").alias("n")).where("n > 1")
         clash = (
             now.join(shared, ["kind", "other"], "left")
@@ -309,11 +349,36 @@ def attempts(own: DataFrame, key: bytes, most: int = 40) -> DataFrame:
         losers = clash.where("again").select("kind", "entity", (F.col("attempt") + 1).cast("int").alias("attempt"))
         if losers.isEmpty():
             break
+        if turn == rounds:
+            stuck = common.materialised(losers.where(~F.col("kind").startswith("name_")).select("kind", "entity"), "stuck")
+            losers = losers.where(F.col("kind").startswith("name_"))
         now = common.materialised(clash.where("not again").select("kind", "entity", "attempt", "other").unionByName(losers.mapInArrow(drawn, shape)), "surrogates")
-    else:  # names never come here, as each attempt draws from more; a short format may be used up by real entities
-        kinds = [r["kind"] for r in losers.select("kind").distinct().collect()]
-        raise RuntimeError(f"surrogates still collide after {most} attempts: {', '.join(sorted(kinds))}")
-    return now.where("attempt > 0").select("kind", "entity", "attempt")
+    else:
+        raise RuntimeError(f"names still collide after {most} attempts")
+    later = now.where("attempt > 0").select("kind", "entity", "attempt", F.lit(None).cast("string").alias("other"))
+    if stuck.isEmpty():
+        return later
+    turned = common.materialised(in_turn(own, stuck, key), "in-turn")
+    return later.join(turned, ["kind", "entity"], "left_anti").unionByName(turned)
+
+
+def in_turn(own: DataFrame, stuck: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, attempt, other) of entities that take each other's places within their format. No format has more of them
+    than it has strings."""
+
+    def described(batches):
+        for kinds, values in common.text_batches(batches, "kind", "entity"):
+            places = [f"{prf(key, 'turn', k, e):032x}" for k, e in zip(kinds, values, strict=True)]
+            yield pa.RecordBatch.from_pydict({"kind": kinds, "entity": values, "format": [format_of(k, e) for k, e in zip(kinds, values, strict=True)], "place": places})
+
+    shape = f"{ENTITY}, format string, place string"
+    rows = common.materialised(stuck.mapInArrow(described, shape), "formats")
+    alone = rows.groupBy("kind", "format").agg(F.count("*").alias("n")).where("n = 1").select("kind", "format")
+    others = own.join(alone.select("kind").distinct(), "kind", "left_semi").join(rows, ["kind", "entity"], "left_anti").mapInArrow(described, shape)
+    partner = others.join(alone, ["kind", "format"]).groupBy("kind", "format").agg(F.min_by("entity", "place").alias("entity"), F.min("place").alias("place"))
+    by = Window.partitionBy("kind", "format")
+    after = F.coalesce(F.lead("entity").over(by.orderBy("place", "entity")), F.first("entity").over(by.orderBy("place", "entity")))
+    return rows.unionByName(partner).select("kind", "entity", F.lit(0).alias("attempt"), after.alias("other"))
 
 
 def pseudonymised(docs: DataFrame, key: str | bytes, text: str = "text", count: str | None = None) -> DataFrame:
@@ -327,7 +392,7 @@ def pseudonymised(docs: DataFrame, key: str | bytes, text: str = "text", count:
     few = later.limit(CLOSURE_ROWS + 1).collect()
     kept = docs.columns
     if len(few) <= CLOSURE_ROWS:
-        table = {(r["kind"], r["entity"]): r["attempt"] for r in few}
+        table = {(r["kind"], r["entity"]): r["other"] if r["other"] is not None else r["attempt"] for r in few}
         source, per_row = docs, False
     else:  # by the document's hash: each gets the attempts of the entities that it holds
         source, per_row = joined_attempts(docs, text, later), True
@@ -346,7 +411,7 @@ def pseudonymised(docs: DataFrame, key: str | bytes, text: str = "text", count:
                 if t is None:
                     new.append((None, 0))
                 elif pairs:
-                    new.append(replaced(t, key, {(p["kind"], p["entity"]): p["attempt"] for p in pairs}, {}))
+                    new.append(replaced(t, key, {(p["kind"], p["entity"]): p["other"] if p["other"] is not None else p["attempt"] for p in pairs}, {}))
                 else:
                     new.append(replaced(t, key, table, known if not per_row else {}))
             columns = [batch.column(i) for i in range(len(kept))]
@@ -373,13 +438,14 @@ def joined_attempts(docs: DataFrame, text: str, later: DataFrame) -> DataFrame:
 
     hashed = docs.withColumn(mark, F.sha1(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")))
     own = hashed.select(F.col(text).alias("text"), mark).mapInArrow(run, f"{mark} string, {ENTITY}").distinct()
-    each = own.join(later, ["kind", "entity"]).groupBy(mark).agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(pairs))
+    each = own.join(later, ["kind", "entity"]).groupBy(mark).agg(F.collect_list(F.struct("kind", "entity", "attempt", "other")).alias(pairs))
     return hashed.join(each, mark, "left").select(*docs.columns, pairs)
 
 
 def key_of(spark: SparkSession) -> str:
-    """The deployment's secret: ``spark.cellweave.surrogates.key``; where it is unset, as in tests, a word that is no secret."""
-    return spark.conf.get("spark.cellweave.surrogates.key", "no secret")
+    """The deployment's secret: ``spark.cellweave.surrogates.key``. Where it is unset there is no default that anyone could know:
+    the run draws a key of its own, and its surrogates cannot be told apart from chance, nor be linked to another run's."""
+    return spark.conf.get("spark.cellweave.surrogates.key", None) or secrets.token_hex(32)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
