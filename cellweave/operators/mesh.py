@@ -142,8 +142,8 @@ def probed(cells: DataFrame, *more: str) -> DataFrame:
     return located(own, probes(own, *more), more).where("n_level is not null").drop("px", "py", "pz")
 
 
-def mixed_neighbours(cells: DataFrame) -> DataFrame:
-    """For each cell and face, the level of the cell that holds the point beyond it."""
+def mixed_neighbours(cells: DataFrame, levels: list[int] | None = None) -> DataFrame:
+    """For each cell and face, the level of the cell that holds the point beyond it. ``levels`` need not be known any more."""
     return probed(checkpointed(cells.select(*CELL))).select(*CELL, "face", "n_level")
 
 
@@ -169,9 +169,9 @@ def unbalanced_by_probes(cells: DataFrame) -> DataFrame:
 MODES = {"strict": unbalanced, "probe": unbalanced_by_probes}
 
 
-def balance_round(cells: DataFrame, most: int = curves.FINEST, mode: str = "strict") -> DataFrame:
+def balance_round(cells: DataFrame, levels: list[int] | None = None, most: int = curves.FINEST, mode: str = "strict") -> DataFrame:
     """Cells with flags raised to 1 where a neighbour would be finer by two levels: one round of the 2:1 rule. ``cells`` is
-    read several times: give a stored table."""
+    read several times: give a stored table. ``levels`` need not be known any more."""
     mark = unused("unbalanced", cells)
     bad = MODES[mode](cells).withColumn(mark, F.lit(True))
     can = F.coalesce(mark, F.lit(False)) & (F.col("state") == 0) & (F.col("level") < most) & (F.col("flag") <= 0)
@@ -184,7 +184,7 @@ def balance(cells: DataFrame, most: int = curves.FINEST, rounds: int = 10, mode:
     now = checkpointed(cells)
     flagged = now.where("flag > 0").count()
     for _ in range(rounds):
-        now = checkpointed(balance_round(now, most, mode))
+        now = checkpointed(balance_round(now, None, most, mode))
         new = now.where("flag > 0").count()
         if new == flagged:
             return now, True

@@ -6,13 +6,15 @@ import heapq
 import json
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.curves import col
 from cellweave.operators import mesh, series
 from cellweave.operators.partition_bounds import place_in
-from cellweave.operators.session import unused
+from cellweave.operators.session import checkpointed, unused
 
 
 #: Ranges that travel as constants; with more of them the join is Spark's.
@@ -100,19 +102,52 @@ def rebalance_due(found: DataFrame, tolerance: float = 0.1, enabled: bool = True
 
 def rebalances(history: DataFrame, tolerance: float = 0.1, interval: int = 1) -> DataFrame:
     """history: (step, rank, n). Of each step: its imbalance, the steps since the last rebalance, and whether one is due; one
-    that is due starts the count again. Steps are folded in order: one row a step."""
+    that is due starts the count again.
+
+    What decides is one of few states: the steps since the last rebalance, up to ``interval``, beyond which they act alike. A
+    run of steps is thus a map of the state before it to what is after it, and maps of neighbouring runs compose. Steps are dealt by range; each range's map comes from one pass, the maps (one row a range) are composed in
+    order, and a second pass starts each range from its own state. No row grows with the number of steps.
+    """
     each = history.groupBy("step").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.avg("n").alias("mean"))
     each = each.select("step", F.when(F.col("mean") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.col("mean")).alias("imbalance"))
-
-    def fold(seen: Column, x: Column) -> Column:
-        last = F.element_at(seen, -1)
-        since = F.when(F.size(seen) == 0, F.lit(1)).when(last["due"], F.lit(1)).otherwise(last["since"] + 1)
-        due = (since >= interval) & (x["imbalance"] > tolerance)
-        return F.concat(seen, F.array(F.struct(x["step"].alias("step"), x["imbalance"].alias("imbalance"), since.alias("since"), due.alias("due"))))
-
-    ordered = each.agg(F.sort_array(F.collect_list(F.struct("step", "imbalance"))).alias("steps"))
-    kind = f"array<struct<step:{dict(each.dtypes)['step']},imbalance:double,since:int,due:boolean>>"
-    return ordered.select(F.explode(F.aggregate("steps", F.array().cast(kind), fold)).alias("x")).select("x.*")
+    kind = dict(each.dtypes)["step"]
+    n = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    over = F.coalesce(F.col("imbalance") > tolerance, F.lit(False))
+    dealt = each.withColumn("over", over).repartitionByRange(n, "step").sortWithinPartitions("step").withColumn("part", F.spark_partition_id())
+    dealt = checkpointed(dealt)
+
+    def mapped(batches):
+        """Of a range, for each state before it: the count after all steps, and whether it began anew within the range."""
+        now, anew, part, length = np.arange(max(0, interval) + 1), np.zeros(max(0, interval) + 1, bool), None, 0
+        for batch in batches:
+            if batch.num_rows:
+                part, length = batch.column(0)[0].as_py(), length + batch.num_rows
+                for is_over in batch.column(1).to_numpy(zero_copy_only=False):
+                    due = is_over & (now + 1 >= interval)
+                    now, anew = np.where(due, 0, now + 1), anew | due
+        if part is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "length": pa.array([length], pa.int64()), "counts": [now.tolist()], "anew": [anew.tolist()]})
+
+    maps = {r["part"]: r for r in dealt.select("part", "over").mapInArrow(mapped, "part int, length long, counts array<long>, anew array<boolean>").collect()}  # a row a range
+    begins, now = {}, 0
+    for part in sorted(maps):
+        begins[part], m, state = now, maps[part], min(now, max(0, interval))
+        now = m["counts"][state] if m["anew"][state] else now + m["length"]
+
+    def counted(batches):
+        now = None
+        for batch in batches:
+            if batch.num_rows:
+                if now is None:
+                    now = begins[batch.column(3)[0].as_py()]
+                since, due = [], []
+                for over in batch.column(2).to_numpy(zero_copy_only=False):
+                    since.append(now + 1)
+                    due.append(bool(over) and now + 1 >= interval)
+                    now = 0 if due[-1] else now + 1
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(since, pa.int32()), pa.array(due)], names=["step", "imbalance", "since", "due"])
+
+    return dealt.select("step", "imbalance", "over", "part").mapInArrow(counted, f"step {kind}, imbalance double, since int, due boolean")
 
 
 def migration(cells: DataFrame, old: str, new: str, key: str = "key") -> DataFrame:
@@ -136,8 +171,8 @@ def plan_totals(transfers: DataFrame, total: int | None = None) -> DataFrame:
 
 
 def coalesced(transfers: DataFrame) -> DataFrame:
-    """Transfers of the same pair that touch, as one, in order of source and destination: the end of the transfer before and
-    the start of an island are carried over ranges of rows, so that a pair of any size spreads."""
+    """Transfers of the same pair that touch, as one; the rows have no order (``ordered`` gives one). The end of the transfer
+    before and the start of an island are carried over ranges of rows, so that a pair of any size spreads."""
     pair, at = ["source", "destination"], ["first_key", "end_key"]
     rows = series.carried(series.dealt(transfers.select(*pair, *at, "n"), pair, at), pair, at, F.col("end_key"), "before", own=False)
     begins = F.when(F.coalesce(F.col("before") != F.col("first_key"), F.lit(True)), F.col("first_key"))
@@ -145,6 +180,11 @@ def coalesced(transfers: DataFrame) -> DataFrame:
     return marked.groupBy(*pair, "island").agg(F.min("first_key").alias("first_key"), F.max("end_key").alias("end_key"), F.sum("n").alias("n")).drop("island")
 
 
+def ordered(transfers: DataFrame) -> DataFrame:
+    """Transfers in order of source, destination and key, over all partitions."""
+    return transfers.orderBy("source", "destination", "first_key")
+
+
 def halo_rows(cells: DataFrame, rank: str, fields: list[str]) -> DataFrame:
     """The rows that each rank needs from others: (rank, x, y, z, level, fields) of face neighbours that others own."""
     owned = cells.select(*mesh.CELL, F.col(rank).alias("to_rank"))

@@ -12,26 +12,34 @@ PART = "range_part"
 
 
 def dealt(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Rows dealt by range of key and order, with the number of their part: a key of any size spreads over many parts."""
-    part = unused(PART, df)
-    if part != PART:
-        raise ValueError(f"a column named {PART} is in the way")
+    """Rows dealt by range of key and order, with the number of their part as a column (``part_of``): a key of any size, null
+    too, spreads over many parts."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpointed(df.repartitionByRange(n, *by, *order).withColumn(PART, F.spark_partition_id()))
+    return checkpointed(df.repartitionByRange(n, *by, *order).withColumn(unused(PART, df), F.spark_partition_id()))
+
+
+def part_of(rows: DataFrame) -> str:
+    """The column of ``dealt`` that numbers the parts: the one with most underscores, where a table has others of that name."""
+    return max((c for c in rows.columns if c.rstrip("_").lower() == PART), key=len)
 
 
 def carried(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, ahead: bool = False, own: bool = True) -> DataFrame:
     """rows: from ``dealt``. The last value that is not null of a key's rows before, in ``order`` (own: the row's own too), or
-    with ``ahead`` the first one after. No window goes over a whole key: each part has its own, and what comes from other
-    parts is one row for each part of a key."""
+    with ``ahead`` the first one after. Null is a key like any other. No window goes over a whole key: each part has its own,
+    and what comes from other parts is one row for each part of a key."""
     direction = F.desc if ahead else F.asc
-    within = Window.partitionBy(PART, *by).orderBy(*map(direction, order)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    part = part_of(rows)
+    within = Window.partitionBy(part, *by).orderBy(*map(direction, order)).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     here = rows.withColumn(name, F.last(value, ignorenulls=True).over(within))
     place = F.when(value.isNotNull(), F.struct(*order))
-    edge = rows.groupBy(PART, *by).agg((F.min_by if ahead else F.max_by)(value, place).alias("edge"))
-    between = Window.partitionBy(*by).orderBy(direction(PART)).rowsBetween(Window.unboundedPreceding, -1)
-    other = edge.withColumn("other", F.last("edge", ignorenulls=True).over(between)).where("other is not null").select(PART, *by, "other")
-    return here.join(other, [PART, *by], "left").withColumn(name, F.coalesce(name, "other")).drop("other")
+    edge = rows.groupBy(part, *by).agg((F.min_by if ahead else F.max_by)(value, place).alias("edge"))
+    between = Window.partitionBy(*by).orderBy(direction(part)).rowsBetween(Window.unboundedPreceding, -1)
+    other = edge.withColumn("other", F.last("edge", ignorenulls=True).over(between)).where("other is not null").select(part, *by, "other")
+    there = {c: unused(f"of_{c}", here) for c in (part, *by)}
+    found = unused("other", here)
+    other = other.select(*[F.col(c).alias(n) for c, n in there.items()], F.col("other").alias(found))
+    met = here.join(other, [F.col(c).eqNullSafe(F.col(n)) for c, n in there.items()], "left")
+    return met.withColumn(name, F.coalesce(name, found)).select(*here.columns)
 
 
 def merged(points: DataFrame, series: DataFrame, by: list[str], at: str, value: str | None) -> DataFrame:
