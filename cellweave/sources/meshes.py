@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import struct
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORNERS = [f"{v}{c}" for v in "abc" for c in "xyz"]
+from cellweave.sources import mesh_files
+
+CORNERS = mesh_files.CORNERS
 TRIANGLE = T.StructType([T.StructField("file", T.StringType()), T.StructField("number", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", *CORNERS)]])
-#: Binary STL: 80 bytes, a 32-bit count, and 50 bytes a triangle.
-RECORD = np.dtype([("v", "<f4", 12), ("spare", "<u2")])
+RECORD = mesh_files.RECORD
 
 
 def is_binary(body: bytes) -> bool:
@@ -40,18 +41,23 @@ def triangles_of(body: bytes) -> np.ndarray:
     return np.array(rows, float).reshape(-1, 12)
 
 
-def read_stl(spark: SparkSession, path: str) -> DataFrame:
-    """Every triangle of the STL files at a path, text or binary: file, number, normal and corners."""
-
-    def run(batches):
-        for batch in batches:
-            for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = triangles_of(body)
-                for a in range(0, len(rows), 50_000):
-                    some = rows[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array(range(a, a + len(some)), pa.int64()), *[pa.array(some[:, i]) for i in range(12)]], names=TRIANGLE.names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, TRIANGLE)
+def read_stl(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """Every triangle of the STL files at a path, text or binary: file, number, normal and corners. Large files are dealt to many
+    tasks (options ``records`` and ``bytes``). Facets of a text file are numbered by the counts of its parts before, one row a
+    part."""
+    spark.dataSource.register(mesh_files.StlSource)
+    source = spark.read.format(mesh_files.StlSource.name()).options(**options)
+    paths = [path] if isinstance(path, str) else list(path)
+    rows = source.option("paths", json.dumps(paths)).load()
+    pieces = mesh_files.StlReader({"paths": json.dumps(paths), **{k: str(v) for k, v in options.items()}}).partitions()
+    if not any(not p.binary and p.part for p in pieces):
+        return rows.select(TRIANGLE.names)
+    texts = {p.file for p in pieces if not p.binary and p.part}
+    split = F.col("file").isin(sorted(texts)) if len(texts) <= 1000 else F.lit(True)
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.where(split).groupBy("file", "part").agg(F.max("number").alias("last"), F.count("*").alias("n"))
+    base = last.where("last < n").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "part", "base")
+    return rows.join(base, ["file", "part"], "left").withColumn("number", F.col("number") + F.coalesce("base", F.lit(0))).select(TRIANGLE.names)
 
 
 def read_benchmarks(spark: SparkSession, path: str) -> DataFrame:

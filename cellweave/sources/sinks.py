@@ -2,87 +2,32 @@
 
 from __future__ import annotations
 
-import itertools
-import struct
-import uuid
-from xml.sax.saxutils import escape, quoteattr
+import json
 
-import numpy as np
-import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators import series
+from cellweave.sources import mesh_files
 
 
 def write_vtp(cells: DataFrame, folder: str, step: int, fields: list[str] = ()) -> str:
-    """Cells as VTK PolyData: a file a partition, with a piece for each batch of rows, and one index that names the files of
-    tasks that ended. folder: a URI. Returns the index."""
-    names = [*fields]
-
-    def piece(batch: pa.RecordBatch) -> str:
-        n = batch.num_rows
-        x, y, z, level, *values = (batch.column(i).to_pylist() for i in range(batch.num_columns))
-        points = " ".join(f"{a} {b} {c}" for a, b, c in zip(x, y, z, strict=True))
-        at = " ".join(map(str, range(n)))
-        data = "".join(f"<DataArray type=\"Float64\" Name={quoteattr(f)} format=\"ascii\">{' '.join(str(float(v)) for v in vs)}</DataArray>" for f, vs in zip(names, values, strict=True))
-        return (
-            f'<Piece NumberOfPoints="{n}" NumberOfVerts="{n}" NumberOfLines="0" NumberOfStrips="0" NumberOfPolys="0">'
-            f'<Points><DataArray type="Float32" NumberOfComponents="3" format="ascii">{points}</DataArray></Points>'
-            f'<Verts><DataArray type="Int32" Name="connectivity" format="ascii">{at}</DataArray><DataArray type="Int32" Name="offsets" format="ascii">{" ".join(str(i + 1) for i in range(n))}</DataArray></Verts>'
-            f'<PointData><DataArray type="Int32" Name="Level" format="ascii">{" ".join(map(str, level))}</DataArray>{data}</PointData></Piece>'
-        )
-
-    def run(batches):
-        full = (b for b in batches if b.num_rows)
-        first = next(full, None)
-        if first is None:
-            return
-        system, path = fs.FileSystem.from_uri(folder)
-        system.create_dir(path, recursive=True)
-        name = f"snapshot_{step:06d}_{TaskContext.get().partitionId():05d}_{uuid.uuid4().hex[:8]}.vtp"
-        n = 0
-        with system.open_output_stream(f"{path}/{name}") as out:
-            out.write(b'<?xml version="1.0"?><VTKFile type="PolyData" version="1.0" byte_order="LittleEndian"><PolyData>')
-            for batch in itertools.chain([first], full):
-                out.write(piece(batch).encode())
-                n += batch.num_rows
-            out.write(b"</PolyData></VTKFile>\n")
-        yield pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([n], pa.int64())})
-
-    written = sorted(r["file"] for r in cells.select("x", "y", "z", "level", *names).mapInArrow(run, "file string, n long").collect())  # one row a file
-    system, path = fs.FileSystem.from_uri(folder)
-    system.create_dir(path, recursive=True)
-    arrays = '<PDataArray type="Int32" Name="Level"/>' + "".join(f'<PDataArray type="Float64" Name={quoteattr(f)}/>' for f in names)
-    pieces = "".join(f'<Piece Source="{escape(f)}"/>' for f in written)
-    index = f"{path}/snapshot_{step:06d}.pvtp"
-    with system.open_output_stream(index) as out:
-        out.write(f'<?xml version="1.0"?><VTKFile type="PPolyData" version="1.0"><PPolyData GhostLevel="0"><PPoints><PDataArray type="Float32" NumberOfComponents="3"/></PPoints><PPointData>{arrays}</PPointData>{pieces}</PPolyData></VTKFile>\n'.encode())
-    return index
-
-
-def write_stl(triangles: DataFrame, folder: str) -> list[str]:
-    """Triangles (normal nx, ny, nz and corners ax to cz) as binary STL files below ``folder`` (a URI), one for each batch of
-    rows, so that no file grows with its task. Returns the files of tasks that ended."""
-    from cellweave.sources.meshes import CORNERS, RECORD
-
-    def run(batches):
-        system, path = fs.FileSystem.from_uri(folder)
-        system.create_dir(path, recursive=True)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.zeros(batch.num_rows, RECORD)
-            rows["v"] = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            name = f"{TaskContext.get().partitionId():05d}_{uuid.uuid4().hex}.stl"
-            with system.open_output_stream(f"{path}/{name}") as out:
-                out.write(b"\0" * 80 + struct.pack("<I", len(rows)) + rows.tobytes())
-            yield pa.RecordBatch.from_pydict({"file": [name]})
-
-    rows = triangles.select(*[F.col(c).cast("double").alias(c) for c in ("nx", "ny", "nz", *CORNERS)])
-    return sorted(f"{folder}/{r['file']}" for r in rows.mapInArrow(run, "file string").collect())  # one row a file
+    """Cells as VTK PolyData: a file a task, and one index that names the files of tasks that ended, written when all have. folder:
+    a URI. Returns the index."""
+    cells.sparkSession.dataSource.register(mesh_files.VtpSource)
+    rows = cells.select("x", "y", "z", "level", *fields)
+    rows.write.format(mesh_files.VtpSource.name()).mode("append").option("step", step).option("fields", json.dumps([*fields])).save(folder)
+    return f"{fs.FileSystem.from_uri(folder)[1]}/{mesh_files.index_name(step)}"
+
+
+def write_stl(triangles: DataFrame, folder: str) -> str:
+    """Triangles (normal nx, ny, nz and corners ax to cz) as binary STL files below ``folder`` (a URI), which an index names.
+    Returns the folder."""
+    triangles.sparkSession.dataSource.register(mesh_files.StlSource)
+    rows = triangles.select(*[F.col(c).cast("double").alias(c) for c in mesh_files.NUMBERS])
+    rows.write.format(mesh_files.StlSource.name()).mode("append").save(folder)
+    return folder
 
 
 def write_reference(table: DataFrame, path: str) -> None:
