@@ -14,7 +14,7 @@ from cellweave.plans import tables
 from cellweave.plans.catalog import ADAPTED, CELLS, FACE_SQL, FIELDS, KEY, MOVED, RANKS, morton_sql, query, reranked, vorticity, with_cells
 from cellweave.plans.tables import SHAPES
 from cellweave.sources import meshes, sinks
-from cellweave.streaming import steps
+from cellweave.streaming import journal, steps
 
 SHARE = 8**curves.FINEST // RANKS
 ANCHOR = morton_sql("(x << (8 - level))", "(y << (8 - level))", "(z << (8 - level))")
@@ -192,6 +192,16 @@ def time_loop(spark, d):
     return steps.time_loop(tables.cells(spark, d), 3, [kernel], checkpoint_every=2)
 
 
+@query(f"""with {CELLS.replace("cells as", "raw as")}, cells as (select * replace (mass + 1 as mass) from raw), {ADAPTED} select x, y, z, level, state, flag, mass + 2 as mass, n from adapted""")
+def resumed_steps(spark, d):
+    """Two steps of a loop with a journal, in two runs: the second one goes on after the first one's step."""
+    kernel = lambda cells, t: schema.kernel(cells, {"mass": F.col("mass") + t})
+    record = journal.Journal(spark, fresh(spark, "journal"))
+    once = lambda cells, t: mesh.adapt(kernel(cells, t), FIELDS) if t == 1 else kernel(cells, t)
+    steps.resumed_loop(record, tables.cells(spark, d), 1, [once])
+    return steps.resumed_loop(record, tables.cells(spark, d), 2, [once])
+
+
 @query(f"""with {CELLS.replace("cells as", "raw as")}, cells as (select * replace (case when mass >= 60 then 1 else flag end as flag) from raw), {ADAPTED} select * from adapted""")
 def stream_adapt(spark, d):
     """A mesh that follows a stream of flags: one micro-batch, written as a table and read back."""
