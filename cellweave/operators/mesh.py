@@ -5,27 +5,72 @@ A cell table has x, y, z (native coordinates), level, state (0 fluid, 1 solid),
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import curves
+from cellweave.operators.exact import exact_sums
 from cellweave.operators.locate import CELL, FOUND, located
 from cellweave.operators.session import checkpointed, unused
 
-#: How eight children's field values become their parent's.
-RULES = {
+CHILD = "__child"
+
+
+def of_eight(c: str) -> Column:
+    """Aggregate: the values of siblings as an array, in the order of the children."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(CHILD, F.col(c).alias("v")))), lambda s: s["v"])
+
+
+def added(values: Column) -> Column:
+    """The sum of an array, from left to right: the same on any partitioning. Nulls do not count; without values it is null."""
+    known = F.filter(values, lambda v: v.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v))
+
+
+def mean_of(values: Column) -> Column:
+    return added(values) / F.size(F.filter(values, lambda v: v.isNotNull()))
+
+
+#: How eight children's field values become their parent's: aggregates over siblings.
+RULES: dict[str, Callable[[str], Column]] = {
     "arithmetic": lambda c: F.avg(c),
     "volume_weighted": lambda c: F.sum(c),
     "min": lambda c: F.min(c),
     "max": lambda c: F.max(c),
-    "skip": lambda c: F.min_by(c, "__child"),
+    "skip": lambda c: F.min_by(c, CHILD),
 }
+#: The same for fields of floating-point numbers, whose sums depend on their order.
+IN_ORDER: dict[str, Callable[[str], Column]] = {"arithmetic": lambda c: mean_of(of_eight(c)), "volume_weighted": lambda c: added(of_eight(c))}
+#: Rules whose result is a double, whatever the field's type.
+DOUBLE = {"arithmetic"}
+
+
+def define_rule(name: str, of: Callable[[Column], Column], double: bool = False) -> None:
+    """A merge rule of one's own, for this process. ``of`` makes a Column of the parent's value from a Column that is the array of
+    the eight children's, in their order (x lowest): by array functions, or by an arrow UDF over that array. The value is
+    cast to the field's type; with ``double``, the field is one of doubles after an adaptation."""
+    if name in RULES:
+        raise ValueError(f"there is an averaging rule named {name!r}")
+    RULES[name] = lambda c: of(of_eight(c))
+    if double:
+        DOUBLE.add(name)
 
 
-def rule(name: str):
+def drop_rule(name: str) -> None:
+    """Give up a rule of one's own."""
+    if name in ("arithmetic", "volume_weighted", "min", "max", "skip"):
+        raise ValueError(f"{name!r} is no rule of one's own")
+    RULES.pop(name, None)
+    DOUBLE.discard(name)
+
+
+def rule(name: str, kind: str = "bigint") -> Callable[[str], Column]:
+    """The rule's aggregate for a field of a type."""
     if name not in RULES:
         raise ValueError(f"no averaging rule is named {name!r}")
-    return RULES[name]
+    return IN_ORDER.get(name, RULES[name]) if kind in ("float", "double") else RULES[name]
 
 
 def splits(most: int = curves.FINEST) -> Column:
@@ -36,9 +81,9 @@ def splits(most: int = curves.FINEST) -> Column:
 def split(cells: DataFrame, most: int = curves.FINEST) -> DataFrame:
     """The eight children of each cell that is to be split; they inherit all other columns, and their flag is 0."""
     eight = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    out = cells.where(splits(most)).withColumn("__child", eight)
-    out = out.withColumns({c: curves.child(c, "__child", k) for k, c in enumerate("xyz")} | {"level": F.col("level") + 1, "flag": F.lit(0)})
-    return out.drop("__child")
+    out = cells.where(splits(most)).withColumn(CHILD, eight)
+    out = out.withColumns({c: curves.child(c, CHILD, k) for k, c in enumerate("xyz")} | {"level": F.col("level") + 1, "flag": F.lit(0)})
+    return out.drop(CHILD)
 
 
 def asks_to_merge(least: int = 1) -> Column:
@@ -53,20 +98,22 @@ def parents_of(cells: DataFrame) -> dict[str, str]:
 def merge(cells: DataFrame, fields: dict[str, str], least: int = 1) -> DataFrame:
     """The parents of complete groups of eight siblings that all ask for it. fields: column to rule; others: first sibling's."""
     kept = [c for c in cells.columns if c not in (*CELL, "state", "flag", *fields)]
-    up, n = parents_of(cells), unused("n_siblings", cells)
-    asked = cells.where(asks_to_merge(least)).withColumns({up[c]: curves.parent(c) for c in "xyz"} | {"__child": curves.child_number()})
+    up, n, types = parents_of(cells), unused("n_siblings", cells), dict(cells.dtypes)
+    asked = cells.where(asks_to_merge(least)).withColumns({up[c]: curves.parent(c) for c in "xyz"} | {CHILD: curves.child_number()})
     grouped = asked.groupBy("level", *up.values()).agg(
         F.count("*").alias(n),
-        F.min_by("state", "__child").alias("state"),
-        *[rule(r)(c).alias(c) for c, r in fields.items()],
-        *[F.min_by(c, "__child").alias(c) for c in kept],
+        F.min_by("state", CHILD).alias("state"),
+        *[rule(r, types[c])(c).alias(c) for c, r in fields.items()],
+        *[F.min_by(c, CHILD).alias(c) for c in kept],
     )
     whole = grouped.where(F.col(n) == 8).withColumn("level", F.col("level") - 1).withColumn("flag", F.lit(0))
     return whole.select(*[F.col(up[c]).alias(c) if c in "xyz" else F.col(c) for c in cells.columns])
 
 
-def adapt(cells: DataFrame, fields: dict[str, str], most: int = curves.FINEST, least: int = 1, balanced: bool = False) -> DataFrame:
-    """The mesh after one cycle: cells that neither split nor merge, children, and parents; flags are 0.
+def adapt(cells: DataFrame, fields: dict[str, str], most: int = curves.FINEST, least: int = 1, balanced: bool = False, counts: Observation | None = None) -> DataFrame:
+    """The mesh after one cycle: cells that neither split nor merge, children, and parents; flags are 0. With ``counts``, whatever
+    job first computes the mesh counts what became of it on the way: cells, split, merged (groups), raised and vetoed (cells;
+    see ``decided``) and, of each field of whole numbers, its sum as ``sum_`` and its name.
 
     With ``balanced``, flags are first changed until the mesh after the cycle has no face neighbours two levels apart (see
     ``decided``). A mesh that was out of balance before is split further, cycle after cycle, as far as its cells can split.
@@ -76,16 +123,37 @@ def adapt(cells: DataFrame, fields: dict[str, str], most: int = curves.FINEST, l
     """
     if balanced:
         for _ in range(most + 1):
-            cells, left = decided(cells, most, least)
-            out = cycle(cells, fields, most, least)
+            cells, left = decided(cells, most, least, marks=counts is not None)
+            out = cycle(cells, fields, most, least, counts)
             if not left or not cells.where(splits(most)).limit(1).count():
                 return out
-            cells = checkpointed(out)
+            cells, counts = checkpointed(out), Observation() if counts is not None else None  # the first cycle is the one that counts
         return cells
-    return cycle(cells, fields, most, least)
+    return cycle(cells, fields, most, least, counts)
+
+
+#: What ``decided`` tells of a cell: whether it was raised to split, and whether its group was vetoed.
+MARKS = ["raised__", "vetoed__"]
+
 
+def counted(adapted: DataFrame, fields: dict[str, str], counts: Observation) -> DataFrame:
+    """The adapted mesh, with ``made__`` and marks, under observation."""
+    eighths = lambda where: (F.count_if(where) / 8).cast("long")
+    sums = [F.sum(c).alias(f"sum_{c}") for c, t in adapted.dtypes if c in fields and t in ("int", "bigint", "smallint")]
+    child, parent = F.col("made__") == 1, F.col("made__") == -1
+    seen = [F.count("*").alias("cells"), eighths(child).alias("split"), F.count_if(parent).alias("merged"), eighths(child & F.col(MARKS[0])).alias("raised"), (eighths(child & F.col(MARKS[1])) + F.count_if((F.col("made__") == 0) & F.col(MARKS[1]))).alias("vetoed")]
+    return adapted.observe(counts, *seen, *sums)
 
-def cycle(cells: DataFrame, fields: dict[str, str], most: int, least: int) -> DataFrame:
+
+def cycle(cells: DataFrame, fields: dict[str, str], most: int, least: int, counts: Observation | None = None) -> DataFrame:
+    if counts is not None:
+        marks = {m: F.lit(False) for m in MARKS if m not in cells.columns}
+        out = cycled(cells.withColumns(marks | {"made__": F.lit(0)}), fields, most, least)
+        return counted(out, fields, counts).drop("made__", *MARKS)
+    return cycled(cells, fields, most, least)
+
+
+def cycled(cells: DataFrame, fields: dict[str, str], most: int, least: int) -> DataFrame:
     asks, up, n = asks_to_merge(least), parents_of(cells), unused("n_siblings", cells)
     parents = [curves.parent(c).alias(up[c]) for c in "xyz"]
     whole = cells.where(asks).groupBy("level", *parents).agg(F.count("*").alias(n)).where(F.col(n) == 8)
@@ -94,16 +162,23 @@ def cycle(cells: DataFrame, fields: dict[str, str], most: int, least: int) -> Da
     survivors = left.where(~(asks & F.col(n).isNotNull())).select(*cells.columns).withColumn("flag", F.lit(0))
     children = split(cells, most).select(*cells.columns)
     parents_ = merge(cells, fields, least)
+    if "made__" in cells.columns:
+        children, parents_ = children.withColumn("made__", F.lit(1)), parents_.withColumn("made__", F.lit(-1))
     types = {c: t for c, t in cells.dtypes}
-    same = lambda df: df.select(*[F.col(c).cast("double" if fields.get(c) == "arithmetic" else types[c]).alias(c) for c in cells.columns])
+    same = lambda df: df.select(*[F.col(c).cast("double" if fields.get(c) in DOUBLE else types[c]).alias(c) for c in cells.columns])
     return same(survivors).unionByName(same(children)).unionByName(same(parents_))
 
 
 def conserved(before: DataFrame, after: DataFrame, field: str, tolerance: float = 1e-6) -> DataFrame:
     """One row: a field's integral (value times volume, in finest cells) before and after, and whether they agree within the
-    relative tolerance."""
+    relative tolerance. Sums of floating-point numbers are the same on any partitioning."""
     volume = F.call_function("shiftleft", F.lit(1).cast("long"), 3 * (F.lit(curves.FINEST) - F.col("level")))
-    total = lambda df, name: df.agg(F.coalesce(F.sum(F.col(field) * volume), F.lit(0)).cast("double").alias(name))
+
+    def total(df: DataFrame, name: str) -> DataFrame:
+        if dict(df.dtypes)[field] in ("float", "double"):
+            return exact_sums(df, [], {name: F.col(field) * volume}).select(F.coalesce(name, F.lit(0.0)).alias(name))
+        return df.agg(F.coalesce(F.sum(F.col(field) * volume), F.lit(0)).cast("double").alias(name))
+
     both = total(before, "before").crossJoin(F.broadcast(total(after, "after")))  # one row each
     return both.withColumn("holds", F.abs(F.col("after") - F.col("before")) <= tolerance * F.greatest(F.abs("before"), F.lit(1.0)))
 
@@ -218,7 +293,7 @@ def held_back(state: DataFrame, pairs: DataFrame) -> DataFrame:
         every = checkpointed(every.unionByName(new))
 
 
-def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1) -> tuple[DataFrame, int]:
+def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1, marks: bool = False) -> tuple[DataFrame, int]:
     """Cells with the flags that keep the mesh balanced when they are followed: 1 for every cell that splits, -1 for the eight of
     every group that merges, else 0; and how many neighbours would still be two levels apart (none, if the mesh was balanced
     before).
@@ -238,7 +313,7 @@ def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1) -> tupl
     pairs = checkpointed(probed(state).where("n_level <= level").select(*CELL, *BESIDE).distinct())
     held = held_back(state, pairs).withColumn("held", F.lit(True))
     will = F.when(F.col("splits") & F.col("held").isNull(), F.col("level") + 1).when(F.col("merging"), F.col("level") - 1).otherwise(F.col("level"))
-    state = checkpointed(state.join(held, CELL, "left").select(*CELL, *PARENT, (F.col("can") & F.col("held").isNull()).alias("can"), "merging", will.alias("will"), F.lit(True).alias("changed")))
+    state = checkpointed(state.join(held, CELL, "left").select(*CELL, *PARENT, (F.col("can") & F.col("held").isNull()).alias("can"), "merging", F.col("merging").alias("asked"), will.alias("will"), F.lit(True).alias("changed")))
 
     for first in (True, *[False] * (4 * (most + 2))):
         ask = pairs
@@ -253,7 +328,7 @@ def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1) -> tupl
         raised = low.where("not merging and can and will = level").select(*CELL).withColumn("raised", F.lit(True))
         veto_, raised_ = F.coalesce("veto", F.lit(False)) & F.col("merging"), F.coalesce("raised", F.lit(False))
         now = state.join(raised, CELL, "left").join(veto, ["level", *PARENT], "left")
-        now = now.select(*CELL, *PARENT, "can", (F.col("merging") & ~veto_).alias("merging"), F.when(veto_, F.col("level")).when(raised_, F.col("level") + 1).otherwise(F.col("will")).alias("will"), (veto_ | raised_).alias("changed"))
+        now = now.select(*CELL, *PARENT, "can", (F.col("merging") & ~veto_).alias("merging"), "asked", F.when(veto_, F.col("level")).when(raised_, F.col("level") + 1).otherwise(F.col("will")).alias("will"), (veto_ | raised_).alias("changed"))
         state = checkpointed(now)
         if not state.where("changed").limit(1).count():
             break
@@ -262,8 +337,13 @@ def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1) -> tupl
     levels = state.select(*CELL, "will")
     left = pairs.join(levels, CELL).join(levels.toDF(*BESIDE, "n_will"), BESIDE).where("abs(will - n_will) > 1").count()
     flag = F.when(F.col("will_") > F.col("level"), 1).when(F.col("merging_"), -1).otherwise(0).cast(dict(base.dtypes)["flag"])
-    told = state.select(*CELL, F.col("will").alias("will_"), F.col("merging").alias("merging_"))
-    return base.join(told, CELL).withColumn("flag", flag).select(*base.columns), left
+    told = state.select(*CELL, F.col("will").alias("will_"), F.col("merging").alias("merging_"), "asked")
+    out = base.join(told, CELL)
+    if not marks:
+        return out.withColumn("flag", flag).select(*base.columns), left
+    raised = (F.col("will_") > F.col("level")) & (F.col("flag") <= 0)
+    marked = out.withColumns({MARKS[0]: raised, MARKS[1]: F.col("asked") & ~F.col("merging_")}).withColumn("flag", flag)
+    return marked.select(*base.columns, *MARKS), left
 
 
 def trilinear(cells: DataFrame, value: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import curves, schema
-from cellweave.operators import geometry, locate, mesh, partition, series
+from cellweave.operators import exact, geometry, locate, mesh, partition, series
 from cellweave.operators.session import checkpointed
 from cellweave.plans import tables
 from cellweave.plans.tables import CELLS, GRID, LEVEL, SHAPES
@@ -154,6 +154,15 @@ def merge_rules(spark, d):
     return got.select("x", "y", "z", F.round("mean", 6).alias("mean"), "least", "most", "first")
 
 
+mesh.define_rule("second_largest", lambda values: F.get(F.sort_array(values, asc=False), F.lit(1)))
+
+
+@query(with_cells("""select x // 2 as x, y // 2 as y, z // 2 as z, level - 1 as level, cast(list_sort(list(mass), 'DESC')[2] as bigint) as mass from cells where flag = -1 and state = 0 group by x // 2, y // 2, z // 2, level having count(*) = 8"""))
+def merge_own_rule(spark, d):
+    """A rule that this module defines: a function of the eight children's values."""
+    return mesh.merge(tables.cells(spark, d), {"mass": "second_largest", "n": "volume_weighted"}).select("x", "y", "z", "level", "mass")
+
+
 ADAPTED = f"""{MERGED}, adapted as (
   select x, y, z, level, state, 0 as flag, mass, n from cells c where not (flag > 0 and state = 0 and level < 8)
     and not (flag = -1 and state = 0 and exists (select 1 from merged m where m.x = c.x // 2 and m.y = c.y // 2 and m.z = c.z // 2))
@@ -171,6 +180,24 @@ def adapt_levels(spark, d):
     return mesh.adapt(tables.cells(spark, d), FIELDS).groupBy("level").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
 
 
+@query(f"""with {CELLS}, {ADAPTED} select count(*) as cells, (select count(*) from cells where flag > 0 and state = 0 and level < 8) as split, (select count(*) from merged) as merged,
+  0::bigint as raised, 0::bigint as vetoed, cast(sum(mass) as bigint) as sum_mass, cast(sum(n) as bigint) as sum_n from adapted""")
+def adapt_counts(spark, d):
+    """What a cycle did, counted by the job that writes the mesh."""
+    counts = Observation()
+    mesh.adapt(tables.cells(spark, d), FIELDS, counts=counts).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([counts.get], "cells long, split long, merged long, raised long, vetoed long, sum_mass long, sum_n long")
+
+
+@query("""select l_returnflag as flag, l_linenumber as line, round(fsum(l_extendedprice * (1 - l_discount)), 2) as price, round(fsum(l_quantity / 3.0), 4) as third from lineitem group by 1, 2""")
+def exact_totals(spark, d):
+    """Sums of floating-point numbers that no partitioning changes."""
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    rows = tables.read(spark, d, "lineitem").withColumnsRenamed({"l_returnflag": "flag", "l_linenumber": "line"})
+    got = exact.exact_sums(rows, ["flag", "line"], {"price": price, "third": F.col("l_quantity") / 3})
+    return got.select("flag", "line", F.round("price", 2).alias("price"), F.round("third", 4).alias("third"))
+
+
 @query(f"with {CELLS}, {ADAPTED} select (select cast(sum(1 << (3 * (8 - level))) as bigint) from cells) as before, (select cast(sum(1 << (3 * (8 - level))) as bigint) from adapted) as after")
 def adapt_volume(spark, d):
     cells = tables.cells(spark, d)
