@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.curves import col
+from cellweave.functions.curves import FINEST, col
 
 
 def contains(point: dict[str, Column], low: dict[str, Column], high: dict[str, Column], pad: float = 0.0) -> Column:
@@ -82,6 +82,68 @@ def voxels(shapes: DataFrame, size: float = 1.0, domain: tuple[float, float] | N
     return hit.groupBy(*[F.col(n).cast("int").alias(c) for c, n in zip("xyz", "ijk", strict=True)]).agg(F.max("material_id").alias("material_id"))
 
 
+def reach(low: dict[str, Column], high: dict[str, Column], radius="radius", height="height", width="width", length="length", kind="kind") -> tuple[Column, Column]:
+    """Whether a primitive holds all points, and whether it holds none, of a box in local coordinates. The tests are those of
+    ``inside`` at the farthest and the nearest place of the box along each axis; as they only grow, no rounding differs."""
+    far = {c: F.greatest(F.abs(low[c]), F.abs(high[c])) for c in "xyz"}
+    near = {c: F.when((low[c] <= 0) & (high[c] >= 0), F.lit(0.0)).otherwise(F.least(F.abs(low[c]), F.abs(high[c]))) for c in "xyz"}
+    sizes = (kind, radius, height, width, length)
+    return inside(far, *sizes), ~inside(near, *sizes)
+
+
+def descended(shapes: DataFrame, size: float = 1.0, domain: tuple[float, float] | None = None, coarsest: int = 4) -> DataFrame:
+    """Valid shapes with the cells whose centres they hold, in as few cells as there are: i, j, k and ``up``, the levels above the
+    grid's own. Coarse cells are taken whole, left out, or cut into eight, down to the grid; so a shape of any size makes rows
+    by its surface and not by its volume. Each step is a projection; no row is compared with another."""
+    names, half = dict(zip("xyz", "ijk", strict=True)), extent()
+    out = shapes.where(valid())
+    for c, n in names.items():
+        low, high = F.col(f"t{c}") - half[c], F.col(f"t{c}") + half[c]
+        if domain:
+            low, high = F.greatest(low, F.lit(domain[0])), F.least(high, F.lit(domain[1]))
+        first, last = F.floor(low / size), F.ceil(high / size) - 1
+        ends = out.withColumns({f"{n}_first": first, f"{n}_last": last})
+        steps = F.when(last >= first, F.sequence(F.shiftright(first, coarsest), F.shiftright(last, coarsest))).otherwise(F.array().cast("array<bigint>"))
+        out = ends.withColumn(n, F.explode(steps))
+    out = out.withColumns({"up": F.lit(coarsest), "done": F.lit(False)})
+    for up in range(coarsest, -1, -1):
+        begin = {n: F.shiftleft(F.col(n), up) for n in names.values()}
+        end = {n: begin[n] + ((1 << up) - 1) for n in names.values()}
+        at = lambda e: to_local({c: (e[n] + 0.5) * size for c, n in names.items()}, {c: F.col(f"t{c}") for c in "xyz"})
+        every, none = reach(at(begin), at(end))
+        clear, apart = F.lit(True), F.lit(False)
+        for n in names.values():
+            clear &= (begin[n] >= F.col(f"{n}_first")) & (end[n] <= F.col(f"{n}_last"))
+            apart |= (end[n] < F.col(f"{n}_first")) | (begin[n] > F.col(f"{n}_last"))
+        out = out.where(F.col("done") | ~(none | apart)).withColumn("done", F.col("done") | (every & clear))
+        if up:
+            own = [F.col(n).alias(n) for n in names.values()]
+            stays = F.array(F.struct(*own, F.col("up").alias("up")))
+            child = lambda o: F.struct(*[(F.shiftleft(F.col(n), 1) + F.shiftright(o, k).bitwiseAND(F.lit(1))).alias(n) for k, n in enumerate(names.values())], F.lit(up - 1).alias("up"))  # noqa: B023, E731
+            eight = F.transform(F.sequence(F.lit(0), F.lit(7)), child)
+            cells = out.withColumn("cell", F.explode(F.when(F.col("done"), stays).otherwise(eight)))
+            out = cells.withColumns({n: F.col("cell")[n] for n in (*names.values(), "up")}).drop("cell")
+    drop = ["done", *[f"{n}_{e}" for n in names.values() for e in ("first", "last")]]
+    return out.where("done").drop(*drop)
+
+
+def placed(shapes: DataFrame, size: float = 1.0, domain: tuple[float, float] | None = None, level: int = FINEST, coarsest: int = 4) -> DataFrame:
+    """Shapes as cells of mixed levels: distinct (x, y, z, level) with the largest material number; the grid is of ``level``. Cells of
+    shapes that overlap may lie within each other: the material of a place is the largest of the cells that hold it."""
+    got = descended(shapes, size, domain, min(coarsest, level))
+    cell = [F.col(n).cast("int").alias(c) for c, n in zip("xyz", "ijk", strict=True)]
+    return got.groupBy(*cell, (F.lit(level) - F.col("up")).alias("level")).agg(F.max("material_id").alias("material_id"))
+
+
+def finest(cells: DataFrame, level: int = FINEST) -> DataFrame:
+    """The grid cells of ``placed`` cells, with the largest material number."""
+    out = cells.withColumn("up", level - F.col("level"))
+    for c in "xyz":
+        first = F.call_function("shiftleft", F.col(c), F.col("up"))
+        out = out.withColumn(c, F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1), F.col("up")) - 1)))
+    return out.groupBy("x", "y", "z").agg(F.max("material_id").alias("material_id"))
+
+
 # --- triangle meshes ---
 
 

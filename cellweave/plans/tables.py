@@ -35,6 +35,31 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A grid that follows the data: the least power of two, from 32 on, whose cube is four times the number of line items.
+SIDES = [32 << k for k in range(12)]
+WIDE = f"""side as (select coalesce(min(s), {SIDES[-1]}) as s from (values {", ".join(f"({s}::bigint)" for s in SIDES)}) v(s) where s * s * s >= 4 * (select count(*) from lineitem)),
+  cells as materialized (
+  select x, y, z, {LEVEL} as level, case when ml = 7 then 1 else 0 end as state,
+    case when (x // 2 + y // 2 + z // 2) % 3 = 0 then -1 when (x // 2 + y // 2 + z // 2) % 3 = 1 and n >= 2 then 1 else 0 end as flag, mass, n
+  from (select cast(l_partkey * 7919 % s as integer) as x, cast((l_suppkey * 104729 + l_linenumber) % s as integer) as y, cast(l_orderkey * 31 % s as integer) as z,
+          min(l_linenumber) as ml, cast(sum(l_quantity) as bigint) as mass, count(*) as n from lineitem, side group by 1, 2, 3))"""
+
+
+def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as cells of a grid whose side grows with their number: the count of cells follows the table."""
+    lines = read(spark, sf_dir, "lineitem")
+    least = 4 * lines.count()
+    side = next((s for s in SIDES if s**3 >= least), SIDES[-1])
+    x, y, z = F.col("l_partkey") * 7919 % side, (F.col("l_suppkey") * 104729 + F.col("l_linenumber")) % side, F.col("l_orderkey") * 31 % side
+    grouped = lines.groupBy(x.cast("int").alias("x"), y.cast("int").alias("y"), z.cast("int").alias("z"))
+    got = grouped.agg(F.min("l_linenumber").alias("ml"), F.sum("l_quantity").cast("long").alias("mass"), F.count("*").alias("n"))
+    turn = (F.shiftright("x", 1) + F.shiftright("y", 1) + F.shiftright("z", 1)) % 3
+    return got.select(
+        "x", "y", "z", F.lit(LEVEL).alias("level"), F.when(F.col("ml") == 7, 1).otherwise(0).alias("state"),
+        F.when(turn == 0, -1).when((turn == 1) & (F.col("n") >= 2), 1).otherwise(0).alias("flag"), "mass", "n",
+    )
+
+
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
     kind = F.when(size % 3 == 0, "sphere").when(size % 3 == 1, "box").otherwise("cylinder")

@@ -9,9 +9,9 @@ import sys
 import duckdb
 import pytest
 
-from cellweave.plans import catalog, exchange, stored
+from cellweave.plans import catalog, exchange, stored, wide
 
-assert exchange and stored  # their queries register in the catalog
+assert exchange and stored and wide  # their queries register in the catalog
 DATA = "/root/testdata/sf0.001"
 
 
