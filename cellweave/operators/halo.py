@@ -6,10 +6,13 @@ A cell's ghost is the place of its own size beyond a face. It is another rank's
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import curves
+from cellweave.functions.schema import Fields
 from cellweave.operators import mesh
 
 GHOST = ["gx", "gy", "gz", "level"]
@@ -17,10 +20,11 @@ GHOST = ["gx", "gy", "gz", "level"]
 WEIGHT = 0.125
 
 
-def ghosts(cells: DataFrame, rank: str) -> DataFrame:
-    """(to_rank, gx, gy, gz, level): the distinct places beyond the faces of each rank's cells."""
-    step = F.explode(F.array(*[F.struct(*[F.lit(side if a == axis else 0).alias(f"d{c}") for a, c in enumerate("xyz")]) for axis, side in mesh.FACES]))
-    each = cells.select(F.col(rank).alias("to_rank"), *mesh.CELL, step.alias("f"))
+def ghosts(cells: DataFrame, rank: str, depth: int = 1) -> DataFrame:
+    """(to_rank, gx, gy, gz, level): the distinct places beyond the faces of each rank's cells, up to ``depth`` cells of their own
+    size away."""
+    steps = [F.struct(*[F.lit(side * k if a == axis else 0).alias(f"d{c}") for a, c in enumerate("xyz")]) for k in range(1, depth + 1) for axis, side in mesh.FACES]
+    each = cells.select(F.col(rank).alias("to_rank"), *mesh.CELL, F.explode(F.array(*steps)).alias("f"))
     return each.select("to_rank", *[(F.col(c) + F.col(f"f.d{c}")).alias(f"g{c}") for c in "xyz"], "level").distinct()
 
 
@@ -32,10 +36,10 @@ def blocks(cells: DataFrame, field: str) -> DataFrame:
     return sums.agg((F.sum("v") * WEIGHT).alias("value"))
 
 
-def exchanged(cells: DataFrame, rank: str, field: str) -> DataFrame:
+def exchanged(cells: DataFrame, rank: str, field: str, depth: int = 1) -> DataFrame:
     """(to_rank, gx, gy, gz, level, kind, from_rank, value) of every ghost that another rank's cells fill. Three equi-joins, on
-    the place itself, its parent's place, and as its children's parent."""
-    wanted = ghosts(cells, rank)
+    the place itself, its parent's place, and as its children's parent. ``cells`` is read several times: give a stored table."""
+    wanted = ghosts(cells, rank, depth)
     at = [F.col(c).alias(f"g{c}") for c in "xyz"]
     same = cells.select(*at, "level", F.col(rank).alias("from_rank"), F.col(field).cast("double").alias("value"))
     copied = wanted.join(same, GHOST).withColumn("kind", F.lit("copy"))
@@ -53,6 +57,16 @@ def exchanged(cells: DataFrame, rank: str, field: str) -> DataFrame:
     return copied.select(columns).unionByName(interpolated.select(columns)).unionByName(averaged.select(columns)).where("to_rank <> from_rank")
 
 
+def exchanged_fields(cells: DataFrame, rank: str, fields: Fields) -> DataFrame:
+    """The same for all declared fields of one component, each to the depth that its declaration asks for (none: not at all), with
+    the field's name in front."""
+    asked = [f for f in fields.own.values() if f.halo and f.components == 1]
+    parts = [exchanged(cells, rank, f.name, f.halo).select(F.lit(f.name).alias("field"), "*") for f in asked]
+    if not parts:
+        raise ValueError("no declared field of one component has a halo")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def joined_back(cells: DataFrame, rows: DataFrame, rank: str) -> DataFrame:
     """Cells with ``halo``: the values that arrived for each of their faces, as a map from the face's number."""
     face = F.explode(F.array(*[F.struct(F.lit(i).alias("face"), *[F.lit(side if a == axis else 0).alias(f"d{c}") for a, c in enumerate("xyz")]) for i, (axis, side) in enumerate(mesh.FACES)]))

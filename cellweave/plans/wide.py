@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellweave.functions import curves
-from cellweave.operators import geometry, mesh, partition
+from cellweave.functions import curves, schema
+from cellweave.operators import geometry, halo, mesh, partition
 from cellweave.operators.partition_bounds import weight_splits
 from cellweave.operators.session import checkpointed
-from cellweave.plans import catalog, tables
-from cellweave.plans.catalog import ADAPTED, FACE_SQL, FIELDS, cycle_sql, morton_sql, query
+from cellweave.plans import catalog, exchange, tables
+from cellweave.plans.catalog import ADAPTED, CELLS, FACE_SQL, FIELDS, cycle_sql, morton_sql, query
 from cellweave.plans.tables import WIDE
+from cellweave.sources import clustered
 
 BITS = 17
 KEY = morton_sql(bits=BITS)
@@ -76,3 +77,24 @@ def shape_volumes(spark, d):
     """The voxels of each shape, added up over its cells of all levels."""
     cells = geometry.descended(tables.shapes(spark, d), domain=(-10.0, 90.0))
     return cells.groupBy("id").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), 3 * F.col("up"))).alias("voxels"))
+
+
+DEEP = f"""{exchange.OWNED}, {exchange.GHOSTS.replace("x + dx as gx, y + dy as gy, z + dz as gz", "x + k * dx as gx, y + k * dy as gy, z + k * dz as gz").replace(FACE_SQL, FACE_SQL + ", (values (1), (2)) depth(k)")}"""
+
+
+@query(f"with {CELLS}, {ADAPTED}, {exchange.HALO.replace(f'{exchange.OWNED}, {exchange.GHOSTS}', DEEP)} select to_rank, gx, gy, gz, level, kind, from_rank, round(value, 6) as value from halo")
+def halo_deep(spark, d):
+    """The halo of a field that is declared two cells deep."""
+    fields = schema.Fields()
+    fields.add(schema.Field("mass", "long", halo=2, rule="volume_weighted"))
+    fields.add(schema.Field("n", "long", rule="volume_weighted"))
+    cells = checkpointed(exchange.owned(spark, d))
+    return halo.exchanged_fields(cells, "rank", fields).drop("field").withColumn("value", F.round("value", 6))
+
+
+@query(f"with {WIDE}, k as (select *, {morton_sql('(x << 3)', '(y << 3)', '(z << 3)', bits=20)} as curve_key from cells) select * from k where curve_key >= {8**6} and curve_key < {8**7}")
+def clustered_range(spark, d):
+    """A range of keys of a mesh that is stored in curve order: only the files that hold it are read."""
+    folder = exchange.fresh(spark, "clustered")
+    clustered.write_clustered(tables.wide_cells(spark, d), folder, 32)
+    return clustered.read_clustered(spark, folder, 8**6, 8**7)
