@@ -35,7 +35,7 @@ from cellweave.llm import common
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Rows of a block, at most; bytes of its numbers, at most; rows of a leaf, at least.
-ROWS, BYTES, LEAF = 4096, 1 << 21, 16
+ROWS, BYTES, LEAF = 4096, 1 << 21, 64
 
 
 # --- trees ---
@@ -146,13 +146,18 @@ class Search:
         return whole, single
 
     def leaves(self, rows: Tree, q: np.ndarray, e: np.ndarray) -> list:
-        """Each row of a leaf with the nearest of its leaf's entries; of equal ones that of the lowest index."""
+        """Each row of a leaf with the nearest of its leaf's entries; of equal ones that of the lowest index. What all distances
+        of a row share is left out. Whole numbers below 2**53 are exact as floating-point numbers, too, in any order of
+        additions, and are multiplied faster; larger ones stay integers."""
         out, edges = [], rows.edges[rows.depth]
         begin = groups(q)[0]
+        reach = max((int(np.abs(y).max()) for y in (self.entries, rows.low[0], rows.high[0]) if y.size), default=0)
+        kind = np.float64 if 3 * rows.x.shape[1] * reach**2 < 2**53 else np.int64
+        x, entries, squares = rows.x.astype(kind), -2 * self.entries.astype(kind), self.squares.astype(kind)
         for a, b in zip(begin, np.r_[begin[1:], len(q)], strict=True):
             first, last = edges[q[a]], edges[q[a] + 1]
             asked = np.sort(e[a:b])
-            distance = ((rows.x[first:last, None] - self.entries[asked][None]) ** 2).sum(axis=2)
+            distance = squares[asked] + x[first:last] @ entries[asked].T
             out.append((np.arange(first, last), asked[distance.argmin(axis=1)]))
         return out
 
