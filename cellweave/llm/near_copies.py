@@ -306,6 +306,11 @@ def nodes_of(docs: DataFrame, node: str) -> DataFrame:
 
 def representatives(docs: DataFrame, limit: int = LIMIT, wider: int = WIDER) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near copies."""
+    with common.frugal(docs.sparkSession):  # the questions asked on the way shuffle, too
+        return kept_rows(docs, limit, wider)
+
+
+def kept_rows(docs: DataFrame, limit: int, wider: int) -> DataFrame:
     rows = common.materialised(sketched(docs), "simhash")
     regular = rows.where("doc_id is null").isEmpty() and rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     firsts = [F.first(c).alias(c) for c in ("fp", "v1", "v2", "size", *PARITY, "prefix", "counts")]

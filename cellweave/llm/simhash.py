@@ -36,6 +36,8 @@ CAPITALS = {c: c + 32 for c in range(65, 91)}
 SAMPLE = 2000
 #: Rows of a bucket that are searched at once; larger buckets are split.
 MOST = 20_000
+#: Links of a partition of ``components``, at least.
+LINKS = 50_000
 #: The cost of a probe row against that of a candidate.
 PROBE_COST = 200.0
 U64 = np.uint64
@@ -275,20 +277,22 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     changes, between tying each node's larger neighbours and its smaller neighbours to the smallest one it knows."""
     spark = edges.sparkSession
     common.shared_folder(spark)
-    now = edges.select("a", "b").where("a <> b").distinct().checkpoint()
-    mark = None
-    for _ in range(most):
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
-        now = small.checkpoint()
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if new == mark:
-            return now.select(F.col("b").alias("id"), F.col("a").alias("component")).distinct()
-        mark = new
+    with common.frugal(spark):
+        now = edges.select("a", "b").where("a <> b").distinct().checkpoint()
+        mark = None
+        for _ in range(most):
+            both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+            large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+            down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+            low = down.groupBy("u").agg(F.min("v").alias("m"))
+            small = down.join(low, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
+            # few links are held in few files, however many partitions a shuffle has
+            now = (small.coalesce(max(1, -(-mark["n"] // LINKS))) if mark else small).checkpoint()
+            new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+            if new == mark:
+                return now.select(F.col("b").alias("id"), F.col("a").alias("component")).distinct()
+            mark = new
     raise RuntimeError("components did not settle")
 
 
