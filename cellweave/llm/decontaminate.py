@@ -15,7 +15,8 @@ Few windows are hashed: every mask keeps neighbours, and a window goes on only i
 keeps are pairs of some item, and few are joined: its key must be one of an item. Both are told by filters of bits
 (literals of at most 2 MB each; false hits cost time, and nothing is lost).
 The items' keys are broadcast only when there are at most ``BROADCAST_KEYS`` of them, 24 bytes each; beyond it the join
-shuffles. The items' words are joined to hits alone.
+shuffles. The items' words are joined to hits alone. A document's hits are verified in groups of neighbouring alignments
+and some of the items, so that a text that repeats itself, or holds many items, is no single large row.
 
 Defined cases: a null text is the empty text, which is clean; a null ``doc_id`` is kept; repeated rows are judged alike;
 empty tables give no hits; a text of any length is one row of word hashes; overlaps with several items count once an
@@ -40,6 +41,8 @@ MASKS = ((4, 5, 6, 7, 8), (1, 2, 6, 7, 8), (0, 1, 3, 4, 8), (0, 2, 3, 5, 6))
 BROADCAST_KEYS = 1_000_000
 #: The filter's size in bits, as powers of two: the least, and the most.
 LEAST_BITS, MOST_BITS = 12, 24
+#: Hits are verified in groups: of a document those of so many alignments in a row, with one of so many groups of items.
+STRETCH, GROUPS = 1024, 16
 
 
 def words(text: str = "text") -> Column:
@@ -151,10 +154,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seen = held.select("k1", "k2", F.explode("windows").alias("x")).select("k1", "k2", F.col("x.at").alias("p"), F.col("x.key").alias("key"))
     hits = seen.join(F.broadcast(tests) if tests.count() <= BROADCAST_KEYS else tests, "key")
     hits = hits.select("k1", "k2", "item", (F.col("p") - F.col("q")).alias("diagonal")).distinct()
-    known = hits.join(items.withColumnRenamed("h", "b"), "item").groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "diagonal", "b")).alias("hits"))
-    good = F.filter("hits", lambda x: verified("h", x))
-    counted = F.size(F.array_distinct(F.transform(good, lambda x: x["item"])))
-    return held.select("k1", "k2", "h").join(known, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first(counted).alias("n")).where("n > 0")
+    dealt = [F.floor(F.col("diagonal") / STRETCH).alias("stretch"), F.pmod("item", F.lit(GROUPS)).alias("g")]
+    known = hits.join(items.withColumnRenamed("h", "b"), "item").groupBy("k1", "k2", *dealt).agg(F.collect_list(F.struct("item", "diagonal", "b")).alias("hits"))
+    good = F.transform(F.filter("hits", lambda x: verified("h", x)), lambda x: x["item"])
+    each = held.select("k1", "k2", "h").join(known, ["k1", "k2"]).select("k1", "k2", F.explode(F.array_distinct(good)).alias("item"))
+    return each.distinct().groupBy("k1", "k2").agg(F.count("*").cast("int").alias("n"))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, count: str = "__n") -> DataFrame:

@@ -35,3 +35,17 @@ def test_masks_leave_nothing_that_is_accepted():
     for n, most in [(dc.SPAN, 1), *((n, 2) for n in range(dc.SPAN + 1, dc.NEED + 1))]:
         for gone in itertools.combinations(range(n), most):
             assert any(not {s + x for x in m} & set(gone) for s in range(n - dc.SPAN + 1) for m in dc.MASKS)
+
+
+def test_texts_with_many_alignments_and_items(spark, monkeypatch):
+    monkeypatch.setattr(dc, "STRETCH", 7)
+    monkeypatch.setattr(dc, "GROUPS", 3)
+    rng = random.Random(6)
+    items = [[f"i{k}w{j % 3}" for j in range(rng.randint(9, 20))] for k in range(30)]  # they repeat themselves
+    items += [[f"j{k}w{j}" for j in range(rng.randint(5, 20))] for k in range(30)]
+    whole = [w for item in items for w in [*item, "between"]]
+    docs = [whole, whole, items[3] * 40, ["x"] * 50, items[40][:4], []]
+    table = spark.createDataFrame([(i % 5, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = sorted((r["doc_id"], len(r["text"]), r["__n"]) for r in dc.judged(table, tests).collect())
+    assert got == sorted((i % 5, len(" ".join(w)), sum(accepted(w, b) for b in items)) for i, w in enumerate(docs))
