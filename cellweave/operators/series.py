@@ -15,7 +15,9 @@ def dealt(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Rows dealt by range of key and order, with the number of their part as a column (``part_of``): a key of any size, null
     too, spreads over many parts."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpointed(df.repartitionByRange(n, *by, *order).withColumn(unused(PART, df), F.spark_partition_id()))
+    taken = [c for c in df.columns if c.rstrip("_").lower() == PART]
+    part = max(taken, key=len) + "_" if taken else PART
+    return checkpointed(df.repartitionByRange(n, *by, *order).withColumn(part, F.spark_partition_id()))
 
 
 def part_of(rows: DataFrame) -> str:

@@ -10,14 +10,15 @@ from cellweave.functions import schema
 from cellweave.operators import partition, series
 
 
-def test_null_is_a_key_like_any_other(spark):
+@pytest.mark.parametrize("other", ["range_part", "range_part__", "Range_Part_"])
+def test_null_is_a_key_like_any_other(spark, other):
     points = [(k, float(t), i) for i, (k, t) in enumerate([(k, t) for k in ("a", None) for t in range(0, 300, 3)])]
     known = [(k, float(t), t * 2.0) for k in ("a", None) for t in range(0, 300, 30)]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     for n in ("1", "8"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         try:
-            a = spark.createDataFrame(points, "key string, t double, range_part long")
+            a = spark.createDataFrame(points, f"key string, t double, {other} long")
             b = spark.createDataFrame(known, "key string, t double, v double")
             got = series.bracketed(a, b, ["key"], "t", "v").collect()
             assert len(got) == 200 and all(r["value"] == pytest.approx(min(r["t"], 270) * 2) for r in got)
