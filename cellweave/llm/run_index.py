@@ -9,7 +9,7 @@ with the same anchor form a fragment; fragments are what travels.
 
 1. Fragments that equal an earlier one of the same batch of documents, or of the corpus, are repeats as a whole: each
    different fragment goes on once (two 64-bit hashes tell them apart), whatever the count of its copies.
-2. Anchors with one fragment are done (unless it holds its anchor again). The others' fragments, with their bytes, form texts of bounded size, in order of
+2. Anchors with one fragment are done (unless it holds its anchor again, however short it is). The others' fragments, with their bytes, form texts of bounded size, in order of
    anchor and document. Of each text the index keeps only the runs of its transform: for the first suffix of each run
    where it starts (a sampled run end), its predecessor in suffix order, and how long the two agree. From these samples
    the matching statistics of all positions stream out: a position's longest match with its neighbour in suffix order is
@@ -78,8 +78,20 @@ def least_over(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(step[: len(step) - rest], step[rest:]) if rest else step
 
 
+def loops(seed: np.ndarray, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which fragments, of the windows from begin to end, hold their anchor at two places: those alone can hold a window twice.
+    A place is an anchor's if some window over it has no less hash; of a text that repeats itself, such places follow each other."""
+    width = LENGTH - SEED + 1
+    most = ~least_over(~np.concatenate([np.zeros(width - 1, np.uint64), anchor, np.zeros(width - 1, np.uint64)]), width)
+    at = np.flatnonzero(seed == most)
+    twice = np.concatenate([[0], np.cumsum(seed[at[1:]] == seed[at[:-1]])])
+    first, last = np.searchsorted(at, begin), np.searchsorted(at, end + width - 1) - 1
+    return twice[last] > twice[first]
+
+
 def fragments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the texts data[offsets[i]:offsets[i + 1]]: (document, start in it, windows, anchor, content hash, 64-byte hashes)."""
+    """Of the texts data[offsets[i]:offsets[i + 1]]: (document, start in it, windows, anchor, content hash, whether the anchor
+    comes again in it)."""
     seed, h64 = hashed(data)
     anchor = least_over(seed, LENGTH - SEED + 1)
     n = len(anchor)
@@ -96,7 +108,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     content = mixed(h64[begin] * FACTORS[7] + h64[begin + (size - 64) // 2] * FACTORS[8] + (h64[begin + size - 64] ^ FACTORS[10]) * FACTORS[9] + size.astype(U64))
     for i in np.flatnonzero(size > 192):  # three strings of 64 bytes do not cover these
         content[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : begin[i] + size[i]].tobytes(), digest_size=8).digest(), "big")
-    return doc[begin], begin - offsets[doc[begin]], windows, anchor[begin], content, h64
+    return doc[begin], begin - offsets[doc[begin]], windows, anchor[begin], content, loops(seed, anchor, begin, end)
 
 
 def blocks(batches, *columns, most: int = BLOCK):
@@ -154,7 +166,8 @@ class Familiar:
         return both[:, np.append(True, both[1][1:] != both[1][:-1])] if both.shape[1] else both
 
 
-FRAGMENT = "own boolean, anchor long, content long, ord long, start int, windows int"
+FRAGMENT = "own boolean, anchor long, content long, ord long, start int, windows int, loops boolean"
+FRAGMENT_COLUMNS = ["own", "anchor", "content", "ord", "start", "windows", "loops"]
 
 
 def fragment_rows(docs: DataFrame) -> DataFrame:
@@ -168,14 +181,14 @@ def fragment_rows(docs: DataFrame) -> DataFrame:
             data = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
             if len(data) < LENGTH:
                 continue
-            doc, start, windows, anchor, content, _ = fragments(data, offsets)
+            doc, start, windows, anchor, content, again = fragments(data, offsets)
             o = order[doc]
             own = first_of_kind(anchor, content, o, start)
             first = np.flatnonzero(own)
             own[first[familiar.known(anchor[first], content[first], o[first], start[first])]] = False
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(o), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))],
-                names=["own", "anchor", "content", "ord", "start", "windows"],
+                [pa.array(own), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(o), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(again)],
+                names=FRAGMENT_COLUMNS,
             )
 
     return docs.select("ord", "text").mapInArrow(run, FRAGMENT)
@@ -192,7 +205,7 @@ def sifted(rows: DataFrame) -> DataFrame:
         last = None  # (anchor, content) of the row before, and the first row of its anchor while that has one kind
         waiting = None
         for batch in batches:
-            own, anchor, content, order, start, windows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            own, anchor, content, order, start, windows, loops_ = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
             marks = [(order[~own], start[~own], windows[~own], anchor[~own], np.zeros((~own).sum(), bool))]
             keep = np.flatnonzero(own)
             if len(keep):
@@ -219,7 +232,7 @@ def sifted(rows: DataFrame) -> DataFrame:
                     first_open = same_a[0]  # the group that goes on has several kinds already, or its first row was passed on
                 if first_open:
                     several[0] = True
-                long_ = windows[keep] > LENGTH - SEED + 1  # its anchor comes again in it, and so may its windows
+                long_ = loops_[keep]  # its anchor comes again in it, and so may its windows
                 opened = kind & (several[group] | long_)
                 marks.append((order[keep][opened], start[keep][opened], windows[keep][opened], a[opened], np.ones(opened.sum(), bool)))
                 end = group == group[-1]
@@ -420,7 +433,7 @@ def longer(pieces: DataFrame) -> DataFrame:
             new[1:] = own[1:] | own[:-1] | (order[1:] != order[:-1]) | (start[:-1] + count[:-1] != start[1:])
             begin = np.flatnonzero(new)
             own, key, content, order, start, count = own[begin], key[begin], content[begin], order[begin], start[begin], np.add.reduceat(count, begin).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key), pa.array(content), pa.array(order), pa.array(start), pa.array(count)], names=["own", "anchor", "content", "ord", "start", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key), pa.array(content), pa.array(order), pa.array(start), pa.array(count), pa.array(np.zeros(len(own), bool))], names=FRAGMENT_COLUMNS)
 
     return pieces.select("anchor", "ord", "start", "body").mapInArrow(run, FRAGMENT)
 

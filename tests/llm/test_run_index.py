@@ -112,3 +112,13 @@ def test_familiar_kinds_have_an_earlier_row(monkeypatch, most):
             least[k] = min(least.get(k, (o, s)), (o, s))
         sent += not again[-1]
     assert sent == 1 or most < 20
+
+
+@pytest.mark.parametrize("period", [1, 7, 30, 60, 68])
+def test_windows_that_come_again_in_a_short_fragment(spark, period):
+    """A text of its own that repeats itself over fewer windows than an anchor has places."""
+    rng = random.Random(period)
+    said = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = [(i, said(i % 3 * 60) + (said(period) * 200)[: 101 + period + i] + said(i % 2 * 80)) for i in range(20)]
+    assert sum(r[2] > 0 for r in brute(rows)) == 20
+    assert result(spark, rows) == sorted(brute(rows), key=str)
