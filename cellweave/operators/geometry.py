@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from cellweave.functions.curves import FINEST, col
 
@@ -82,55 +87,106 @@ def voxels(shapes: DataFrame, size: float = 1.0, domain: tuple[float, float] | N
     return hit.groupBy(*[F.col(n).cast("int").alias(c) for c, n in zip("xyz", "ijk", strict=True)]).agg(F.max("material_id").alias("material_id"))
 
 
-def reach(low: dict[str, Column], high: dict[str, Column], radius="radius", height="height", width="width", length="length", kind="kind") -> tuple[Column, Column]:
-    """Whether a primitive holds all points, and whether it holds none, of a box in local coordinates. The tests are those of
-    ``inside`` at the farthest and the nearest place of the box along each axis; as they only grow, no rounding differs."""
-    far = {c: F.greatest(F.abs(low[c]), F.abs(high[c])) for c in "xyz"}
-    near = {c: F.when((low[c] <= 0) & (high[c] >= 0), F.lit(0.0)).otherwise(F.least(F.abs(low[c]), F.abs(high[c]))) for c in "xyz"}
-    sizes = (kind, radius, height, width, length)
-    return inside(far, *sizes), ~inside(near, *sizes)
+#: Cells of a shape that a task looks at together.
+CELLS = 1 << 17
+AXES = dict(zip("xyz", "ijk", strict=True))
+
+
+def covered(shape: dict[str, np.ndarray], ends: tuple[np.ndarray, np.ndarray], size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether shapes hold the centres of all grid cells from one to another along each axis, and whether they hold none. The tests
+    are those of ``inside`` at the farthest and the nearest of these places along each axis; as they only grow, no rounding differs."""
+    low, high = (((e + 0.5) * size - shape["t"]) / shape["scale"] for e in ends)
+    below, above = np.abs(low), np.abs(high)
+    far, near = np.maximum(below, above), np.where((low <= 0) & (high >= 0), 0.0, np.minimum(below, above))
+
+    def held(at: np.ndarray) -> np.ndarray:
+        x, y, z = at
+        r, h, w, ln = (shape[c] for c in ("radius", "height", "width", "length"))
+        sphere, upright = x * x + y * y + z * z <= r * r, y <= h / 2
+        box, cylinder = (x <= w / 2) & upright & (z <= ln / 2), (x * x + z * z <= r * r) & upright
+        return np.select([shape["kind"] == "sphere", shape["kind"] == "box", shape["kind"] == "cylinder"], [sphere, box, cylinder], False)
 
+    return held(far), ~held(near)
 
-def descended(shapes: DataFrame, size: float = 1.0, domain: tuple[float, float] | None = None, coarsest: int = 4) -> DataFrame:
-    """Valid shapes with the cells whose centres they hold, in as few cells as there are: i, j, k and ``up``, the levels above the
-    grid's own. Coarse cells are taken whole, left out, or cut into eight, down to the grid; so a shape of any size makes rows
-    by its surface and not by its volume. Each step is a projection; no row is compared with another."""
-    names, half = dict(zip("xyz", "ijk", strict=True)), extent()
-    out = shapes.where(valid())
-    for c, n in names.items():
+
+def descent(shape: dict[str, np.ndarray], size: float, coarsest: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Cells whose centres shapes hold, in as few cells as there are: (number of the shape, i, j and k, levels above the grid's). No
+    cell with a side over the least of a shape's box lies in it, so cells that large are not looked at."""
+    first, last = shape["first"], shape["last"]
+    least = (last - first + 1).min(axis=0)
+    top = np.minimum(np.frexp(least.astype(float))[1] - 1, coarsest)
+    for up in range(coarsest, -1, -1):
+        some = np.flatnonzero(top == up)
+        low = first[:, some] >> up
+        sides = (last[:, some] >> up) - low + 1
+        until = np.cumsum(sides.prod(axis=0))
+        for start in range(0, int(until[-1]) if len(some) else 0, CELLS):
+            at = np.arange(start, min(start + CELLS, until[-1]))
+            of = np.searchsorted(until, at, "right")
+            at -= until[of] - sides[:, of].prod(axis=0)
+            i, rest = at % sides[0, of], at // sides[0, of]
+            cells = np.stack([i, rest % sides[1, of], rest // sides[1, of]]) + low[:, of]
+            waiting = [(some[of], cells, up)]
+            while waiting:
+                of, cells, level = waiting.pop()
+                if len(of) > CELLS:
+                    waiting += [(of[n : n + CELLS], cells[:, n : n + CELLS], level) for n in range(0, len(of), CELLS)]
+                    continue
+                own = {c: v[..., of] for c, v in shape.items()}
+                begin, end = cells << level, ((cells + 1) << level) - 1
+                every, none = covered(own, (begin, end), size)
+                every &= ((begin >= own["first"]) & (end <= own["last"])).all(axis=0)
+                none |= ((end < own["first"]) | (begin > own["last"])).any(axis=0)
+                if every.any():
+                    yield of[every], cells[:, every], level
+                cut = ~every & ~none
+                if level and cut.any():
+                    eight = np.stack([(np.arange(8) >> k) & 1 for k in range(3)])
+                    children = (cells[:, cut] << 1)[:, :, None] + eight[:, None, :]
+                    waiting.append((np.repeat(of[cut], 8), children.reshape(3, -1), level - 1))
+
+
+def descended(shapes: DataFrame, size: float = 1.0, domain: tuple[float, float] | None = None, coarsest: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """Valid shapes (or those of their columns that are to be kept) with the cells whose centres they hold, in as few cells as there
+    are: i, j, k and ``up``, the levels above the grid's own. Coarse cells are taken whole, left out, or cut into eight, down to the
+    grid; so a shape of any size makes rows by its surface and not by its volume. No row is compared with another; shapes are
+    dealt by their places and sizes, as a file of them may be one task's."""
+    half, kept = extent(), [c for c in keep or shapes.columns if c not in (*AXES.values(), "up")]
+    bounds = {}
+    for c, n in AXES.items():
         low, high = F.col(f"t{c}") - half[c], F.col(f"t{c}") + half[c]
         if domain:
             low, high = F.greatest(low, F.lit(domain[0])), F.least(high, F.lit(domain[1]))
-        first, last = F.floor(low / size), F.ceil(high / size) - 1
-        ends = out.withColumns({f"{n}_first": first, f"{n}_last": last})
-        steps = F.when(last >= first, F.sequence(F.shiftright(first, coarsest), F.shiftright(last, coarsest))).otherwise(F.array().cast("array<bigint>"))
-        out = ends.withColumn(n, F.explode(steps))
-    out = out.withColumns({"up": F.lit(coarsest), "done": F.lit(False)})
-    for up in range(coarsest, -1, -1):
-        begin = {n: F.shiftleft(F.col(n), up) for n in names.values()}
-        end = {n: begin[n] + ((1 << up) - 1) for n in names.values()}
-        at = lambda e: to_local({c: (e[n] + 0.5) * size for c, n in names.items()}, {c: F.col(f"t{c}") for c in "xyz"})
-        every, none = reach(at(begin), at(end))
-        clear, apart = F.lit(True), F.lit(False)
-        for n in names.values():
-            clear &= (begin[n] >= F.col(f"{n}_first")) & (end[n] <= F.col(f"{n}_last"))
-            apart |= (end[n] < F.col(f"{n}_first")) | (begin[n] > F.col(f"{n}_last"))
-        out = out.where(F.col("done") | ~(none | apart)).withColumn("done", F.col("done") | (every & clear))
-        if up:
-            own = [F.col(n).alias(n) for n in names.values()]
-            stays = F.array(F.struct(*own, F.col("up").alias("up")))
-            child = lambda o: F.struct(*[(F.shiftleft(F.col(n), 1) + F.shiftright(o, k).bitwiseAND(F.lit(1))).alias(n) for k, n in enumerate(names.values())], F.lit(up - 1).alias("up"))  # noqa: B023, E731
-            eight = F.transform(F.sequence(F.lit(0), F.lit(7)), child)
-            cells = out.withColumn("cell", F.explode(F.when(F.col("done"), stays).otherwise(eight)))
-            out = cells.withColumns({n: F.col("cell")[n] for n in (*names.values(), "up")}).drop("cell")
-    drop = ["done", *[f"{n}_{e}" for n in names.values() for e in ("first", "last")]]
-    return out.where("done").drop(*drop)
+        bounds |= {f"__{n}_first": F.floor(low / size), f"__{n}_last": F.ceil(high / size) - 1}
+    measures = {"__kind": F.col("kind")} | {f"__{c}": F.col(c).cast("double") for c in ("tx", "ty", "tz", "scale", "radius", "height", "width", "length")}
+    known = F.lit(True)
+    for c in "xyz":
+        known &= F.col(f"t{c}").isNotNull()
+    own = shapes.where(valid() & known).select(*kept, *[v.alias(c) for c, v in (measures | bounds).items()])
+    for n in AXES.values():
+        own = own.where(F.col(f"__{n}_last") >= F.col(f"__{n}_first"))
+    parts = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.repartition(parts, *[F.col(c) for c in measures], *[F.col(c) for c in kept])
+
+    def run(batches):
+        for batch in batches:
+            number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            shape = {c: number(f"__{c}") for c in ("scale", "radius", "height", "width", "length")} | {"kind": np.asarray(batch.column("__kind").to_pylist(), dtype=object)}
+            shape["t"] = np.stack([number(f"__t{c}") for c in AXES])
+            shape |= {e: np.stack([number(f"__{n}_{e}") for n in AXES.values()]) for e in ("first", "last")}
+            rest = batch.select(kept)
+            for of, cells, up in descent(shape, size, coarsest):
+                whole = rest.take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([*whole.columns, *map(pa.array, cells), pa.array(np.full(len(of), up, np.int32))], names=[*kept, *AXES.values(), "up"])
+
+    fields = [own.schema[c] for c in kept] + [StructField(n, LongType()) for n in AXES.values()] + [StructField("up", IntegerType())]
+    return own.mapInArrow(run, StructType(fields))
 
 
 def placed(shapes: DataFrame, size: float = 1.0, domain: tuple[float, float] | None = None, level: int = FINEST, coarsest: int = 4) -> DataFrame:
     """Shapes as cells of mixed levels: distinct (x, y, z, level) with the largest material number; the grid is of ``level``. Cells of
     shapes that overlap may lie within each other: the material of a place is the largest of the cells that hold it."""
-    got = descended(shapes, size, domain, min(coarsest, level))
+    got = descended(shapes, size, domain, min(coarsest, level), ["material_id"])
     cell = [F.col(n).cast("int").alias(c) for c, n in zip("xyz", "ijk", strict=True)]
     return got.groupBy(*cell, (F.lit(level) - F.col("up")).alias("level")).agg(F.max("material_id").alias("material_id"))
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,25 @@ def test_rows_by_surface(spark):
     assert geometry.finest(large).count() > 57_000 and b < 4.6 * a and b < 12_000
     assert {r["level"] for r in large.select("level").distinct().collect()} == {8, 7, 6, 5}
     assert geometry.placed(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+@pytest.mark.parametrize("most", [50, 1 << 17])
+def test_descent_of_a_file_with_one_task(spark, monkeypatch, most):
+    """Shapes of one partition are dealt to all tasks; cells that no shape's box can hold are not looked at; blocks of any size."""
+    seen, covered = [], geometry.covered
+    monkeypatch.setattr(geometry, "CELLS", most)
+    df = spark.createDataFrame(shapes(3, 60), SHAPE).coalesce(1)
+    got = geometry.descended(df, keep=["id"])
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = geometry.descended(df).groupBy("id").agg(F.sum(F.expr("shiftleft(1L, 3 * up)")).alias("n"))
+    plain = geometry.candidates(df.where(geometry.valid())).where(geometry.inside(geometry.to_local({c: F.col(n) + 0.5 for c, n in zip("xyz", "ijk")}, {c: F.col(f"t{c}") for c in "xyz"})))
+    assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, plain.groupBy("id").count().collect()))
+
+    def counted(shape, ends, size):
+        seen.append(len(shape["scale"]))
+        return covered(shape, ends, size)
+
+    monkeypatch.setattr(geometry, "covered", counted)
+    box = {"t": np.full((3, 1), 0.1), "kind": np.array(["box"], dtype=object), "first": np.full((3, 1), -1), "last": np.full((3, 1), 0)}
+    box |= {c: np.array([v]) for c, v in (("scale", 1.0), ("radius", 0.0), ("height", 2.0), ("width", 2.0), ("length", 2.0))}
+    assert sum(len(of) << 3 * up for of, _, up in geometry.descent(box, 1.0, 4)) == 8 and sum(seen) == 8 + 64
