@@ -75,7 +75,7 @@ VOXELS = catalog.SQL["shape_voxels"]
 @query(VOXELS[: VOXELS.rindex("select i as x")] + "select id, count(*) as voxels from l " + VOXELS[VOXELS.rindex("where case kind") :].replace("group by 1, 2, 3", "group by id"))
 def shape_volumes(spark, d):
     """The voxels of each shape, added up over its cells of all levels."""
-    cells = geometry.descended(tables.shapes(spark, d), domain=(-10.0, 90.0))
+    cells = geometry.descended(tables.shapes(spark, d), domain=(-10.0, 90.0), keep=["id"])
     return cells.groupBy("id").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), 3 * F.col("up"))).alias("voxels"))
 
 
