@@ -222,20 +222,28 @@ def crossing(y: Column, z: Column, eps: float = 1e-6) -> Column:
     return F.when(F.abs(det) > eps, F.when((u >= 0) & (v >= 0) & (u + v <= 1), F.col("ax") + u * e1["x"] + v * e2["x"]))
 
 
+#: Triangles of a task, in the mean.
+TRIANGLES = 100_000
+
+
 def mesh_voxels(triangles: DataFrame, by: list[str], size: float = 1.0) -> DataFrame:
     """(by, x, y, z) of cells whose centre is inside its closed mesh: rays along +x that leave it an odd number of times.
 
     A triangle is joined with the (y, z) columns of cells it can meet, not with all cells: each triangle explodes to the
     columns of its own bounds, its crossings follow from its own plane, and only they are grouped by column of cells. Hits on
-    edges that triangles share are one hit (equal places, rounded).
+    edges that triangles share are one hit (equal places, rounded). The tasks follow the number of triangles, so that what a
+    task holds does not grow with it.
     """
-    columns = triangles
+    parts = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, -(-triangles.count() // TRIANGLES))
+    columns = triangles.repartition(parts, *by, *[f"{v}{c}" for v in "abc" for c in "xyz"])
     for c, name in (("y", "j"), ("z", "k")):
         low, high = F.least(*[f"{v}{c}" for v in "abc"]), F.greatest(*[f"{v}{c}" for v in "abc"])
         columns = columns.withColumn(name, F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
     met = columns.select(*by, "j", "k", F.round(crossing((F.col("j") + 0.5) * size, (F.col("k") + 0.5) * size), 6).alias("at"))
-    met = met.where("at is not null").distinct()
-    runs = met.groupBy(*by, "j", "k").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    # dealt before they are grouped: no task groups the hits of one file, and negative zero is zero
+    met = met.where("at is not null").withColumn("at", F.col("at") + 0.0).repartition(parts, *by, "j", "k")
+    runs = met.groupBy(*by, "j", "k").agg(F.sort_array(F.collect_set("at")).alias("at"))
     first, last = F.floor(F.col("at")[0] / size), F.ceil(F.element_at("at", -1) / size)
     cells = runs.withColumn("i", F.explode(F.sequence(first, last)))
     right = F.size(F.filter("at", lambda t: t > (F.col("i") + 0.5) * size))

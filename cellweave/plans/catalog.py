@@ -561,7 +561,8 @@ def corners(spark, d):
     point = [[at[a] + (size[a] if a == n else 0) for a in range(3)] for n in (-1, 0, 1, 2)]
     faces = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]
     rows = F.array(*[F.struct(*[point[p][a].alias(f"{v}{c}") for v, p in zip("abc", f, strict=True) for a, c in enumerate("xyz")]) for f in faces])
-    return tables.read(spark, d, "part").select(key.alias("id"), F.explode(rows).alias("t")).select("id", "t.*")
+    parts = tables.read(spark, d, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select(key.alias("id"), F.explode(rows).alias("t")).select("id", "t.*")
 
 
 TETRA = """t as (select p_partkey as id, p_partkey % 50 + 0.3137::double as x0, p_partkey % 41 + 0.2291::double as y0, p_partkey % 37 + 0.1773::double as z0, 2.0::double + p_size % 4 as sx, 2.5::double + p_size % 3 as sy, 3.0::double + p_size % 5 as sz from part)"""

@@ -77,3 +77,16 @@ def test_numbers_and_totals_do_not_depend_on_partitions(spark):
     for r in mesh.running_total(rows, ["k"], "v").orderBy("k").collect():
         assert r.before == total
         total += r.v
+
+
+def test_tasks_follow_the_triangles(spark, monkeypatch):
+    """What a task groups does not grow with the table: there are more tasks. Hits at zero of either sign are one."""
+    corners = [(0.0, 0.0, 0.0), (4.0, 0.0, 0.0), (0.0, 4.0, 0.0), (0.0, 0.0, 4.0)]
+    rows = [(i, *corners[a], *corners[b], *corners[c]) for i in range(40) for a, b, c in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{v}{c} double" for v in "abc" for c in "xyz")).coalesce(1)
+    few = geometry.mesh_voxels(df, ["id"])
+    monkeypatch.setattr(geometry, "TRIANGLES", 16)
+    many = geometry.mesh_voxels(df, ["id"])
+    assert few.rdd.getNumPartitions() == 4 and many.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert {(r.x, r.y, r.z) for r in many.collect()} == {(x, y, z) for x in range(4) for y in range(4) for z in range(4) if x + y + z + 1.5 < 4}
