@@ -7,8 +7,11 @@ are dealt to the same key ranges; each range begins with an anchor, so that no p
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cellweave.functions import curves
 from cellweave.operators.partition_bounds import key_bounds, place_in
@@ -62,3 +65,103 @@ def cells_of(cells: DataFrame, points: DataFrame) -> DataFrame:
     found = found.toDF(*[unused(f"of_{c}", points) for c in POINT], *FOUND)
     on = [F.col(p).eqNullSafe(F.col(q)) for p, q in zip(POINT, found.columns, strict=False)]
     return points.join(found, on, "left").select(*points.columns, *FOUND)
+
+
+# --- neighbours beyond faces ---
+
+#: Cells of a range.
+CELLS = 500_000
+#: Of each face: its axis, and whether it is the upper one.
+FACES = [(axis, side) for axis in range(3) for side in (False, True)]
+#: Shifts and masks that move the bits of a coordinate two places apart.
+APART = [(32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
+
+
+def keys_of(points: np.ndarray) -> np.ndarray:
+    """Z-order keys of points (one column each): those of ``curves.morton`` with 21 bits."""
+    out = np.zeros(points.shape[1], np.int64)
+    for k, c in enumerate(points):
+        c = c & ((1 << BITS) - 1)
+        for by, mask in APART:
+            c = (c | (c << by)) & mask
+        out |= c << k
+    return out
+
+
+def corners_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of cells: x, y, z and level, and the anchors."""
+    cell = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in CELL])
+    return cell, cell[:3] << (curves.FINEST - cell[3])
+
+
+def beyond(cell: np.ndarray, anchor: np.ndarray, face: int) -> np.ndarray:
+    """A point beyond a face of each cell: the anchor, moved by one finest unit below or by the cell's size above."""
+    axis, above = FACES[face]
+    point = anchor.copy()
+    point[axis] += (np.int64(1) << (curves.FINEST - cell[3])) if above else -1
+    return point
+
+
+def neighbours(cells: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """x, y, z, level, the further columns of cells that are asked for, face, and what ``located`` finds for the point beyond that face;
+    no row where no cell holds it. Cells must not overlap, and are read three times: give a stored table.
+
+    A cell moves once, to its range of keys, where those of its points are looked up that lie in it; only points of other
+    ranges are rows. Ranges follow the number of cells, so that what a task holds does not grow with it.
+    """
+    own = cells.select(*CELL, *also).na.drop(subset=CELL)
+    parts = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // CELLS))
+
+    def keyed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(corners_of(batch)[1]))], names=["key"])
+
+    bounds = np.array(key_bounds(own.select(*CELL).mapInArrow(keyed, "key long"), "key", parts), np.int64)
+    part, face = unused("range", own), unused("face", own)
+
+    def asked(batches):
+        for batch in batches:
+            cell, anchor = corners_of(batch)
+            home = np.searchsorted(bounds, keys_of(anchor), "right")
+            rows, to, of = [np.arange(len(home))], [home], [np.full(len(home), -1)]
+            for f in range(6):
+                there = np.searchsorted(bounds, keys_of(beyond(cell, anchor, f)), "right")
+                away = np.flatnonzero(there != home)
+                rows, to, of = [*rows, away], [*to, there[away]], [*of, np.full(len(away), f)]
+            moved = batch.take(pa.array(np.concatenate(rows)))
+            added = [pa.array(np.concatenate(x).astype(np.int32)) for x in (to, of)]
+            yield pa.RecordBatch.from_arrays([*moved.columns, *added], names=[*batch.schema.names, part, face])
+
+    def looked_up(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        cell, anchor = corners_of(table)
+        of, home = table.column(face).to_numpy(), table.column(part).to_numpy()
+        here = np.flatnonzero(of < 0)
+        keys = keys_of(anchor[:, here])
+        by = np.argsort(keys, kind="stable")
+        here, keys = here[by], keys[by]
+        for f in range(6):
+            rows = np.concatenate([here, np.flatnonzero(of == f)])
+            point = beyond(cell[:, rows], anchor[:, rows], f)
+            key = keys_of(point)
+            mine = np.searchsorted(bounds, key, "right") == home[rows]
+            rows, point, key = rows[mine], point[:, mine], key[mine]
+            at = np.searchsorted(keys, key, "right") - 1
+            last = here[np.maximum(at, 0)] if len(here) else np.zeros(0, np.int64)
+            if not len(last):
+                continue
+            holds_ = (at >= 0) & ((point >> (curves.FINEST - cell[3, last])) == cell[:3, last]).all(axis=0)
+            rows, last = rows[holds_], last[holds_]
+            for n in range(0, len(rows), 100_000):
+                left, right = (table.select([*CELL, *also]).take(pa.array(x[n : n + 100_000])).combine_chunks() for x in (rows, last))
+                columns = [c.combine_chunks() for c in left.columns] + [pa.array(np.full(left.num_rows, f, np.int32))] + [c.combine_chunks() for c in right.columns]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = {f.name: f.dataType for f in own.schema}
+    names = [*CELL, *also, "face", *FOUND, *[f"n_{c}" for c in also]]
+    types = [*[fields[c] for c in (*CELL, *also)], IntegerType(), *[fields[c] for c in (*CELL, *also)]]
+    dealt = own.mapInArrow(asked, StructType([*own.schema.fields, StructField(part, IntegerType()), StructField(face, IntegerType())]))
+    return dealt.repartitionById(parts, F.col(part)).mapInArrow(looked_up, StructType([StructField(n, t) for n, t in zip(names, types, strict=True)]))

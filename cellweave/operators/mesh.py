@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import curves
 from cellweave.operators.exact import exact_sums
-from cellweave.operators.locate import CELL, FOUND, located
+from cellweave.operators.locate import CELL, FOUND, neighbours
 from cellweave.operators.session import checkpointed, unused
 
 CHILD = "__child"
@@ -201,20 +201,10 @@ def face_neighbours(cells: DataFrame) -> DataFrame:
     return probes.join(there, ["nx", "ny", "nz", "level"])
 
 
-def probes(cells: DataFrame, *more: str) -> DataFrame:
-    """Each cell (and its further columns) with a point beyond each face: the anchor, moved by one finest unit below or by the
-    cell's size above. x, y, z, level, face, px, py, pz."""
-    size = F.call_function("shiftleft", F.lit(1), F.lit(curves.FINEST) - F.col("level"))
-    at = {c: curves.anchor(c) for c in "xyz"}
-    each = F.array(*[F.struct(F.lit(i).alias("face"), *[(at[c] + (F.lit(-1) if side < 0 else size) if a == axis else at[c]).alias(f"p{c}") for a, c in enumerate("xyz")]) for i, (axis, side) in enumerate(FACES)])
-    return cells.select(*CELL, *more, F.explode(each).alias("p")).select(*CELL, *more, "p.*")
-
-
 def probed(cells: DataFrame, *more: str) -> DataFrame:
     """For each cell and face, the cell that holds the point beyond it: x, y, z, level, face, nx, ny, nz, n_level, and each
-    further column of both (the neighbour's with ``n_`` before). Six rows a cell move, whatever the number of levels."""
-    own = cells.select(*CELL, *more)
-    return located(own, probes(own, *more), more).where("n_level is not null").drop("px", "py", "pz")
+    further column of both (the neighbour's with ``n_`` before). Few rows a cell move, whatever the number of levels."""
+    return neighbours(cells, more)
 
 
 def mixed_neighbours(cells: DataFrame, levels: list[int] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import curves
-from cellweave.operators import mesh
+from cellweave.operators import locate, mesh
 
 SCHEMA = "x int, y int, z int, level int, state int, flag int, mass long"
 
@@ -145,3 +145,34 @@ def test_compaction(spark):
     assert {r.key: r.place for r in got.collect()} == {100: 2, 50: 1, 200: 3, 25: 0}
     got = mesh.permutation(spark.createDataFrame([(k, 0) for k in (100, 200)], "key long, state int"), "key", F.col("state") == 1)
     assert {r.place for r in got.collect()} == {None}
+
+
+def test_neighbours_on_ranges_of_any_size(spark, monkeypatch):
+    """Cells move once, to ranges that follow their number; what lies beyond a face is what point location finds there."""
+    rng = random.Random(4)
+    rows, waiting = [], [(x - 1, y, z, 5) for x in range(3) for y in range(3) for z in range(3) if rng.random() < 0.9]
+    while waiting:
+        x, y, z, level = waiting.pop()
+        if level < 8 and rng.random() < 0.3:
+            waiting += [(2 * x + a, 2 * y + b, 2 * z + c, level + 1) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+        else:
+            rows.append((x, y, z, level, rng.randrange(9), None if rng.random() < 0.2 else "s"))
+    cells = spark.createDataFrame(rows, "x int, y int, z int, level int, will int, name string")
+    at = {(x, y, z, level): (will, name) for x, y, z, level, will, name in rows}
+    expected = []
+    for x, y, z, level, will, name in rows:
+        unit = 1 << (8 - level)
+        for face in range(6):
+            p = [x * unit, y * unit, z * unit]
+            p[face // 2] += unit if face % 2 else -1
+            for n in range(5, 9):
+                there = (*[v >> (8 - n) for v in p], n)
+                if there in at:
+                    expected.append((x, y, z, level, will, name, face, *there, *at[there]))
+    for most in (7, 500_000):
+        monkeypatch.setattr(locate, "CELLS", most)
+        got = mesh.probed(cells, "will", "name")
+        assert got.columns == ["x", "y", "z", "level", "will", "name", "face", "nx", "ny", "nz", "n_level", "n_will", "n_name"]
+        assert got.rdd.getNumPartitions() == max(4, -(-len(rows) // most))
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+    assert mesh.probed(cells.limit(0)).count() == 0
