@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from cellweave.functions import curves
 from cellweave.operators.partition_bounds import key_bounds, place_in
@@ -128,9 +128,11 @@ def neighbours(cells: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
                 there = np.searchsorted(bounds, keys_of(beyond(cell, anchor, f)), "right")
                 away = np.flatnonzero(there != home)
                 rows, to, of = [*rows, away], [*to, there[away]], [*of, np.full(len(away), f)]
-            moved = batch.take(pa.array(np.concatenate(rows)))
-            added = [pa.array(np.concatenate(x).astype(np.int32)) for x in (to, of)]
-            yield pa.RecordBatch.from_arrays([*moved.columns, *added], names=[*batch.schema.names, part, face])
+            at = np.concatenate(rows)
+            by = np.argsort(at, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(at, minlength=len(home)))).astype(np.int32)
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(x)[by].astype(np.int32)) for x in (to, of)], names=["to", "of"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), each)], names=[*batch.schema.names, part])
 
     def looked_up(batches):
         held = list(batches)
@@ -163,5 +165,7 @@ def neighbours(cells: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     fields = {f.name: f.dataType for f in own.schema}
     names = [*CELL, *also, "face", *FOUND, *[f"n_{c}" for c in also]]
     types = [*[fields[c] for c in (*CELL, *also)], IntegerType(), *[fields[c] for c in (*CELL, *also)]]
-    dealt = own.mapInArrow(asked, StructType([*own.schema.fields, StructField(part, IntegerType()), StructField(face, IntegerType())]))
+    sent = ArrayType(StructType([StructField("to", IntegerType()), StructField("of", IntegerType())]))
+    each = own.mapInArrow(asked, StructType([*own.schema.fields, StructField(part, sent)])).withColumn(part, F.explode(part))
+    dealt = each.select(*CELL, *also, F.col(part)["to"].alias(part), F.col(part)["of"].alias(face))
     return dealt.repartitionById(parts, F.col(part)).mapInArrow(looked_up, StructType([StructField(n, t) for n, t in zip(names, types, strict=True)]))
