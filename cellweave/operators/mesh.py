@@ -124,6 +124,7 @@ def adapt(cells: DataFrame, fields: dict[str, str], most: int = curves.FINEST, l
     if balanced:
         for _ in range(most + 1):
             cells, left = decided(cells, most, least, marks=counts is not None)
+            cells = checkpointed(cells)  # a cycle reads them four times
             out = cycle(cells, fields, most, least, counts)
             if not left or not cells.where(splits(most)).limit(1).count():
                 return out
@@ -305,6 +306,7 @@ def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1, marks:
     will = F.when(F.col("splits") & F.col("held").isNull(), F.col("level") + 1).when(F.col("merging"), F.col("level") - 1).otherwise(F.col("level"))
     state = checkpointed(state.join(held, CELL, "left").select(*CELL, *PARENT, (F.col("can") & F.col("held").isNull()).alias("can"), "merging", F.col("merging").alias("asked"), will.alias("will"), F.lit(True).alias("changed")))
 
+    even = False
     for first in (True, *[False] * (4 * (most + 2))):
         ask = pairs
         if not first:
@@ -314,6 +316,9 @@ def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1, marks:
         both = ask.join(levels, CELL).join(levels.toDF(*BESIDE, "n_will"), BESIDE)
         low = both.where("n_will >= will + 2").select(*CELL).unionByName(as_own(both.where("will >= n_will + 2"))).distinct()
         low = checkpointed(low.join(state, CELL))
+        if low.isEmpty():  # nothing gives way: the state stays; and as the first round looks at all, no neighbours are two apart
+            even = first
+            break
         veto = low.where("merging").select("level", *PARENT).distinct().withColumn("veto", F.lit(True))
         raised = low.where("not merging and can and will = level").select(*CELL).withColumn("raised", F.lit(True))
         veto_, raised_ = F.coalesce("veto", F.lit(False)) & F.col("merging"), F.coalesce("raised", F.lit(False))
@@ -325,7 +330,7 @@ def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1, marks:
     else:
         raise RuntimeError("the mesh did not come into balance")
     levels = state.select(*CELL, "will")
-    left = pairs.join(levels, CELL).join(levels.toDF(*BESIDE, "n_will"), BESIDE).where("abs(will - n_will) > 1").count()
+    left = 0 if even else pairs.join(levels, CELL).join(levels.toDF(*BESIDE, "n_will"), BESIDE).where("abs(will - n_will) > 1").count()
     flag = F.when(F.col("will_") > F.col("level"), 1).when(F.col("merging_"), -1).otherwise(0).cast(dict(base.dtypes)["flag"])
     told = state.select(*CELL, F.col("will").alias("will_"), F.col("merging").alias("merging_"), "asked")
     out = base.join(told, CELL)

@@ -88,3 +88,15 @@ def test_six_rows_a_cell_move_whatever_the_levels(spark):
     cells = table(spark, random_mesh(6))
     plan = mesh.probed(cells, "state")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1 and "Join" not in plan
+
+
+def test_a_mesh_in_balance_takes_no_round(spark, monkeypatch):
+    """Where no cell gives way, the state is not written anew, and neighbours are not counted once more."""
+    from cellweave.operators import mesh
+
+    written, checkpointed = [], mesh.checkpointed
+    monkeypatch.setattr(mesh, "checkpointed", lambda df: written.append(df.columns) or checkpointed(df))
+    rows = [(x, y, z, 5, 0, int(x == 0), 1) for x in range(2) for y in range(2) for z in range(2)]
+    cells, left = mesh.decided(spark.createDataFrame(rows, "x int, y int, z int, level int, state int, flag int, mass long"), 8, 1)
+    assert left == 0 and sorted(map(tuple, cells.collect())) == sorted(rows)
+    assert sum("changed" in c and "will" in c for c in written) == 2  # the state once, and those that give way: none
