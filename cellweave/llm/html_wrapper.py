@@ -1,12 +1,15 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from pages of the same host.
 
-A page becomes a stream of tags and texts. Inference starts with one page's stream as the wrapper and aligns it with the
-next, by a longest common subsequence: equal tags match; texts that differ become text slots; a run of equal neighbouring
-groups becomes a repeated group; what only one side has becomes an optional group. Up to ``SAMPLE`` pages of a host are
-aligned (those of smallest hash in as many hash slots, so the choice spreads over all its pages).
+A page becomes a stream of tags and texts, in which a run of equal neighbouring groups is one repeated group. Every page of
+a host is learned from. Pages whose streams have the same form are merged place by place, before the shuffle and after it:
+a slot keeps the texts that all of its pages have there, and whether texts differ. Then the forms of a host are aligned, one
+after the other, by a longest common subsequence: equal tags match; texts that differ become text slots; what only one side
+has becomes an optional group. Forms of over ``NODES`` tags and texts in all are aligned in parts (by the forms' hashes), and
+then those parts with each other, so that a task's memory has a bound; a host of which even the aligned parts have more
+keeps several expressions, each learned from all pages of its forms.
 
 Every page is then matched against its host's expression, as a finite automaton: each text falls into a slot. What a slot
-says decides: a text that the slot had on several different pages of the sample is template and goes, in articles too; what
+says decides: a text that the slot has on all of its pages, if several are different, is template and goes, in articles too; what
 varies is the page's own, and so are the texts of repeated groups, as articles may share paragraphs. Pages that are near
 copies of each other count as one page there, so that what copies have in common stays. Names of containers are a prior:
 they tell the article from menus, adverts and comments, which vary too. Where a page departs from the expression, unknown
@@ -21,15 +24,17 @@ Blocks end at block tags and at line breaks; inline tags do not end a block. Cha
 in a block becomes one space, empty blocks go, and blocks are joined by a line feed.
 
 Defined cases: a null html is the empty text; a null or odd url belongs to the host without a name; repeated rows are
-kept, and count once in inference; of equally long alignments the one that keeps the first page's order wins; a page of
-any length is aligned and matched (alignments take memory in proportion to the two streams); an empty table gives no rows;
-other columns are not read, whatever their names.
+kept, and count once in inference; of equally long alignments the one that keeps the first form's order wins, and forms come
+by their hashes, so that rules do not depend on partitions; a page of any length is aligned and matched (alignments take
+memory in proportion to the two streams); an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
+import itertools
 import json
 import re
 import zlib
@@ -43,9 +48,14 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import common
 
-SAMPLE = 8
-#: Bytes of sampled pages that a task remembers before it passes them on.
+#: Bytes of pages whose forms a task remembers before it passes them on.
 REMEMBERED = 16_000_000
+#: Tags and texts that one task aligns into an expression; where there are more, in 16 parts, or 256, and so on.
+NODES = 16_384
+#: Numbers of a page's sketch.
+SKETCH = 24
+#: Shares of a form's sketches.
+SHARES = 64
 #: The most neighbouring elements that make one repeated group.
 GROUP = 4
 #: Different pages that share a text of an article before it is template; outside of articles two are enough.
@@ -208,12 +218,15 @@ def hash_of(text: str) -> str:
 
 
 def sketch(texts: list[Piece]) -> list[int]:
-    """The least hashes of a page's four-word shingles, one by each of 24 mixers: pages that share shingles share these."""
+    """The least hashes of a page's four-word shingles, one by each of ``SKETCH`` mixers: pages that share shingles share these."""
     words = " ".join(t.text for t in texts).split()
-    shingles = {" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))}
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h = np.concatenate([h, np.zeros(max(0, 4 - len(words)), np.uint64)])
     with np.errstate(over="ignore"):
-        return [int(((h ^ (h >> np.uint64(29))) * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min() >> np.uint64(32)) for k in range(24)]
+        for k in (1, 2):  # pairs of words, then pairs of pairs
+            h = h[:-k] * np.uint64(0x9E3779B185EBCA87) + h[k:]
+            h ^= h >> np.uint64(29)
+        return [int((h * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min() >> np.uint64(33)) for k in range(SKETCH)]
 
 
 def stream(page: str) -> list[str]:
@@ -249,7 +262,8 @@ def in_main(path: str) -> bool:
 
 
 class Slot(NamedTuple):
-    """A text of the wrapper: the hashes that all its pages have there, whether texts differ, and its pages as bits."""
+    """A text of the wrapper: the hashes that all its pages have there, whether texts differ, and its pages as bits (of their
+    sketches)."""
 
     path: str
     hashes: frozenset[str]
@@ -379,8 +393,8 @@ def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def aligned(wrapper: list, page: list) -> list:
-    """The wrapper that also covers this page: matches stay, what one side alone has becomes optional."""
-    a = [(n, isinstance(w, Group) and w.kind == "?") for w in wrapper for n in (w.inner if isinstance(w, Group) and w.kind == "?" else [w])]
+    """The wrapper that also covers this page, or another wrapper: matches stay, what one side alone has becomes optional."""
+    a, b = ([(n, isinstance(w, Group) and w.kind == "?") for w in side for n in (w.inner if isinstance(w, Group) and w.kind == "?" else [w])] for side in (wrapper, page))
     out: list = []
 
     def optional(nodes: list) -> None:
@@ -390,14 +404,12 @@ def aligned(wrapper: list, page: list) -> list:
             out.append(Group("?", list(nodes)))
 
     i = j = 0
-    for x, y in [*matched([shape(n) for n, _ in a], [shape(n) for n in page]), (len(a), len(page))]:
-        while i < x:  # matched parts of the wrapper that are optional stay so
-            optional([a[i][0]])
-            i += 1
-        optional(page[j:y])
-        if x < len(a):
-            node = merged(a[x][0], page[y], False)
-            optional([node]) if a[x][1] else out.append(node)
+    for x, y in [*matched([shape(n) for n, _ in a], [shape(n) for n, _ in b]), (len(a), len(b))]:
+        optional([n for n, _ in a[i:x]])
+        optional([n for n, _ in b[j:y]])
+        if x < len(a):  # matched parts that are optional on either side stay so
+            node = merged(a[x][0], b[y][0], False)
+            optional([node]) if a[x][1] or b[y][1] else out.append(node)
         i, j = x + 1, y + 1
     return out
 
@@ -415,16 +427,59 @@ def nodes_of(tokens_: list[str], page: int) -> list:
     return out
 
 
-def inferred(pages: list[list]) -> list:
-    """The wrapper of a host's pages."""
-    wrapper = folded(pages[0])
-    for nodes in pages[1:]:
-        page = folded(nodes, repeated(wrapper))
-        new = repeated(page) - repeated(wrapper)
-        if new:
-            wrapper = folded([Group("?", folded(w.inner, new)) if isinstance(w, Group) and w.kind == "?" else w for w in wrapper], new)
-        wrapper = aligned(wrapper, page)
-    return wrapper
+def form(nodes: list) -> str:
+    """What pages have in common that can be merged place by place, as a hash."""
+    return xxhash.xxh3_128_hexdigest("\n".join(map(shape, nodes)))
+
+
+def both(a: list, b: list) -> list:
+    """Two pages, or sets of pages, of the same form."""
+    return [merged(x, y, False) for x, y in zip(a, b, strict=True)]
+
+
+def marked(nodes: list, pages) -> list:
+    """Nodes whose slots have other bits for their pages, by a function of those they had."""
+    out = []
+    for n in nodes:
+        if isinstance(n, Group):
+            n = Group(n.kind, marked(n.inner, pages))
+        out.append(n._replace(pages=pages(n.pages)) if isinstance(n, Slot) else n)
+    return out
+
+
+def refolded(nodes: list, known: set[str]) -> list:
+    return folded([Group("?", folded(w.inner, known)) if isinstance(w, Group) and w.kind == "?" else w for w in nodes], known)
+
+
+def widened(wrapper: list, nodes: list) -> list:
+    """The wrapper that also covers pages of this form, or what another wrapper covers."""
+    page = refolded(nodes, repeated(wrapper))
+    new = repeated(page) - repeated(wrapper)
+    return aligned(refolded(wrapper, new) if new else wrapper, page)
+
+
+def packed(nodes: list, sketches=()) -> bytes:
+    """Nodes and the sketches of their pages as packed JSON."""
+
+    def plain(n):
+        if isinstance(n, str):
+            return n
+        return [n.path, sorted(n.hashes), n.varies, n.linked, n.pages] if isinstance(n, Slot) else {n.kind: list(map(plain, n.inner))}
+
+    return zlib.compress(json.dumps([list(map(plain, nodes)), list(sketches)]).encode(), 1)
+
+
+def unpacked(blob: bytes) -> tuple[list, list]:
+    def node(x):
+        if isinstance(x, str):
+            return x
+        if isinstance(x, list):
+            return Slot(x[0], frozenset(x[1]), *x[2:])
+        ((kind, inner),) = x.items()
+        return Group(kind, list(map(node, inner)))
+
+    nodes, sketches = json.loads(zlib.decompress(blob))
+    return list(map(node, nodes)), sketches
 
 
 def written(nodes: list) -> str:
@@ -472,28 +527,57 @@ def automaton(nodes: list) -> tuple[list, list[bool], list[int], list[list[int]]
     return leaves, repeats, first, follow
 
 
-def different(sketches: list[list[int]]) -> list[int]:
-    """The number of each page's group: pages that share half of their sketch with its first page are one group."""
-    heads, out = [], []
-    for s in sketches:
-        near = next((g for g, h in enumerate(heads) if 2 * sum(x == y for x, y in zip(s, h, strict=True)) >= len(s)), len(heads))
-        if near == len(heads):
+def near(a: list[int], b: list[int]) -> bool:
+    return 2 * sum(x == y for x, y in zip(a, b, strict=True)) >= SKETCH
+
+
+def firsts(sketches) -> list[list[int]]:
+    """The first sketches, ascending, of pages that are no near copies of those before: ``SHARED`` at most, as no more are asked for."""
+    heads: list[list[int]] = []
+    for s in sorted(sketches):
+        if len(heads) < SHARED and not any(near(s, h) for h in heads):
             heads.append(s)
-        out.append(near)
-    return out
+    return heads
 
 
-def rules(streams: list[list[str]]) -> dict:
-    """A host's wrapper as text and as an automaton, and what each slot says: whether its texts count on pages with a main
-    element (1), on others (2), and which texts are template."""
-    streams = [list(s) for s in dict.fromkeys(map(tuple, streams))]
-    groups = different([list(map(int, s[0].split(","))) for s in streams])
-    wrapper = inferred([nodes_of(s[1:], i) for i, s in enumerate(streams)])
+def different(sketches) -> list[list[int]]:
+    """``firsts`` of a form's pages, by shares that their sums tell, so that one form's pages can be in many tasks."""
+    shares: dict[int, list] = {}
+    for s in sketches:
+        shares.setdefault(sum(s) % SHARES, []).append(s)
+    return firsts(s for share in shares.values() for s in firsts(share))
+
+
+def at_places(places: int, sketches: list) -> list:
+    return [s for i, s in enumerate(sketches) if places >> i & 1]
+
+
+def joined(parts) -> tuple[list, list]:
+    """One wrapper of forms or of wrappers (nodes, and the sketches that their slots' bits tell), and its sketches; of those
+    only the first different ones of each slot are kept."""
+    wrapper: list | None = None
+    sketches: list[list[int]] = []
+    for nodes, own in parts:
+        nodes = marked(nodes, lambda pages: pages << len(sketches))
+        sketches = sketches + own
+        wrapper = refolded(nodes, frozenset()) if wrapper is None else widened(wrapper, nodes)
+    kept: dict[tuple, int] = {}
+    few = functools.cache(lambda pages: sum(1 << kept.setdefault(tuple(s), len(kept)) for s in firsts(at_places(pages, sketches))))
+    return marked(wrapper, few), list(map(list, kept))
+
+
+def rule_of(wrapper: list, sketches: list) -> dict:
+    """A wrapper as text and as an automaton, and what each slot says: whether its texts count on pages with a main element
+    (1), on others (2), and which texts are template."""
     leaves, repeats, first, follow = automaton(wrapper)
     slots = [n for n in leaves if isinstance(n, Slot)]
-    seen = lambda n: len({g for i, g in enumerate(groups) if n.pages >> i & 1})
+    counts_of = functools.cache(lambda pages: len(firsts(at_places(pages, sketches))))
+    seen = lambda n: counts_of(n.pages)
     plain = [n for n in slots if not in_main(n.path) and not boiler(n.path)]
-    links = {p: 2 * sum(n.linked for n in plain if n.path == p) > sum(n.path == p for n in plain) for p in {n.path for n in plain}}
+    linked: dict[str, list[bool]] = {}
+    for n in plain:
+        linked.setdefault(n.path, []).append(n.linked)
+    links = {p: 2 * sum(x) > len(x) for p, x in linked.items()}
     own = [n for n in plain if (n.varies or seen(n) < 2) and not links[n.path]] or plain
     kept = set(map(id, own))
     said = []
@@ -501,13 +585,33 @@ def rules(streams: list[list[str]]) -> dict:
         if isinstance(n, Slot):
             main = in_main(n.path)
             counts = not boiler(n.path) and (main or id(n) in kept)
-            template = sorted(n.hashes) if counts and not many and seen(n) >= (SHARED if main else 2) and (main or n.varies) else []
+            template = sorted(n.hashes) if n.hashes and counts and not many and seen(n) >= (SHARED if main else 2) and (main or n.varies) else []
             said.append([(1 if main else 2) * counts, template])
         else:
             said.append(None)
     return {"wrapper": written(wrapper), "shapes": [shape(n) for n in leaves], "first": first, "follow": follow, "said": said}
 
 
+def of_form(nodes: list, sketches: list) -> tuple[list, list]:
+    """A form for ``joined``: its slots are on all of its pages."""
+    return marked(nodes, lambda _: (1 << len(sketches)) - 1), sketches
+
+
+def read(tokens_: list[str]) -> tuple[str, list, list[int]]:
+    """Of a page's stream: its form, its nodes and its sketch."""
+    nodes = folded(nodes_of(tokens_[1:], 0))
+    return form(nodes), nodes, list(map(int, tokens_[0].split(",")))
+
+
+def rules(streams: list[list[str]]) -> dict:
+    """A host's rule from the streams of all its pages: what ``wrappers`` does over tasks."""
+    found: dict[str, tuple[list, list]] = {}
+    for key, nodes, own in map(read, streams):
+        before, sketches = found.get(key, (nodes, []))
+        found[key] = both(before, nodes), [*sketches, own]
+    return rule_of(*joined(of_form(nodes, different(sketches)) for _, (nodes, sketches) in sorted(found.items())))
+
+
 # --- extraction ---
 
 
@@ -544,7 +648,8 @@ class Rule:
                     new.setdefault(to, at)
             if not new and s in self.places:  # the page departs: go on at the nearest place of this kind, one ahead if there is one
                 at = next(iter(now))
-                to = min(self.places[s], key=lambda t: (t <= at, abs(t - at)))
+                ahead = bisect.bisect_right(self.places[s], at)
+                to = self.places[s][min(ahead, len(self.places[s]) - 1)]
                 new = {to: at}
             steps.append(new or None)
             now = new or now
@@ -585,52 +690,144 @@ def parsed(rule: str | bytes) -> Rule:
     return Rule(json.loads(zlib.decompress(rule) if isinstance(rule, bytes) else rule))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, rule): each host's wrapper and what its slots say, as packed JSON."""
+PAGES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("form", pa.string()), ("sketch", pa.list_(pa.int32())), ("size", pa.int32()), ("nodes", pa.binary())])
+FORMS = pa.schema([("host", pa.string()), ("form", pa.string()), ("nodes", pa.binary())])
+HEADS = pa.schema([("host", pa.string()), ("form", pa.string()), ("heads", pa.list_(pa.list_(pa.int32())))])
+RULES = pa.schema([("host", pa.string()), ("part", pa.string()), ("size", pa.int32()), ("rule", pa.binary()), ("wrapper", pa.binary())])
+PAGES_READ = "host string, page long, form string, sketch array<int>, size int, nodes binary"
+
+
+def size_of(nodes: list) -> int:
+    return sum(size_of(n.inner) if isinstance(n, Group) else 1 for n in nodes)
+
+
+def grouped(batches, keys: int, *columns):
+    """Runs of sorted rows that share their first columns."""
+    rows = (row for lists in common.text_batches(batches, *columns) for row in zip(*lists, strict=True))
+    return itertools.groupby(rows, lambda row: row[:keys])
+
 
-    def sampled(batches):
-        best: dict[tuple[str, int], tuple[int, str]] = {}
-        size = 0
+def sent(schema: pa.Schema, rows):
+    for some in itertools.batched(rows, 200):
+        yield common.out_batch(schema, list(zip(*some, strict=True)))
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """One row for each page, with its form and sketch; and rows with the merged nodes of a form (``nodes``), from each task."""
+
+    def run(batches):
+        known: dict[tuple[str, str], list] = {}
+        held = 0
 
         def passed():
-            rows = [(host, k, h, json.dumps(stream(page))) for (host, k), (h, page) in best.items()]
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["host", "k", "h", "stream"])
-
-        for hosts, ids, pages_ in common.text_batches(batches, "host", "page_id", "html"):
-            for host, page_id, page in zip(hosts, ids, pages_, strict=True):
-                h = xxhash.xxh64_intdigest(f"{page_id}\x1f{page[:200]}") >> 1
-                at = (host, h % SAMPLE)
-                if at not in best or (h, page) < best[at]:
-                    size += len(page) - (len(best[at][1]) if at in best else 0)
-                    best[at] = (h, page)
-                    if size > REMEMBERED:
-                        yield passed()
-                        size = 0
-        if best:
+            rows = [(host, None, key, None, size_of(nodes), packed(nodes)) for (host, key), nodes in known.items()]
+            known.clear()
+            return common.out_batch(PAGES, list(zip(*rows, strict=True)))
+
+        for hosts, marks, bodies in common.text_batches(batches, "host", "page", "html"):
+            keys, sketches = [], []
+            for host, body in zip(hosts, bodies, strict=True):
+                key, nodes, own = read(stream(body))
+                keys.append(key)
+                sketches.append(own)
+                before = known.get((host, key))
+                held += 0 if before else len(body)
+                known[host, key] = both(before, nodes) if before else nodes
+                if held > REMEMBERED:
+                    yield passed()
+                    held = 0
+            none = [None] * len(keys)
+            yield common.out_batch(PAGES, [hosts, marks, keys, sketches, none, none])
+        if known:
             yield passed()
 
-    def learned(batches):
-        for hosts, streams in common.text_batches(batches, "host", "streams"):
-            each = [zlib.compress(json.dumps(rules([json.loads(s) for s in sorted(ss)])).encode()) for ss in streams]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(each, pa.binary())], names=["host", "rule"])
+    return pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(run, PAGES_READ)
+
+
+def heads_of(found: DataFrame) -> DataFrame:
+    """(host, form, heads): ``firsts`` of each share of a form's sketches, equal ones first told once."""
+
+    def heads(group):
+        found: list[list[int]] = []
+        for *_, own in group:  # ascending
+            if len(found) < SHARED:
+                found = firsts([*found, own])
+        return found
+
+    def run(batches):
+        return sent(HEADS, ((*key[:2], heads(group)) for key, group in grouped(batches, 3, "host", "form", "share", "sketch")))
+
+    own = found.where("nodes is null").select("host", "form", "sketch").distinct()
+    own = own.withColumn("share", F.expr(f"aggregate(sketch, 0L, (x, y) -> x + y) % {SHARES}"))
+    own = own.repartition("host", "form", "share").sortWithinPartitions("host", "form", "share", "sketch")
+    few = own.mapInArrow(run, "host string, form string, heads array<array<int>>")
+    return few.groupBy("host", "form").agg(F.flatten(F.collect_list("heads")).alias("heads"))
+
+
+def parts_of(sizes: DataFrame) -> DataFrame:
+    """(host, digits): how many hexadecimal digits of a form's hash tell its expression; none for hosts with one expression."""
+    return sizes.groupBy("host").agg(F.sum("size").alias("size")).select("host", F.expr(f"cast(greatest(0, ceil(log(16, size / {NODES}))) as int)").alias("digits"))
+
+
+def first_digits(column: str) -> Column:
+    return F.expr(f"substring({column}, 1, digits)")
+
+
+def rules_of(found: DataFrame, parts) -> DataFrame:
+    """RULES of (host, part, key, ...): the rows of a part, in order of their keys, as one wrapper; ``parts`` reads a row."""
+
+    def row(key, group):
+        wrapper, sketches = joined(map(parts, group))
+        whole = key[1] == ""
+        return *key, size_of(wrapper), zlib.compress(json.dumps(rule_of(wrapper, sketches)).encode()), None if whole else packed(wrapper, sketches)
+
+    def run(batches):
+        return sent(RULES, (row(*x) for x in grouped(batches, 2, "host", "part", "nodes", "heads")))
+
+    return found.repartition("host", "part").sortWithinPartitions("host", "part", "key").mapInArrow(run, "host string, part string, size int, rule binary, wrapper binary")
+
+
+def wrappers(found: DataFrame) -> DataFrame:
+    """(host, part, size, rule, wrapper) from all pages that ``read_pages`` found: each expression and what its slots say, as
+    packed JSON; of hosts with many forms first one for each part of them."""
+
+    def whole(batches):
+        return sent(FORMS, ((*key, packed(functools.reduce(both, (unpacked(r[2])[0] for r in group)))) for key, group in grouped(batches, 2, "host", "form", "nodes")))
+
+    some = found.where("nodes is not null").select("host", "form", "size", "nodes")
+    forms = some.select("host", "form", "nodes").repartition("host", "form").sortWithinPartitions("host", "form").mapInArrow(whole, "host string, form string, nodes binary")
+    forms = forms.join(heads_of(found), ["host", "form"]).join(parts_of(some.select("host", "form", "size").distinct()), "host")
+    forms = forms.select("host", first_digits("form").alias("part"), F.col("form").alias("key"), "nodes", "heads")
+    return rules_of(forms, lambda r: of_form(unpacked(r[2])[0], firsts(r[3])))
+
 
-    few = pages.select("host", "page_id", "html").mapInArrow(sampled, "host string, k int, h long, stream string")
-    one = few.groupBy("host", "k").agg(F.min(F.struct("h", "stream")).alias("x"))
-    return one.groupBy("host").agg(F.collect_list("x.stream").alias("streams")).mapInArrow(learned, "host string, rule binary")
+def rejoined(split: DataFrame) -> DataFrame:
+    """The wrappers of hosts in parts as one for each host, or as few as ``NODES`` lets."""
+    rows = split.join(parts_of(split), "host").select("host", first_digits("part").alias("part"), F.col("part").alias("key"), F.col("wrapper").alias("nodes"), F.lit(None).cast("int").alias("heads"))
+    return rules_of(rows, lambda r: unpacked(r[2]))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, the main text and its length of every page."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", common.text_or_empty("html").alias("html"), host_of().alias("host"))
-    found = common.materialised(wrappers(own), "wrappers")
+    found = common.materialised(read_pages(own), "pages")
+    learned = common.materialised(wrappers(found), "wrappers")
+    split = learned.where("part <> ''")
+    if split.isEmpty():
+        with_rules = own.join(learned.select("host", "rule"), "host", "left")
+    else:
+        again = common.materialised(rejoined(split), "wrappers").unionByName(learned.where("part = ''")).select("host", "part", "rule")
+        digits = parts_of(split).where("digits > 0")
+        shares = found.where("nodes is null").join(digits, "host").groupBy("host", "page").agg(F.min(first_digits("form")).alias("part"))
+        with_parts = own.withColumn("page", F.xxhash64("html")).join(shares, ["host", "page"], "left").withColumn("part", F.coalesce("part", F.lit("")))
+        with_rules = with_parts.join(again, ["host", "part"], "left")
 
     def run(batches):
         for ids, urls, bodies, rule in common.text_batches(batches, "page_id", "url", "html", "rule"):
             text = [main_text(b, parsed(r or NO_RULE)) for b, r in zip(bodies, rule, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return own.join(found, "host", "left").select("page_id", "url", "html", "rule").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return with_rules.select("page_id", "url", "html", "rule").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
