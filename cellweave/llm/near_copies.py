@@ -34,6 +34,9 @@ SAMPLE, LISTED = 10_000, 100_000
 ROUNDS = (1, 2, 17, 129, 2049, 1 << 40)
 #: Candidate pairs that a task holds before it thins them to a forest.
 HELD = 500_000
+#: Candidate pairs of a round that are sent to all tasks; more are joined by shuffles. Few are verified without the filter by
+#: counts. A task verifies some of the few.
+FEW, SOME = 10_000, 500
 PARITY = ["p0", "p1", "p2", "p3"]
 BEFORE = ["b1", "b2"]
 #: A class of a set's shingles that has so many or more.
@@ -198,7 +201,7 @@ def met(nodes: DataFrame) -> DataFrame:
 
 
 def apart(tokens: DataFrame, nodes: DataFrame, tied: DataFrame, first: int, last: int) -> DataFrame:
-    """tokens: as from ``met``. Pairs (a, b) that may be similar, are not in one component of ``tied``, and whose places by
+    """tokens: as from ``met``. Pairs (a, b), some of them again, that may be similar, are not in one component of ``tied``, and whose places by
     size in a bucket are ``first`` to ``last`` - 1 apart. Sizes, places and parities bound their similarity. A pair that has
     one of the shingles before in common meets in that one's bucket, too, and is left to it: its first common shingle has
     no such one before."""
@@ -232,12 +235,13 @@ def apart(tokens: DataFrame, nodes: DataFrame, tied: DataFrame, first: int, last
 
     def sent(out):
         a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        a, b = np.unique([np.minimum(a, b), np.maximum(a, b)], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     named = tokens.where(F.col("n") > first).join(tied, "id", "left").join(nodes.select("id", *PARITY), "id")
     blocks = F.when(F.col("n") > simhash.MOST, F.ceil(F.col("n") / (simhash.MOST // 2))).otherwise(1).cast("int")
     seen = named.select("id", F.col("size").alias("fp"), F.lit(True).alias("own"), F.lit(0).alias("part"), "key", blocks.alias("blocks"), "pos", F.coalesce("component", "id").alias("label"), *BEFORE, *PARITY)
-    return simhash.in_blocks(seen, ["pos", "label", *BEFORE, *PARITY]).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return simhash.in_blocks(seen, ["pos", "label", *BEFORE, *PARITY]).mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -276,21 +280,30 @@ def shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, regular: bool) -> DataFrame:
-    """The pairs whose shingle sets are similar. nodes: (id, doc_id, ...), a document of each node."""
-    pairs = plausible(pairs, nodes)
-    if pairs.isEmpty():
+    """The pairs whose shingle sets are similar. nodes: (id, doc_id, ...), a document of each node; pairs: (a, b), of which some
+    may come again. Few pairs and their documents' ids go to all tasks, so that neither texts nor nodes are shuffled for them."""
+    count = pairs.count()
+    if not count:
         return pairs
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = nodes.join(needed, "id").select("doc_id", "id")
+    few = count <= FEW
+    pairs = pairs.coalesce(1).distinct() if few else plausible(pairs.distinct(), nodes)
+    sent = F.broadcast if few else lambda df: df
+    ends = pairs.select(F.col("a").alias("id"), "a", "b").unionByName(pairs.select(F.col("b").alias("id"), "a", "b"))
     if regular:
-        sets = shingle_sets(docs, rows)
+        sets = shingle_sets(docs, sent(nodes.join(sent(ends.select("id")), "id", "left_semi").select("doc_id", "id")))
     else:  # an id may have several texts: their own nodes tell which is meant
+        needed = ends.select("id").distinct()
         sets = nodes_of(docs.select("text"), "doc_id").join(needed.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
         sets = shingle_sets(sets, needed.select(F.col("id").alias("doc_id"), "id"))
-    sets = common.materialised(sets, "shingle-sets")
-    one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    joined = pairs.join(one, "a").join(two, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
+    if few:
+        one, two = (F.first(F.when(F.col("id") == F.col(c), F.col("hashes")), ignorenulls=True).alias(n) for c, n in (("a", "x"), ("b", "y")))
+        joined = sets.join(sent(ends), "id").groupBy("a", "b").agg(one, two).coalesce(-(-count // SOME))
+    else:
+        sets = common.materialised(sets, "shingle-sets")
+        one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
+        two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+        joined = pairs.join(one, "a").join(two, "b")
+    joined = joined.withColumn("n", F.size(F.array_intersect("x", "y")))
     return joined.where(F.col("n") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
 
 
@@ -316,19 +329,16 @@ def kept_rows(docs: DataFrame, limit: int, wider: int) -> DataFrame:
     firsts = [F.first(c).alias(c) for c in ("fp", "v1", "v2", "size", *PARITY, "prefix", "counts")]
     nodes = common.materialised(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
     plan = simhash.search_plan(nodes.select("fp").distinct(), limit)
-    pairs = common.materialised(candidates(nodes, plan, limit, wider).distinct(), "candidates")
-    held = common.materialised(verified(docs, nodes, pairs, regular), "links")
-    tied = simhash.components(held)
+    pairs = common.materialised(candidates(nodes, plan, limit, wider), "candidates")
+    tied = simhash.components(verified(docs, nodes, pairs, regular))
     tokens = common.materialised(met(nodes), "tokens")
     most = tokens.agg(F.max("n")).first()[0] or 0
     for begin, end in zip(ROUNDS[:-1], ROUNDS[1:], strict=True):
         if begin >= most:
             break
         pairs = common.materialised(apart(tokens, nodes, tied, begin, end), "candidates")
-        new = common.materialised(verified(docs, nodes, pairs, regular), "links")
-        if not new.isEmpty():
-            held = held.unionByName(new)
-            tied = simhash.components(held)
+        known = tied.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        tied = simhash.components(verified(docs, nodes, pairs, regular).unionByName(known))
     named = nodes.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x"))
     stays = first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.id").alias("id"))

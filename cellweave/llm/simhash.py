@@ -9,7 +9,8 @@ probes the buckets whose value differs from its own in 1 to t_i bits; candidates
 
 Within a bucket a breadth-first search links what is near, so that each bucket gives at most one link a row, not all
 pairs; buckets over ``MOST`` rows are split into blocks that meet in pairs, which loses none. Copies share a fingerprint
-and are one row of the search. Components come from rounds of the smaller-neighbour rule on links between fingerprints.
+and are one row of the search. Components come from links between fingerprints: joined within tasks first, then, where many
+are left, by rounds of the smaller-neighbour rule.
 
 Defined cases: a null text is the empty text; texts without words have fingerprint zero and are linked like others; a
 null ``doc_id`` is kept, with its component's smallest id (null if it has none); repeated rows are kept; an empty table
@@ -36,7 +37,7 @@ CAPITALS = {c: c + 32 for c in range(65, 91)}
 SAMPLE = 2000
 #: Rows of a bucket that are searched at once; larger buckets are split.
 MOST = 20_000
-#: Links of a partition of ``components``, at least.
+#: Links of a partition of ``components``: that many settle in one task.
 LINKS = 50_000
 #: The cost of a probe row against that of a candidate.
 PROBE_COST = 200.0
@@ -272,13 +273,54 @@ def links(rows: DataFrame, parts: list[tuple[list[int], int]], limit: int) -> Da
     return in_buckets(rows, parts).mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all that the links (a, b) join: the least id, and each other one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(ids))
+    while True:  # the least label over each link, for its ends and for what they were tied to
+        before = up.copy()
+        low = np.minimum(before[x], before[y])
+        for end in (x, y, before[x], before[y]):
+            np.minimum.at(up, end, low)
+        up = up[up]
+        if (up == before).all():
+            break
+    rest = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[up[rest]], ids[rest]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b), those of each partition as stars: they join the same. A task holds one link for each of its ids."""
+
+    def run(batches):
+        held, size, most = [], 0, LINKS
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            size += batch.num_rows
+            if size > most:
+                held = [stars(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                most = max(LINKS, 2 * size)
+        if size:
+            a, b = stars(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return edges.select("a", "b").where("a <> b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable over the links, for every id that has one. Alternates, until nothing
-    changes, between tying each node's larger neighbours and its smaller neighbours to the smallest one it knows."""
+    """(id, component): the smallest id reachable over the links, for every id that has a smaller one. Each task joins what the
+    links of its partition join; up to ``LINKS`` of what is left are one partition, and settled. More alternate, until
+    nothing changes, between tying each node's larger neighbours and its smaller neighbours to the smallest one it knows."""
     spark = edges.sparkSession
     common.shared_folder(spark)
     with common.frugal(spark):
-        now = edges.select("a", "b").where("a <> b").distinct().checkpoint()
+        now = common.materialised(contracted(edges), "contracted")
+        parts = max(1, -(-now.count() // LINKS))
+        now = common.materialised(contracted(now.coalesce(parts)), "contracted")
+        if parts == 1:
+            return now.select(F.col("b").alias("id"), F.col("a").alias("component"))
         mark = None
         for _ in range(most):
             both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
