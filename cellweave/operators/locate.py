@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from cellweave.functions import curves
 from cellweave.operators.partition_bounds import key_bounds, place_in
@@ -169,3 +169,138 @@ def neighbours(cells: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     each = own.mapInArrow(asked, StructType([*own.schema.fields, StructField(part, sent)])).withColumn(part, F.explode(part))
     dealt = each.select(*CELL, *also, F.col(part)["to"].alias(part), F.col(part)["of"].alias(face))
     return dealt.repartitionById(parts, F.col(part)).mapInArrow(looked_up, StructType([StructField(n, t) for n, t in zip(names, types, strict=True)]))
+
+
+# --- neighbours that decisions may set two levels apart ---
+
+#: The way back.
+TOGETHER = [(by, mask) for (by, _), mask in zip(reversed(APART), [m for _, m in reversed(APART[:-1])] + [(1 << BITS) - 1], strict=True)]
+#: Bits of a cell that travel with it: whether it asks to merge, splits, and can split.
+ASKS, SPLITS, CAN = 1, 2, 4
+#: Of a cell's code: the places of its level's, those bits', the face's and the coordinates' further bits.
+AT_BITS, AT_FACE, AT_HIGH = 8, 11, 14
+HIGH = 16
+#: Columns of ``steps``.
+MAY = ["can", "splits", "merging"]
+
+
+def packed(cell: np.ndarray, anchor: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """All of a cell that its key does not tell, in one number; bits of coordinates beyond the key's too."""
+    code = cell[3] | (bits << AT_BITS)
+    for k, c in enumerate(anchor):
+        code |= ((c >> BITS) & ((1 << HIGH) - 1)) << (AT_HIGH + HIGH * k)
+    return code
+
+
+def unpacked(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x, y, z and level, and anchors, of keys and codes."""
+    anchor = np.empty((3, len(keys)), np.int64)
+    for k in range(3):
+        c = (keys >> k) & APART[-1][1]
+        for by, mask in TOGETHER:
+            c = (c | (c >> by)) & mask
+        high = codes << (64 - AT_HIGH - HIGH * (k + 1)) >> (64 - HIGH)  # with its sign
+        anchor[k] = c | (high << BITS)
+    level = codes & 255
+    return np.concatenate([anchor >> (curves.FINEST - level), level[None]]), anchor
+
+
+def whole_groups(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which cells, in order of their keys, are of eight siblings that all ask to merge: these follow each other."""
+    merging, n = np.zeros(len(keys), bool), len(keys) - 7
+    if n <= 0:
+        return merging
+    level = codes & 255
+    size = 3 * (curves.FINEST - level)
+    child, parent = (keys >> size) & 7, keys >> (size + 3)
+    asks, high = (codes >> AT_BITS) & ASKS != 0, codes >> AT_HIGH
+    first = asks[:n] & (child[:n] == 0)
+    for k in range(1, 8):
+        first &= asks[k : n + k] & (child[k : n + k] == k)
+        for same in (level, parent, high):
+            first &= same[k : n + k] == same[:n]
+    for k in range(8):
+        merging[k : n + k] |= first
+    return merging
+
+
+def steps(cells: DataFrame, bits: Column) -> DataFrame:
+    """Of all face neighbours, the pairs that splits and merges can set two levels apart: a cell and a coarser one, or two of one level
+    of which one is to merge with its siblings. x, y, z, level, can, splits, merging, and the same of the neighbour beside it,
+    which is not finer (nx, ny, nz, n_level, n_can, n_splits, n_merging). Two cells of one level that do not merge cannot come two
+    levels apart, so that nothing is lost, and what is written follows the steps of the mesh, not its cells.
+
+    ``bits`` tells of each cell whether it asks to merge, splits and can split. ``merging`` is null where the task did not see
+    a cell's siblings; every merging cell is seen with them at least once. Cells must not overlap, and are read three
+    times: give a stored table.
+
+    A cell moves once, as two numbers, to its range of keys. Ranges begin where the parent of a cell does: none parts eight
+    siblings, and none parts a cell from a point in it, as a cell that reached over the bound would hold that parent.
+    """
+    own = cells.select(*CELL, bits.cast("int").alias("bits")).na.drop(subset=CELL)
+    n = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // CELLS))
+
+    def of_parents(batches):
+        for batch in batches:
+            cell, anchor = corners_of(batch)
+            up = 3 * (curves.FINEST - cell[3] + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(anchor) >> up << up)], names=["key"])
+
+    bounds = np.array(key_bounds(own.select(*CELL).mapInArrow(of_parents, "key long"), "key", n), np.int64)
+
+    def asked(batches):
+        for batch in batches:
+            cell, anchor = corners_of(batch)
+            keys = keys_of(anchor)
+            codes = packed(cell, anchor, batch.column("bits").to_numpy().astype(np.int64))
+            home = np.searchsorted(bounds, keys, "right")
+            rows, to, faces = [np.arange(len(home))], [home], [np.zeros(len(home), np.int64)]
+            for f in range(6):
+                there = np.searchsorted(bounds, keys_of(beyond(cell, anchor, f)), "right")
+                away = np.flatnonzero(there != home)
+                rows, to, faces = [*rows, away], [*to, there[away]], [*faces, np.full(len(away), f + 1)]
+            at = np.concatenate(rows)
+            columns = [np.concatenate(to).astype(np.int32), keys[at], codes[at] | (np.concatenate(faces) << AT_FACE)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["range", "key", "code"])
+
+    def looked_up(batches):
+        held = list(batches)
+        if not held:
+            return
+        home, key, code = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("range", "key", "code"))
+        held.clear()
+        by = np.argsort(key, kind="stable")
+        home, key, code = home[by], key[by], code[by]
+        face = (code >> AT_FACE) & 7
+        code ^= face << AT_FACE
+        here = np.flatnonzero(face == 0)
+        if not len(here):
+            return
+        cell, anchor = unpacked(key, code)
+        keys, bits = key[here], code >> AT_BITS & 7
+        merging = np.zeros(len(key), bool)
+        merging[here] = whole_groups(keys, code[here])
+        may = np.where(face == 0, merging, bits & ASKS != 0)
+        for f in range(6):
+            rows = np.flatnonzero((face == 0) | (face == f + 1))
+            point = beyond(cell[:, rows], anchor[:, rows], f)
+            there = keys_of(point)
+            mine = np.searchsorted(bounds, there, "right") == home[rows]
+            rows, point, there = rows[mine], point[:, mine], there[mine]
+            at = np.searchsorted(keys, there, "right") - 1
+            last = here[np.maximum(at, 0)]
+            level, n_level = cell[3, rows], cell[3, last]
+            step = (at >= 0) & ((level > n_level) | ((level == n_level) & (may[rows] | merging[last])))
+            step &= ((point >> (curves.FINEST - n_level)) == cell[:3, last]).all(axis=0)
+            rows, last = rows[step], last[step]
+            for k in range(0, len(rows), 100_000):
+                columns = []
+                for x in (rows[k : k + 100_000], last[k : k + 100_000]):
+                    columns += [pa.array(c.astype(np.int32)) for c in cell[:, x]]
+                    columns += [pa.array(bits[x] & CAN != 0), pa.array(bits[x] & SPLITS != 0), pa.array(merging[x], mask=face[x] != 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [*CELL, *MAY, *FOUND, *[f"n_{c}" for c in MAY]]
+    types = [BooleanType() if c.removeprefix("n_") in MAY else IntegerType() for c in names]
+    dealt = own.mapInArrow(asked, "range int, key long, code long").repartitionById(n, F.col("range"))
+    return dealt.mapInArrow(looked_up, StructType([StructField(c, t) for c, t in zip(names, types, strict=True)]))

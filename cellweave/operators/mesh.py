@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import curves
 from cellweave.operators.exact import exact_sums
-from cellweave.operators.locate import CELL, FOUND, neighbours
-from cellweave.operators.session import checkpointed, unused
+from cellweave.operators.locate import ASKS, CAN, CELL, FOUND, MAY, SPLITS, neighbours, steps
+from cellweave.operators.session import checkpointed, stored, unused
 
 CHILD = "__child"
 
@@ -124,11 +124,11 @@ def adapt(cells: DataFrame, fields: dict[str, str], most: int = curves.FINEST, l
     if balanced:
         for _ in range(most + 1):
             cells, left = decided(cells, most, least, marks=counts is not None)
-            cells = checkpointed(cells)  # a cycle reads them four times
-            out = cycle(cells, fields, most, least, counts)
+            cells = stored(cells)  # a cycle reads them three times
+            out = cycle(cells, fields, most, least, counts, exact=True)
             if not left or not cells.where(splits(most)).limit(1).count():
                 return out
-            cells, counts = checkpointed(out), Observation() if counts is not None else None  # the first cycle is the one that counts
+            cells, counts = stored(out), Observation() if counts is not None else None  # the first cycle is the one that counts
         return cells
     return cycle(cells, fields, most, least, counts)
 
@@ -146,21 +146,25 @@ def counted(adapted: DataFrame, fields: dict[str, str], counts: Observation) ->
     return adapted.observe(counts, *seen, *sums)
 
 
-def cycle(cells: DataFrame, fields: dict[str, str], most: int, least: int, counts: Observation | None = None) -> DataFrame:
+def cycle(cells: DataFrame, fields: dict[str, str], most: int, least: int, counts: Observation | None = None, exact: bool = False) -> DataFrame:
     if counts is not None:
         marks = {m: F.lit(False) for m in MARKS if m not in cells.columns}
-        out = cycled(cells.withColumns(marks | {"made__": F.lit(0)}), fields, most, least)
+        out = cycled(cells.withColumns(marks | {"made__": F.lit(0)}), fields, most, least, exact)
         return counted(out, fields, counts).drop("made__", *MARKS)
-    return cycled(cells, fields, most, least)
+    return cycled(cells, fields, most, least, exact)
 
 
-def cycled(cells: DataFrame, fields: dict[str, str], most: int, least: int) -> DataFrame:
+def cycled(cells: DataFrame, fields: dict[str, str], most: int, least: int, exact: bool = False) -> DataFrame:
+    """With ``exact``, every flag is followed, as ``decided`` leaves them: no group has to be counted for survivors."""
     asks, up, n = asks_to_merge(least), parents_of(cells), unused("n_siblings", cells)
-    parents = [curves.parent(c).alias(up[c]) for c in "xyz"]
-    whole = cells.where(asks).groupBy("level", *parents).agg(F.count("*").alias(n)).where(F.col(n) == 8)
-    tagged = cells.withColumns({up[c]: curves.parent(c) for c in "xyz"})
-    left = tagged.where(~splits(most)).join(whole, ["level", *up.values()], "left")
-    survivors = left.where(~(asks & F.col(n).isNotNull())).select(*cells.columns).withColumn("flag", F.lit(0))
+    if exact:
+        survivors = cells.where("flag = 0")
+    else:
+        parents = [curves.parent(c).alias(up[c]) for c in "xyz"]
+        whole = cells.where(asks).groupBy("level", *parents).agg(F.count("*").alias(n)).where(F.col(n) == 8)
+        tagged = cells.withColumns({up[c]: curves.parent(c) for c in "xyz"})
+        left = tagged.where(~splits(most)).join(whole, ["level", *up.values()], "left")
+        survivors = left.where(~(asks & F.col(n).isNotNull())).select(*cells.columns).withColumn("flag", F.lit(0))
     children = split(cells, most).select(*cells.columns)
     parents_ = merge(cells, fields, least)
     if "made__" in cells.columns:
@@ -293,18 +297,21 @@ def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1, marks:
     as a unit, gives up merging. The coarser of two neighbours gives way: its group is vetoed if it was to merge, else it is
     split. Beforehand, splits beside cells that can never follow (solid ones) are given up. Each round after the first looks
     at the neighbours of what the round before changed, and at no others.
+
+    Rounds hold only neighbours that can come two levels apart (``steps``) and their cells. All other cells keep what they ask
+    for, or 0 where they cannot split or their group is not whole: of the whole mesh, two stored tables are all that is written.
     """
-    base = checkpointed(cells)
-    asks = asks_to_merge(least)
+    base = stored(cells)
+    can = (F.col("state") == 0) & (F.col("level") < most)
+    bit = lambda told, value: F.when(told, value).otherwise(0)
+    pairs = stored(steps(base, bit(asks_to_merge(least), ASKS) + bit(splits(most), SPLITS) + bit(can, CAN)))
     group = [curves.parent(c).alias(g) for c, g in zip("xyz", PARENT, strict=True)]
-    whole = base.where(asks).groupBy("level", *group).agg(F.count("*").alias("siblings")).where("siblings = 8")
-    state = base.select(*CELL, *group, asks.alias("asks"), splits(most).alias("splits"), ((F.col("state") == 0) & (F.col("level") < most)).alias("can"))
-    state = state.join(whole, ["level", *PARENT], "left").withColumn("merging", F.col("asks") & F.col("siblings").isNotNull())
-    state = checkpointed(state.select(*CELL, *PARENT, "can", "splits", "merging"))
-    pairs = checkpointed(probed(state).where("n_level <= level").select(*CELL, *BESIDE).distinct())
+    ends = pairs.select(*CELL, *MAY).unionByName(pairs.select(*[F.col(n).alias(c) for c, n in zip((*CELL, *MAY), (*BESIDE, *[f"n_{c}" for c in MAY]), strict=True)]))
+    state = stored(ends.groupBy(*CELL).agg(*[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in MAY]).select(*CELL, *group, *MAY))
+    pairs = pairs.select(*CELL, *BESIDE)
     held = held_back(state, pairs).withColumn("held", F.lit(True))
     will = F.when(F.col("splits") & F.col("held").isNull(), F.col("level") + 1).when(F.col("merging"), F.col("level") - 1).otherwise(F.col("level"))
-    state = checkpointed(state.join(held, CELL, "left").select(*CELL, *PARENT, (F.col("can") & F.col("held").isNull()).alias("can"), "merging", F.col("merging").alias("asked"), will.alias("will"), F.lit(True).alias("changed")))
+    state = checkpointed(state.join(held, CELL, "left").select(*CELL, *PARENT, (F.col("can") & F.col("held").isNull()).alias("can"), "splits", "merging", F.col("merging").alias("asked"), will.alias("will"), F.lit(True).alias("changed")))
 
     even = False
     for first in (True, *[False] * (4 * (most + 2))):
@@ -323,7 +330,7 @@ def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1, marks:
         raised = low.where("not merging and can and will = level").select(*CELL).withColumn("raised", F.lit(True))
         veto_, raised_ = F.coalesce("veto", F.lit(False)) & F.col("merging"), F.coalesce("raised", F.lit(False))
         now = state.join(raised, CELL, "left").join(veto, ["level", *PARENT], "left")
-        now = now.select(*CELL, *PARENT, "can", (F.col("merging") & ~veto_).alias("merging"), "asked", F.when(veto_, F.col("level")).when(raised_, F.col("level") + 1).otherwise(F.col("will")).alias("will"), (veto_ | raised_).alias("changed"))
+        now = now.select(*CELL, *PARENT, "can", "splits", (F.col("merging") & ~veto_).alias("merging"), "asked", F.when(veto_, F.col("level")).when(raised_, F.col("level") + 1).otherwise(F.col("will")).alias("will"), (veto_ | raised_).alias("changed"))
         state = checkpointed(now)
         if not state.where("changed").limit(1).count():
             break
@@ -331,14 +338,15 @@ def decided(cells: DataFrame, most: int = curves.FINEST, least: int = 1, marks:
         raise RuntimeError("the mesh did not come into balance")
     levels = state.select(*CELL, "will")
     left = 0 if even else pairs.join(levels, CELL).join(levels.toDF(*BESIDE, "n_will"), BESIDE).where("abs(will - n_will) > 1").count()
-    flag = F.when(F.col("will_") > F.col("level"), 1).when(F.col("merging_"), -1).otherwise(0).cast(dict(base.dtypes)["flag"])
-    told = state.select(*CELL, F.col("will").alias("will_"), F.col("merging").alias("merging_"), "asked")
-    out = base.join(told, CELL)
+    told, asked, was = (unused(c, base) for c in ("told", "asked", "was"))
+    flag, follows = F.when(F.col("will") > F.col("level"), 1).when(F.col("merging"), -1).otherwise(0), bit(F.col("splits"), 1)
+    others = stored(state.where(F.col("asked") | (flag != follows)).select(*CELL, flag.alias(told), F.col("asked").alias(asked)))
+    out = base.withColumn(was, F.col("flag")).join(others, CELL, "left")
+    out = out.withColumn("flag", F.coalesce(told, bit(splits(most), 1)).cast(dict(base.dtypes)["flag"]))
     if not marks:
-        return out.withColumn("flag", flag).select(*base.columns), left
-    raised = (F.col("will_") > F.col("level")) & (F.col("flag") <= 0)
-    marked = out.withColumns({MARKS[0]: raised, MARKS[1]: F.col("asked") & ~F.col("merging_")}).withColumn("flag", flag)
-    return marked.select(*base.columns, *MARKS), left
+        return out.select(*base.columns), left
+    marked = {MARKS[0]: (F.col("flag") > 0) & (F.col(was) <= 0), MARKS[1]: F.coalesce(asked, F.lit(False)) & (F.col("flag") != -1)}
+    return out.withColumns(marked).select(*base.columns, *MARKS), left
 
 
 def trilinear(cells: DataFrame, value: str) -> DataFrame:
